@@ -19,6 +19,10 @@ _TABLE_LOWER[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: All bytes but ASCII letters and the bytes of other characters.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 #: Odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -91,14 +95,14 @@ def grams(sums: np.ndarray, q: int) -> np.ndarray:
     return mix((sums[q:] - sums[:-q]) * powers(len(sums))[1][:n])
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of each row: hashes, starts, ends, and the index of each row's first word (+ end)."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
     gap = np.ones(n + 2, bool)
-    gap[1:-1] = _SPACE[data]
+    gap[1:-1] = space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     word = ~gap[1:-1]
