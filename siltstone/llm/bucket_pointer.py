@@ -14,7 +14,7 @@ neighbourhoods are counted by window instead, as rows that Spark combines and sp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -201,11 +201,12 @@ def marked(data_len: int, marks: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 100, hot: int = 20_000, bucket_bytes: int = 1 << 20, whole_chars: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 100, hot: int = 20_000, bucket_bytes: int = 1 << 20, whole_chars: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """documents(doc_id, text) without the bytes that repeated strings of ``length`` bytes cover.
 
     Strings are those of the input, overlaps count, occurrences in the same document count, matches never
-    cross documents. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary). With
+    cross documents. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary), and the columns
+    named in ``keep`` as they are (other names than those). With
     whole_chars a run shrinks to whole UTF-8 characters, so that kept stays text. Null texts are empty; texts
     under ``length`` bytes are kept whole; rows repeated under one doc_id count as different places, and as
     their removed bytes are found by doc_id, should hold the same text; rows with a null doc_id take no part and
@@ -213,8 +214,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 100, hot: int = 20
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = docs.where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    some = docs.select("doc_id", "text").where("doc_id is not null")
     table, size = per_document(repeated_ranges(some, scratch, length, q, hot, bucket_bytes), scratch, "marks")
     scratch.drop("anchors", "shared", "wanted", "pieces")
 
@@ -234,9 +235,12 @@ def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 100, hot: int = 20
                     kept = data[~mask].tobytes()
                 for k, v in zip(out, (len(raw), gone, runs, kept), strict=True):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items())], ["doc_id", *out])
+            columns = [batch.column(0), *(pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items())]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[3:]], ["doc_id", *out, *keep])
 
-    return with_text(docs, table, size, "left").select("doc_id", "text", "marks").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    schema += "".join(f", `{k}` {dict(docs.dtypes)[k]}" for k in keep)
+    return with_text(docs, table, size, "left").select("doc_id", "text", "marks", *keep).mapInArrow(remove, schema)
 
 
 def whole_characters(data: np.ndarray, mask: np.ndarray) -> np.ndarray:

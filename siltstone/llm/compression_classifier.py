@@ -7,12 +7,12 @@ sizes over their sum, with the plain compression ratio, becomes a calibrated sco
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import crc_remainder, fit_logistic, labelled_sample, logistic
@@ -58,29 +58,40 @@ class DictionaryPair:
         return np.column_stack([d, r, d * d, r * r, d * r, size, d * size, r * size, size * size])
 
 
-def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.7, max_docs: int = 6_000, max_bytes: int = 40 << 20) -> DataFrame:
-    """Score documents(doc_id, text) for quality, learned from labels(doc_id, quality).
+def quality_model(docs: DataFrame, labels: DataFrame, use: Column, max_docs: int = 6_000, max_bytes: int = 40 << 20) -> Callable[[str], Column]:
+    """Learn quality from labels(doc_id, quality) and the texts of documents(doc_id, text).
 
-    Labels are used only from rows whose crc32(doc_id as text) modulo ``modulus`` is not ``held_out``, and of those
-    from a sample of at most max_docs documents a class and about max_bytes of text; half trains the dictionaries,
-    half the calibration. Returns doc_id, text, held_out (of a null doc_id: false), score (0 to 1; empty and null
-    texts: 0) and predicted (score >= threshold). If one class has no labels, the other texts get the base rate.
-    Repeated rows stay rows; other columns are ignored; an empty table gives no rows. Every whole text is compressed.
+    use: condition on doc_id under which a label may be used. At most max_docs documents a class, chosen by hash, and
+    about max_bytes of text are learned from: half trains the dictionaries, half the calibration. Returns a function
+    from the name of a text column to its score: 0 to 1, higher for better text; 0 for null and empty texts. If one
+    class has no labels, every other text gets the base rate.
     """
-    rest = F.coalesce(crc_remainder(modulus) == held_out, F.lit(False))
-    texts, y = labelled_sample(docs, labels, "quality", ~rest, max_docs, max_bytes)
+    texts, y = labelled_sample(docs, labels, "quality", use, max_docs, max_bytes)
     calibrate = np.arange(len(y)) % 2 == 1
     good, bad = (train_dictionary([t for t, c, q in zip(texts, calibrate, y, strict=True) if not c and q == k]) for k in (1, 0))
     w = fit_logistic(DictionaryPair(good, bad).features([t for t, c in zip(texts, calibrate, strict=True) if c]), y[calibrate], ridge=0.01)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pair = DictionaryPair(good, bad)
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                own = some.column(1).fill_null("").to_pylist()
-                p = np.where([bool(t) for t in own], logistic(pair.features(own), w), 0.0)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "text", "held_out", "score", "predicted"])
-
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("held_out"))
-    return some.mapInArrow(score, "doc_id long, text string, held_out boolean, score double, predicted int")
+        for column in batches:
+            parts = []
+            for at in range(0, len(column), 512):
+                own = column.slice(at, 512).fill_null("").to_pylist()
+                parts.append(np.where([bool(t) for t in own], logistic(pair.features(own), w), 0.0))
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return score
+
+
+def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.7, **bounds: int) -> DataFrame:
+    """Score documents(doc_id, text) for quality, learned from labels(doc_id, quality); see quality_model.
+
+    Labels are used only from rows whose crc32(doc_id as text) modulo ``modulus`` is not ``held_out``. Returns doc_id,
+    held_out (of a null doc_id: false), score and predicted (score >= threshold). Repeated rows stay rows; other
+    columns are ignored; an empty table gives no rows. Every whole text is compressed.
+    """
+    rest = F.coalesce(crc_remainder(modulus) == held_out, F.lit(False))
+    score = quality_model(docs, labels, ~rest, **bounds)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rest.alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -177,3 +177,21 @@ def leaked_items(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_byt
         part = docs.mapInArrow(search(block), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of documents(text, ...) whose text holds no benchmark item; see leaked_items. Nothing is shuffled.
+    Rows with a null text stay."""
+
+    def clean(block: list[tuple[int, str]]):
+        @F.arrow_udf("boolean")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            match = Matcher(block, rate)
+            for column in batches:
+                yield pa.array([not t or not match(t) for t in column.to_pylist()], pa.bool_())
+
+        return run
+
+    for block in item_blocks(items, block_bytes):
+        docs = docs.where(clean(block)("text"))
+    return docs

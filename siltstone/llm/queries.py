@@ -26,6 +26,13 @@ def _byte_level_encoder():
     return ByteLevelMemo(tokenizer_file("byte_bpe_50k.json"))
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found of every vector whose id is divisible by 50."""
+    from .permutation_index import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as wavelet-matrix shards and read back."""
     from .wavelet_matrix import wavelet_store
@@ -55,6 +62,13 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by compression with a good and a bad dictionary."""
+    from .compression_classifier import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words that 50-word windows of earlier documents cover."""
     from .relative_lz import rlz_dedup
@@ -63,7 +77,64 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within a tenth of its length in edits."""
+    from .pigeonhole_edit import leaked_items
+
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
+
+
+#: Host, path, verdict.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+#: Globs over host + path that block a url without a rule.
+URL_DEFAULTS = ("*adult*", "*casino*", "*/ads/*", "*.exe")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    from .glob_automaton import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES, URL_DEFAULTS)
+
+
+OP9_SQL = """
+WITH a AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+d AS (SELECT page_id, host, path, CASE
+    WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM c)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN (host || path) LIKE '%adult%' OR (host || path) LIKE '%casino%' OR (host || path) LIKE '%/ads/%' OR (host || path) LIKE '%.exe' THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM d
+"""
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by class-conditional Kneser-Ney models."""
+    from .kneser_ney import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_wavelet_matrix, op3_ngram_jaccard_join, op4_sentencepiece, op5_suffix_array_dedup, op7_substring_dedup)
-}
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_permutation_index, op2_wavelet_matrix, op3_ngram_jaccard_join, op4_sentencepiece, op5_suffix_array_dedup,
+        op6_quality_classifier, op7_substring_dedup, op8_benchmark_decontamination, op9_url_filter, op10_toxicity,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}

@@ -167,7 +167,7 @@ def write_shards(docs: DataFrame, folder: str, encoder: Callable, bits: int, end
         system.move(temporary, name)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(lengths)], "ids": [len(all_ids)]})
 
-    return Scratch(spark, "wavelet").save(ordered.mapInArrow(write, "shard int, docs long, ids long"), "manifest")
+    return Scratch(spark, "wavelet").save(ordered.mapInArrow(write, "shard long, docs long, ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
