@@ -10,8 +10,11 @@ all documents share costs one row for each task that sees it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +48,30 @@ def shared_buckets(anchors: DataFrame, scratch: Scratch, hot: int) -> Buckets:
     return Buckets(anchors, info, classes.where("width > 1"))
 
 
+def merged(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of starts as maximal runs: sorted, touching and overlapping ones joined."""
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate((lo + n)[order])
+    head = np.flatnonzero(np.append(True, lo[1:] > end[:-1]))
+    return lo[head], np.append(end[head[1:] - 1], end[-1:]) - lo[head]
+
+
 def per_document(ranges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
-    """ranges(doc_id, lo, n) as one row per document, doc_id and marks (array of lo, n), written; and the bytes of the marks."""
-    table = scratch.save(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("marks")), name)
+    """ranges(doc_id, lo, n) as one row per document, doc_id and marks (array of lo, n: maximal runs), written; and
+    the bytes of the marks."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            los, ns, size = [], [], []
+            for marks in batch.column(1):
+                f = marks.values
+                lo, n = merged(f.field(0).to_numpy(), f.field(1).to_numpy())
+                los.append(lo), ns.append(n), size.append(len(lo))
+            if size:
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(los)), pa.array(np.concatenate(ns))], ["lo", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat)], ["doc_id", "marks"])
+
+    rows = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
+    table = scratch.save(rows.mapInArrow(merge, "doc_id long, marks array<struct<lo:long,n:long>>"), name)
     size = table.agg(F.sum(F.size("marks"))).first()[0]
     return table, 16 * (size or 0)
