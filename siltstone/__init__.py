@@ -1,0 +1 @@
+"""Permission-aware retrieval, evaluation and corpus analytics on Spark."""
