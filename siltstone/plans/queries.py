@@ -112,10 +112,10 @@ def term_index(spark, d):
     return _terms(spark, d)
 
 
-@query("SELECT term, df, ln(1 + (n_chunks - df + 0.5) / (df + 0.5)) AS idf FROM df, size")
+@query("SELECT term, df, round(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, size")
 def corpus_idf(spark, d):
     df, size = retrieval.scope_statistics(_terms(spark, d))
-    return df.join(F.broadcast(size)).select("term", "df", retrieval.idf(F.col("n_chunks"), F.col("df")).alias("idf"))
+    return df.join(F.broadcast(size)).select("term", "df", F.round(retrieval.idf(F.col("n_chunks"), F.col("df")), 6).alias("idf"))
 
 
 @query("SELECT query_id, term, qtf, n_terms FROM qterms")
@@ -314,14 +314,14 @@ def _results(spark, d):
 
 
 @query(
-    f"""WITH {RESULTS} SELECT coalesce(case_type, 'all') AS case_type, count(*) AS total_cases, count(*) FILTER (overall_pass) AS pass_count, round(avg(overall_pass::INT), 4) AS pass_rate, round(avg(ok::INT), 4) AS permission_pass_rate,
-    round(avg(r), 4)::DOUBLE AS retrieval_hit_rate_avg, round(avg(c), 4)::DOUBLE AS citation_accuracy_avg, round(avg(a), 4)::DOUBLE AS answer_faithfulness_avg, round(avg(overall_score), 4)::DOUBLE AS overall_score_avg, round(avg(p), 4)::DOUBLE AS permission_isolation_score_avg
+    f"""WITH {RESULTS} SELECT coalesce(case_type, 'all') AS case_type, count(*) AS total_cases, count(*) FILTER (overall_pass) AS pass_count, round(avg(overall_pass::INT), 9) AS pass_rate, round(avg(ok::INT), 9) AS permission_pass_rate,
+    round(avg(r), 9)::DOUBLE AS retrieval_hit_rate_avg, round(avg(c), 9)::DOUBLE AS citation_accuracy_avg, round(avg(a), 9)::DOUBLE AS answer_faithfulness_avg, round(avg(overall_score), 9)::DOUBLE AS overall_score_avg, round(avg(p), 9)::DOUBLE AS permission_isolation_score_avg
     FROM scored GROUP BY GROUPING SETS ((), (case_type))""",
     views=False,
 )
 def evaluation_summary(spark, d):
     made = evaluation.summary(_results(spark, d))
-    return made.select("case_type", "total_cases", "pass_count", *[F.round(c, 4).alias(c) for c in made.columns if c not in ("case_type", "total_cases", "pass_count")])
+    return made.select("case_type", "total_cases", "pass_count", *[F.round(c, 9).alias(c) for c in made.columns if c not in ("case_type", "total_cases", "pass_count")])
 
 
 @query(
@@ -483,6 +483,6 @@ def document_previews(spark, d):
     return D.documents(spark, d).select("document_id", T.compact("title").alias("compact_title"), F.length(T.squeeze("content")).cast("long").alias("squeezed_length"), T.shorten("content", 80).alias("preview"))
 
 
-@query("SELECT lang, source, count(*) AS n_documents, count(*) FILTER (content IS NOT NULL) AS n_with_text, sum(length(content)) AS n_chars FROM docs GROUP BY ALL")
+@query("SELECT lang, source, count(*) AS n_documents, count(*) FILTER (content IS NOT NULL) AS n_with_text, sum(length(content))::BIGINT AS n_chars FROM docs GROUP BY ALL")
 def format_coverage(spark, d):
     return D.documents(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n_documents"), F.count("content").alias("n_with_text"), F.sum(F.length("content")).alias("n_chars"))
