@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import access, conversations, evaluation, fusion, index, retrieval, sets
+from ..operators import access, conversations, corpus, evaluation, fusion, index, retrieval, sets
+from ..streaming import traces as stream
 from . import tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -486,3 +487,86 @@ def document_previews(spark, d):
 @query("SELECT lang, source, count(*) AS n_documents, count(*) FILTER (content IS NOT NULL) AS n_with_text, sum(length(content))::BIGINT AS n_chars FROM docs GROUP BY ALL")
 def format_coverage(spark, d):
     return D.documents(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n_documents"), F.count("content").alias("n_with_text"), F.sum(F.length("content")).alias("n_chars"))
+
+
+# Ingest.
+
+
+@query()
+def chunk_documents(spark, d):
+    """Documents folded into chunks of about 900 characters; the fold has no SQL form and is tested on literal rows."""
+    parts = corpus.segments(D.documents(spark, d).select("document_id", "content"), "\n")
+    return corpus.chunk_documents(parts)
+
+
+@query(
+    """, s AS (SELECT document_id, trim(content) AS text, chunk_index FROM lines WHERE trim(content) <> ''),
+    n AS (SELECT document_id, text, row_number() OVER w AS paragraph_index, coalesce(sum(length(text) + 2) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_start FROM s WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index))
+    SELECT document_id, paragraph_index, text, char_start, (char_start + length(text))::INT AS char_end FROM n"""
+)
+def document_segments(spark, d):
+    made = corpus.segments(D.documents(spark, d).select("document_id", "content"), "\n")
+    return made.withColumn("paragraph_index", F.col("paragraph_index").cast("long"))
+
+
+@query(
+    """SELECT chunk_id, 'paragraph' AS chunk_type, trim(regexp_replace('paragraph ' || content, '\\s+', ' ', 'g'))[1:200] AS head FROM chunks"""
+)
+def chunk_structure(spark, d):
+    made = corpus.with_structure(D.chunks(spark, d))
+    return made.select("chunk_id", "chunk_type", F.substring("structural_search_text", 1, 200).alias("head"))
+
+
+@query()
+def page_segments(spark, d):
+    """Content blocks of every page; an HTML parser has no SQL form and is tested on literal pages."""
+    from ..sources.html import page_segments as run
+
+    return run(D.table(spark, d, "pages")).select("page_id", "paragraph_index", "tag", "text", "section_title")
+
+
+# Traces and jobs.
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type AS trace_type, count(*) AS n, round(sum(value), 3) AS total, max(value) AS largest FROM events GROUP BY ALL", views=False)
+def trace_latency_windows(spark, d):
+    traces = D.table(spark, d, "events").select("ts", F.col("event_type").alias("trace_type"), F.col("value").alias("latency"))
+    return stream.latency_windows(traces).withColumn("total", F.round("total", 3))
+
+
+@query(
+    """WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM b GROUP BY user_id, s""",
+    views=False,
+)
+def trace_sessions(spark, d):
+    return stream.sessions(D.table(spark, d, "events"))
+
+
+JOBS = """jobs AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS event FROM events WHERE event_id % 3 = 0)"""
+
+
+@query(
+    f"""WITH {JOBS}, f AS (SELECT job_id, event, ts, row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN event IN ('failed', 'completed') THEN 0 WHEN event = 'running' THEN 1 ELSE 2 END,
+      CASE WHEN event IN ('failed', 'completed') THEN epoch_us(ts) ELSE -epoch_us(ts) END, event) AS n FROM jobs) SELECT job_id, event AS status, ts FROM f WHERE n = 1""",
+    views=False,
+)
+def job_states(spark, d):
+    kind = F.col("event_type")
+    event = F.when(kind.isin("view", "signup"), "queued").when(kind == "click", "running").when(kind == "error", "failed").otherwise("completed")
+    rows = D.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("job_id"), "ts", event.alias("event"))
+    return stream.job_states(rows)
+
+
+@query("SELECT event_type AS job_type, user_id, json_extract_string(props, '$.k') AS client_request_id, min(ts) AS ts FROM events GROUP BY ALL", views=False)
+def idempotent_requests(spark, d):
+    rows = D.table(spark, d, "events").select(F.col("event_type").alias("job_type"), "user_id", F.get_json_object("props", "$.k").alias("client_request_id"), "ts")
+    return stream.first_requests(rows)
+
+
+@query("SELECT event_id, event_type, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'error') WHERE n <= 5", views=False)
+def recent_error_traces(spark, d):
+    own = D.table(spark, d, "events").where("event_type = 'error'")
+    made = retrieval.top_k(own.withColumn("key", F.unix_micros(F.col("ts").cast("timestamp"))), 5, "key", ("user_id",), (F.desc("event_id"),))
+    return made.select("event_id", "event_type", "user_id")
