@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import access, conversations, corpus, evaluation, fusion, index, retrieval, sets
+from ..operators import access, conversations, corpus, evaluation, evidence, fusion, index, retrieval, sets
 from ..streaming import traces as stream
 from . import tables as D
 
@@ -570,3 +570,70 @@ def recent_error_traces(spark, d):
     own = D.table(spark, d, "events").where("event_type = 'error'")
     made = retrieval.top_k(own.withColumn("key", F.unix_micros(F.col("ts").cast("timestamp"))), 5, "key", ("user_id",), (F.desc("event_id"),))
     return made.select("event_id", "event_type", "user_id")
+
+
+# Evidence.
+
+
+@query(
+    """WITH h AS (SELECT item_id, sha256('0:' || text) || sha256('1:' || text) AS hex FROM benchmark),
+    v AS (SELECT item_id, list_transform(range(64), lambda k: ('0x' || hex[2 * k + 1:2 * k + 2])::INT / 127.5::DOUBLE - 1) AS raw FROM h),
+    n AS (SELECT item_id, raw, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS norm FROM v)
+    SELECT item_id, round(raw[1] / norm, 6) AS first, round(raw[64] / norm, 6) AS last, round(list_sum(raw) / norm, 6) AS total FROM n""",
+    views=False,
+)
+def offline_embeddings(spark, d):
+    made = D.table(spark, d, "benchmark").select("item_id", evidence.embedding("text", 64).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
+    return made.select("item_id", F.round(F.get("e", F.lit(0)), 6).alias("first"), F.round(F.get("e", F.lit(63)), 6).alias("last"), F.round(total, 6).alias("total"))
+
+
+@query(
+    f""", {BM25}, q AS (SELECT query_id, list_distinct(regexp_extract_all(replace(lower(query_text), 'ß', 'ss'), '[a-z0-9]+')) AS a FROM queries),
+    c AS (SELECT chunk_id, list_distinct(regexp_extract_all(low, '[a-z0-9]+')) AS b FROM folded)
+    SELECT t.query_id, t.chunk_id, round(len(list_intersect(a, b)) / len(a), 6) AS overlap, round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) AS coefficient
+    FROM bm_top t JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE t.rank <= 3 AND len(a) > 0 AND len(b) > 0"""
+)
+def evidence_overlap(spark, d):
+    """How much of a question's terms its three best chunks hold."""
+    top = _bm25_top(spark, d, 3).select("query_id", "chunk_id")
+    rows = top.join(D.queries(spark, d), "query_id").join(D.chunks(spark, d).select("chunk_id", "content"), "chunk_id")
+    a, b = evidence.terms("query_text"), evidence.terms("content")
+    made = rows.select("query_id", "chunk_id", F.round(evidence.share_found(a, b), 6).alias("overlap"), F.round(evidence.overlap_coefficient(a, b), 6).alias("coefficient"), F.size(a).alias("n"), F.size(b).alias("m"))
+    return made.where("n > 0 and m > 0").drop("n", "m")
+
+
+@query(
+    """SELECT CASE WHEN chunk_index <= 20 THEN '<=20' WHEN chunk_index <= 80 THEN '21-80' WHEN chunk_index <= 120 THEN '81-120' WHEN chunk_index <= 300 THEN '121-300' ELSE '>300' END AS bucket, count(*) AS n_chunks FROM chunks GROUP BY 1"""
+)
+def chunk_positions(spark, d):
+    return D.chunks(spark, d).groupBy(evidence.position_bucket("chunk_index").alias("bucket")).agg(F.count("*").alias("n_chunks"))
+
+
+@query(
+    """, r AS (SELECT query_id, query_id % 6 AS case_type, length(query_text) AS weight FROM queries),
+    n AS (SELECT *, row_number() OVER (PARTITION BY case_type ORDER BY weight, query_id) AS k FROM r)
+    SELECT query_id AS case_id, case_type, k AS turn, row_number() OVER (ORDER BY k, case_type) AS place FROM n WHERE k <= 4"""
+)
+def balanced_case_sample(spark, d):
+    """The four lightest cases of each type, interleaved; the report is bounded by its types."""
+    from pyspark.sql import Window as W
+
+    r = D.queries(spark, d).select(F.col("query_id").alias("case_id"), (F.col("query_id") % 6).alias("case_type"), F.length("query_text").alias("weight"))
+    n = r.withColumn("turn", F.row_number().over(W.partitionBy("case_type").orderBy("weight", "case_id")).cast("long")).where("turn <= 4")
+    return n.select("case_id", "case_type", "turn", F.row_number().over(W.orderBy("turn", "case_type")).cast("long").alias("place"))
+
+
+@query(
+    """, v AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY document_id) AS n FROM docs),
+    p AS (SELECT a.document_id AS pair_id, lower(coalesce(a.content, '') || ' ' || coalesce(b.content, '')) AS t FROM v a JOIN v b ON a.source = b.source AND a.lang = b.lang AND b.n = a.n + 1 WHERE a.n % 2 = 1)
+    SELECT pair_id, contains(t, 'sla') AS has_sla, contains(t, 'owner') AS has_owner, contains(t, 'release') AS has_release FROM p"""
+)
+def change_impact_words(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("source", "lang").orderBy("document_id")
+    v = D.documents(spark, d).select("document_id", "content", F.row_number().over(w).alias("n"), F.lead("content").over(w).alias("next"), F.lead("document_id").over(w).alias("other"))
+    words = evidence.impact_words(F.concat_ws(" ", "content", "next"))
+    pairs = v.where("n % 2 = 1 and other is not null").select(F.col("document_id").alias("pair_id"), words.alias("w"))
+    return pairs.select("pair_id", *[F.array_contains("w", x).alias(f"has_{x}") for x in ("sla", "owner", "release")])

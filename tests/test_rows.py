@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import access, conversations, corpus, evaluation, fusion, index, retrieval, sets
+from siltstone.operators import access, conversations, corpus, evaluation, evidence, fusion, index, retrieval, sets
 from siltstone.sources import files, html, tables
 from siltstone.streaming import traces
 
@@ -187,3 +187,30 @@ def test_jobs(spark):
     states = traces.job_states(events)
     assert {r.job_id: r.status for r in states.collect()} == {1: "completed", 2: "queued", 3: "running"}
     assert {r.job_id: r.status for r in traces.stale_jobs(states, F.lit(at(10))).collect()} == {1: "completed", 2: "failed", 3: "running"}
+
+
+def test_facts_and_claims(spark):
+    row = spark.createDataFrame([("必须先提交完整申请，然后等待部门审批 ok", [("a", ["提交完整申请，等待部门审批"], 2.0), ("b", ["missing"], 1.0), ("c", ["OK"], 1.0)])], "t string, specs array<struct<label:string,aliases:array<string>,weight:double>>")
+    got = row.select(evidence.fact_coverage(F.col("specs"), F.col("t")).alias("f")).first().f
+    assert (got.matched, got.missing, got.coverage) == (["a", "c"], ["b"], 0.75)
+    answers = spark.createDataFrame([(1, "The limit is ten days [1, 2]. Nobody knows this thing. The limit is ten days.")], "answer_id int, answer string")
+    found = spark.createDataFrame([(1, "Note: the limit is ten days!"), (1, "nobody there")], "answer_id int, content string")
+    assert [(r.claim_no, round(r.best, 2), r.status) for r in evidence.claim_support(answers, found).orderBy("claim_no").collect()] == [(0, 1.0, "supported"), (1, 0.25, "unsupported")]
+
+
+def test_embedding(spark):
+    import hashlib
+
+    raw = [b / 127.5 - 1 for i in range(2) for b in hashlib.sha256(f"{i}:hé".encode()).digest()][:40]
+    norm = sum(x * x for x in raw) ** 0.5
+    assert one(spark, lambda c: evidence.embedding(c, 40), "hé") == pytest.approx([x / norm for x in raw])
+
+
+def test_stage_loss(spark):
+    lit = F.lit
+    full = {k: lit(1.0) for k in ("title_pool", "source_pool", "base_pool", "fused", "pre_rerank", "reranked", "final")}
+    row = spark.range(1)
+    name = lambda passed=False, **r: row.select(evidence.stage_loss(lit(passed), lit(False), lit(None).cast("string"), full | {k: lit(v) for k, v in r.items()}).alias("x")).first().x
+    assert [name(True), name(title_pool=0.0), name(source_pool=0.5), name(fused=0.5), name(pre_rerank=0.2), name(reranked=0.5), name(final=0.5)] == [
+        "passed", "source_pool_title_missing", "source_pool_evidence_missing", "fusion_evidence_dropped", "expansion_or_refusion_evidence_dropped", "rerank_evidence_dropped", "final_selection_evidence_dropped",
+    ]
