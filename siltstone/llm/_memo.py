@@ -1,25 +1,18 @@
 """Encoding by the tokenizers library with a memo of pieces.
 
 Texts are cut where the tokenizer never joins; each different piece is encoded once per worker by the
-tokenizer's own model. What a cut isn't proven for is cut by the tokenizer's pattern, or encoded whole.
+tokenizer's own model.
 """
 
 from __future__ import annotations
 
-import json
 import os
-import re
 
 import numpy as np
-from tokenizers import Tokenizer, pre_tokenizers
 
 #: Pieces in each of a memo's two generations; what the young one lacks may come from the old one.
 MEMO_PIECES = 600_000
 
-#: The byte-level pre-tokenizer's own pattern (a fixed value).
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 def use_threads(n: int) -> None:
     """Threads of the tokenizers library in this process; a Spark task has one core unless told otherwise."""
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if n > 1 else "false"
@@ -64,61 +57,3 @@ class PieceMemo:
 def split_ids(ids: np.ndarray, token_length: np.ndarray, piece_length: np.ndarray) -> np.ndarray:
     """Where each piece's ids end, from the lengths that tokens and pieces have in the encoded text."""
     return np.searchsorted(np.cumsum(token_length[ids]), np.cumsum(piece_length)) + 1
-
-
-class ByteLevelMemo(PieceMemo):
-    """Byte-level BPE without added prefix space. Strings of special tokens in a text are ordinary text."""
-
-    #: A text that has none of these is cut before single spaces and around "," "." and line ends.
-    odd = re.compile(r"[\s.,'](?:(?<=')|(?<=[.,])(?=\S)|(?<=[\W_][.,])|(?<=\s)(?=\s)|(?<=[^\S \n]))")
-
-    def __init__(self, path: str) -> None:
-        import regex
-
-        super().__init__()
-        full = Tokenizer.from_file(path)
-        spec = json.loads(full.to_str())
-        pre = spec["pre_tokenizer"]
-        if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-            raise ValueError("not a plain byte-level tokenizer")
-        self.end = full.get_vocab_size()
-        self.dtype = np.uint16 if self.end <= 1 << 16 else np.uint32
-        self.model = Tokenizer(full.model)
-        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
-        # Printable Latin-1 bytes stand for themselves, the others for code points from 256 on, in order.
-        self.table, extra = {}, 0
-        for b in range(256):
-            if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
-                self.table[b] = chr(b)
-            else:
-                self.table[b] = chr(256 + extra)
-                extra += 1
-        self.length = np.zeros(self.end, np.int64)
-        for token, i in self.model.get_vocab(False).items():
-            self.length[i] = len(token)
-
-    def pieces(self, text: str) -> list[str]:
-        if "\0" in text or text[:1] in ".," or text[:1].isspace() or text[-1:].isspace() or self.odd.search(text):
-            return self.pattern.findall(text)
-        cut = text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
-        return cut if cut[0] else cut[1:]
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            mapped, length = [], np.empty(len(some), np.int64)
-            for i, p in enumerate(some):
-                parts = [p] if p.isalpha() or (p[:1] == " " and p[1:].isalpha()) else self.pattern.findall(p)
-                parts = [x.encode("utf-8", "replace").decode("latin1").translate(self.table) for x in parts]
-                length[i] = sum(map(len, parts))
-                mapped += parts
-            ids = np.array(self.model.encode_batch_fast(["\n".join(mapped)], add_special_tokens=False)[0].ids, self.dtype)
-            raw, size = ids.tobytes(), ids.itemsize
-            ends = split_ids(ids, self.length, length) * size
-            begin = 0
-            for k, e in zip(length.tolist(), ends.tolist(), strict=True):
-                out.append(raw[begin:e] if k else b"")
-                begin = e if k else begin
-        return out

@@ -20,10 +20,11 @@ def tokenizer_file(name: str) -> str:
 
 
 def _byte_level_encoder():
-    from ._memo import ByteLevelMemo, use_threads
+    from ._byte_level import ByteLevelColumns
+    from ._memo import use_threads
 
     use_threads(1)
-    return ByteLevelMemo(tokenizer_file("byte_bpe_50k.json"))
+    return ByteLevelColumns(tokenizer_file("byte_bpe_50k.json")).column
 
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def load(body: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 def write_shards(docs: DataFrame, folder: str, encoder: Callable, bits: int, end_id: int, shard_bytes: int = 16 << 20) -> DataFrame:
     """Encode documents(doc_id, text) and write them in ascending doc_id order as shard files under ``folder``.
 
-    encoder(): makes, in a worker, a function from a list of texts to a list of id arrays. Each document gets
+    encoder(): makes, in a worker, a function from a column of texts to runs of (ids, ids of each row). Each document gets
     end_id appended. Returns the manifest (shard, docs, ids), one row per file; shards ascend with doc_id. A file
     is written under another name and then renamed, so a task that runs again or twice leaves a whole file.
     """
@@ -146,18 +146,17 @@ def write_shards(docs: DataFrame, folder: str, encoder: Callable, bits: int, end
 
         encode, shard = encoder(), TaskContext.get().partitionId()
         doc_ids, lengths, ids = [], [], []
-        end = np.array([end_id], np.uint16 if bits <= 16 else np.uint32)
+        kind = np.uint16 if bits <= 16 else np.uint32
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                doc_ids.append(some.column(0).to_numpy(zero_copy_only=False))
-                for one in encode(some.column(1).to_pylist()):
-                    lengths.append(len(one) + 1)
-                    ids += [one.astype(end.dtype, copy=False), end]
+            if len(batch):
+                doc_ids.append(batch.column(0).to_numpy(zero_copy_only=False))
+                for own, n in encode(batch.column(1)):
+                    ids.append(np.insert(own.astype(kind, copy=False), np.cumsum(n), end_id))
+                    lengths.append(n + 1)
         if not doc_ids:
             return
-        all_ids = np.concatenate(ids)
-        body = dump(np.concatenate(doc_ids), np.array(lengths, np.int64), all_ids, bits)
+        all_ids, lengths = np.concatenate(ids), np.concatenate(lengths)
+        body = dump(np.concatenate(doc_ids), lengths, all_ids, bits)
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
         name = f"{path}/shard-{shard:08d}.wmx"
@@ -183,7 +182,7 @@ def read_shards(manifest: DataFrame, folder: str, with_ids: bool = False) -> Dat
         for batch in batches:
             for i in range(len(batch)):
                 doc_ids, lengths, matrix = load(batch.column(1)[i].as_py())
-                ids = matrix.sequence()
+                ids = matrix.sequence(np.uint16 if len(matrix.planes) <= 16 else np.uint32)
                 ends = np.cumsum(lengths)
                 raw = memoryview(ids.astype("<u4", copy=False).tobytes())
                 crc = [zlib.crc32(raw[(e - n) * 4 : e * 4]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
