@@ -637,3 +637,26 @@ def change_impact_words(spark, d):
     words = evidence.impact_words(F.concat_ws(" ", "content", "next"))
     pairs = v.where("n % 2 = 1 and other is not null").select(F.col("document_id").alias("pair_id"), words.alias("w"))
     return pairs.select("pair_id", *[F.array_contains("w", x).alias(f"has_{x}") for x in ("sla", "owner", "release")])
+
+
+@query(
+    f""", {SEEDS}, sd AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), document_id) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS found FROM seeds GROUP BY query_id, document_id),
+    own AS (SELECT sd.query_id, c.document_id, c.chunk_id, c.chunk_index, place, found FROM sd JOIN chunks c USING (document_id)),
+    st AS (SELECT own.query_id, t.* FROM own JOIN terms t USING (chunk_id)), sdf AS (SELECT query_id, term, count(*) AS df FROM st GROUP BY ALL),
+    sl AS (SELECT query_id, chunk_id, sum(tf) AS doc_len FROM st GROUP BY ALL), ss AS (SELECT query_id, count(*) AS n_chunks, avg(doc_len) AS avg_len FROM sl GROUP BY 1),
+    s AS (SELECT q.query_id, st.chunk_id, sum(ln(1 + (n_chunks - sdf.df + 0.5) / (sdf.df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (greatest(sl.doc_len, 1) / greatest(avg_len, 1.0))))) + 0.18 * count(*) / max(n_terms) AS score
+      FROM qterms q JOIN st ON st.query_id = q.query_id AND st.term = q.term JOIN sdf ON sdf.query_id = q.query_id AND sdf.term = q.term JOIN sl ON sl.query_id = q.query_id AND sl.chunk_id = st.chunk_id JOIN ss ON ss.query_id = q.query_id GROUP BY 1, 2),
+    r AS (SELECT own.*, round(score + 0.08 * (1 - place / found), 9) AS score FROM s JOIN own USING (query_id, chunk_id) WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seeds x WHERE x.query_id = s.query_id AND x.chunk_id = s.chunk_id)),
+    pd AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_index, chunk_id) AS n FROM r)
+    SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, chunk_id) AS m FROM pd WHERE n <= 4) WHERE m <= 10"""
+)
+def document_sweep(spark, d):
+    made = retrieval.sweep_documents(index.query_terms(D.queries(spark, d)), _bm25_top(spark, d, 3), D.chunks(spark, d), _terms(spark, d), 3, 4, TOP_K)
+    return made.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def reranked_search(spark, d):
+    """Fused candidates reranked by feature overlap; held by a literal-row test."""
+    fused = fusion.fuse(_hits(spark, d)).join(D.queries(spark, d), "query_id").join(D.chunks(spark, d), "chunk_id").withColumn("section_title", F.lit(""))
+    return retrieval.rerank_overlap(fused, TOP_K).select("query_id", "chunk_id", "rank", "rerank")

@@ -214,3 +214,27 @@ def test_stage_loss(spark):
     assert [name(True), name(title_pool=0.0), name(source_pool=0.5), name(fused=0.5), name(pre_rerank=0.2), name(reranked=0.5), name(final=0.5)] == [
         "passed", "source_pool_title_missing", "source_pool_evidence_missing", "fusion_evidence_dropped", "expansion_or_refusion_evidence_dropped", "rerank_evidence_dropped", "final_selection_evidence_dropped",
     ]
+
+
+def test_structural(spark):
+    chunks = spark.createDataFrame(
+        [("a", 1, 0, "保密制度", "第三章", "第十二条", None), ("b", 1, 1, "保密制度", "第三章", "第十三条", None), ("c", 2, 0, "考勤", "总则", None, None)],
+        "chunk_id string, document_id int, chunk_index int, document_title string, section_title string, article_number string, clause_full_name string",
+    )
+    queries = spark.createDataFrame([(1, "保密制度第十二条"), (2, "no anchor here")], "query_id int, query_text string")
+    got = retrieval.structural(queries, chunks, 5).orderBy("rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in got] == [(1, "a"), (1, "b")] and got[0].score - got[1].score > 6
+
+
+def test_rerank(spark):
+    rows = [(1, "leave policy days", "a", 0, "Leave policy", "", "ten days of leave", 0.4, 1.0, ["lexical"]), (1, "leave policy days", "b", 1, "Other", "", "nothing", 0.5, 0.0, ["vector"])]
+    made = retrieval.rerank_overlap(spark.createDataFrame(rows, "query_id int, query_text string, chunk_id string, chunk_index int, document_title string, section_title string, content string, fused double, lexical_raw double, sources array<string>"), 2)
+    assert [(r.chunk_id, round(r.rerank, 4)) for r in made.orderBy("rank").collect()] == [("a", 0.78), ("b", 0.5)]
+
+
+def test_table_pairs_and_exact_text(spark):
+    chunks = spark.createDataFrame([("a", 1, 0, "t", "Table row: 级别=P1; 时限=15分钟.", "table"), ("b", 1, 1, "t", "P1 级别 and more words here to find", "paragraph")], "chunk_id string, document_id int, chunk_index int, document_title string, content string, chunk_type string")
+    pairs = spark.createDataFrame([(1, "级别", "P1")], "query_id int, field string, value string")
+    assert [(r.chunk_id, r.score) for r in retrieval.table_pairs(pairs, chunks, 5).orderBy("rank").collect()] == [("a", 107.75), ("b", 95.75)]
+    q = spark.createDataFrame([(1, "more words here"), (2, "20240101 2024"), (3, "short")], "query_id int, query_text string")
+    assert [(r.query_id, r.chunk_id, round(r.score, 3)) for r in retrieval.exact_text(q, chunks, 5).collect()] == [(1, "b", 72.15)]
