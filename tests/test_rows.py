@@ -5,9 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions import anchors
 from siltstone.functions import text as T
-from siltstone.operators import access, conversations, corpus, evaluation, evidence, fusion, index, retrieval, sets
-from siltstone.sources import files, html, tables
+from siltstone.operators import access, conversations, corpus, evaluation, evidence, fusion, index, reports, retrieval, sets
+from siltstone.sources import files, html, layout, tables
 from siltstone.streaming import traces
 
 
@@ -238,3 +239,47 @@ def test_table_pairs_and_exact_text(spark):
     assert [(r.chunk_id, r.score) for r in retrieval.table_pairs(pairs, chunks, 5).orderBy("rank").collect()] == [("a", 107.75), ("b", 95.75)]
     q = spark.createDataFrame([(1, "more words here"), (2, "20240101 2024"), (3, "short")], "query_id int, query_text string")
     assert [(r.query_id, r.chunk_id, round(r.score, 3)) for r in retrieval.exact_text(q, chunks, 5).collect()] == [(1, "b", 72.15)]
+
+
+def test_anchors(spark):
+    assert one(spark, anchors.quoted, 'a “甲 乙” and "x  y" “甲 乙” ""') == ["甲 乙", "x y"]
+    assert one(spark, anchors.weak_anchor_reasons, "2023年5月1日") == ["date_only"] and one(spark, anchors.weak_anchor_reasons, "12.5条") == ["too_short", "numeric_only", "article_fragment"]
+    assert [one(spark, lambda c, s=s: anchors.version_reference(c, s), "compare V1 with v3") for s in ("from", "to")] == ["v1", "v3"]
+    assert [one(spark, lambda c, s=s: anchors.version_reference(c, s), "previous against newest") for s in ("from", "to")] == ["previous", "latest"]
+    assert one(spark, anchors.is_version_comparison, "What changed in this version?") and not one(spark, anchors.is_version_comparison, "v2 please")
+    nums = F.array(*[F.lit(x) for x in (5, 4, 2)])
+    assert [one(spark, lambda c: anchors.resolve_version(F.col(c), nums), v) for v in ("latest", "previous", "v2", "4", "v9")] == [5, 4, 2, 4, None]
+    assert tuple(one(spark, anchors.law_and_article, "保密法 第三条")) == ("保密法", "第三条") and tuple(one(spark, anchors.law_and_article, "总则")) == ("总则", "总则")
+    assert one(spark, anchors.marker_key, "A，b (C)") == "abc"
+    row = spark.range(1).select(anchors.location_label(F.lit(None).cast("int"), F.lit(3), F.lit(1)).alias("a"), anchors.citation_identity(F.lit(None), F.lit("d"), F.lit(None), F.lit(2)).alias("b")).first()
+    assert (row.a, row.b) == ("第 3 段", "d||2")
+
+
+def test_reports(spark):
+    cases = spark.createDataFrame([("a", "n1", "q", "answer", ["d1"]), ("a", "n1", "", "answer", []), ("b", None, "q", "x", ["zz"])], "dataset string, case_name string, question string, expected_outcome string, expected_document_ids array<string>")
+    runs = spark.createDataFrame([("a", 1, 1, "completed"), ("a", 2, 2, "failed"), ("a", 3, 3, "completed"), ("c", 4, 1, "completed")], "dataset string, run_id int, created_at int, status string")
+    got = {r.dataset: (r.n_cases, r.n_completed, r.n_failed, r.latest_run) for r in reports.dataset_report(cases, runs).collect()}
+    assert got == {"a": (2, 2, 1, 3), "b": (1, 0, 0, None), "c": (0, 1, 0, 4)}
+    assert [(r.run_id, r.point) for r in reports.run_trend(runs, 5).where("dataset = 'a'").orderBy("point").collect()] == [(1, 1), (3, 2)]
+    errors = sorted((r.case_name or "", r.error) for r in reports.case_errors(cases, spark.createDataFrame([("d1",)], "id string")).collect())
+    assert errors == [("", "invalid_expected_outcome"), ("", "missing_case_name"), ("", "unknown_expected_document:zz"), ("n1", "answer_without_expected_document"), ("n1", "duplicate_case_name"), ("n1", "duplicate_case_name"), ("n1", "missing_question")]
+    near = reports.nearest_candidate(spark.createDataFrame([(1, "d", 10)], "marker_id int, document_id string, chunk_index int"), spark.createDataFrame([("d", 8, 1), ("d", 12, 2), ("e", 10, 1)], "document_id string, chunk_index int, rank int")).first()
+    assert (near.distance, near.nearest, near.within_1, near.within_2) == (2, 8, False, True)
+    moved = reports.move_subtree(spark.createDataFrame([("a", "r/a"), ("b", "r/a/b"), ("c", "r/ab")], "department_id string, id_path string"), "r/a", "q/a")
+    assert {r.department_id: r.id_path for r in moved.collect()} == {"a": "q/a", "b": "q/a/b", "c": "r/ab"}
+    t, f, n = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
+    ops = spark.range(1).select(*[reports.acl_operation(*x).alias(f"c{i}") for i, x in enumerate([(t, f, n, n), (f, f, n, n), (f, f, t, f), (t, f, t, f), (t, t, t, f)])]).first()
+    assert list(ops) == ["create", "noop", "revoke", "unchanged", "update"]
+
+
+def test_layout(spark):
+    words = spark.createDataFrame([(1, "in", 1, 1, 2, 2), (1, "out", 20, 20, 22, 22), (2, "other", 1, 1, 2, 2)], "page_id int, text string, left int, top int, right int, bottom int")
+    boxes = spark.createDataFrame([(1, 0, 0, 10, 10)], "page_id int, left int, top int, right int, bottom int")
+    assert sorted(r.text for r in layout.words_outside(words, boxes).collect()) == ["other", "out"]
+    pages = spark.createDataFrame([("d", 1, 0, 2, ["a", "b"], True), ("d", 2, 0, 2, ["1", "2"], False), ("d", 4, 0, 2, ["3", "4"], False)], "document_id string, page int, table_no int, width int, header array<string>, has_header boolean")
+    assert [r.effective_header for r in layout.carried_headers(pages).orderBy("page").collect()] == [["a", "b"], ["a", "b"], None]
+    rows = spark.createDataFrame([(1, i, n) for i, n in enumerate([1, 3, 3, 2, 2, 2, 3])], "image_id int, row_no int, n_cells int")
+    assert tuple(layout.best_run(rows).first()) == (1, 3, 3, 2)
+    boxes = spark.createDataFrame([(1, t, l, y, l + 20, y + 10) for t, l, y in [("a", 0, 0), ("b", 25, 1), ("c", 120, 0), ("d", 0, 40), ("e", 120, 41)]], "image_id int, text string, left int, top int, right int, bottom int")
+    cells = tables.row_cells(tables.word_rows(boxes)).orderBy("row_no", "cell_no").collect()
+    assert [(r.row_no, r.text) for r in cells] == [(0, "a b"), (0, "c"), (1, "d"), (1, "e")]
