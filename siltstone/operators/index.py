@@ -17,16 +17,23 @@ MAX_TF, MAX_TOKENS = 12, 4096
 def term_index(chunks: DataFrame, key: str = "chunk_id", weights: dict[str, int] = FIELD_WEIGHTS) -> DataFrame:
     """(key, term, tf): weighted term counts, at most 12 each, cut at 4,096 in first-seen order.
 
-    One row per field is exploded to terms and combined before the shuffle on (key, term).
+    One row per field is exploded to terms and combined before the shuffle on (key, term). Chunks whose lengths rule
+    out 4,096 tokens (a character makes three at most) need no order and skip the window.
     """
     fields = [f for f in weights if f in chunks.columns]
+    bound = sum((F.length(T.text(f)) * (3 * weights[f]) for f in fields[1:]), F.length(T.text(fields[0])) * (3 * weights[fields[0]]))
     parts = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(weights[f]).alias("weight"), T.search_tokens(f).alias("tokens")) for k, f in enumerate(fields)])
-    rows = chunks.select(key, F.explode(parts).alias("p")).select(key, "p.field", "p.weight", F.posexplode("p.tokens").alias("pos", "term"))
-    counted = rows.groupBy(key, "term").agg(F.sum("weight").alias("tf"), F.min(F.struct("field", "pos")).alias("first"))
-    capped = counted.withColumn("tf", F.least("tf", F.lit(MAX_TF)))
+
+    def exploded(rows: DataFrame) -> DataFrame:
+        return rows.select(key, F.explode(parts).alias("p"))
+
+    short = exploded(chunks.where(bound <= MAX_TOKENS)).select(key, "p.weight", F.explode("p.tokens").alias("term"))
+    short = short.groupBy(key, "term").agg(F.least(F.sum("weight"), F.lit(MAX_TF)).cast("int").alias("tf"))
+    long = exploded(chunks.where(bound > MAX_TOKENS)).select(key, "p.field", "p.weight", F.posexplode("p.tokens").alias("pos", "term"))
+    long = long.groupBy(key, "term").agg(F.least(F.sum("weight"), F.lit(MAX_TF)).alias("tf"), F.min(F.struct("field", "pos")).alias("first"))
     before = F.coalesce(F.sum("tf").over(W.partitionBy(key).orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    left = F.lit(MAX_TOKENS) - before
-    return capped.withColumn("tf", F.least("tf", left).cast("int")).where("tf > 0").select(key, "term", "tf")
+    long = long.withColumn("tf", F.least("tf", F.lit(MAX_TOKENS) - before).cast("int")).where("tf > 0").select(key, "term", "tf")
+    return short.unionByName(long)
 
 
 def lengths(terms: DataFrame, key: str = "chunk_id") -> DataFrame:

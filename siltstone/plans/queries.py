@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import access, conversations, corpus, evaluation, evidence, fusion, index, retrieval, sets
+from ..storage import written
 from ..streaming import traces as stream
 from . import tables as D
 
@@ -101,16 +102,17 @@ def acl_rows_without_effect(spark, d):
 
 @query("SELECT chunk_id, document_id, chunk_index, length(content) AS n_chars, greatest(1, ceil(length(content) / 4.0))::INT AS token_count FROM chunks")
 def chunk_sizes(spark, d):
-    return D.chunks(spark, d).select("chunk_id", "document_id", "chunk_index", F.length("content").cast("long").alias("n_chars"), T.token_estimate("content").alias("token_count"))
+    return D.chunks(spark, d).select("chunk_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("content").cast("long").alias("n_chars"), T.token_estimate("content").alias("token_count"))
 
 
 def _terms(spark, d):
-    return index.term_index(D.chunks(spark, d).select("chunk_id", "document_title", "content"))
+    """The index is a table: statistics, lengths and postings are read from it, not made again."""
+    return written(index.term_index(D.chunks(spark, d).select("chunk_id", "document_title", "content")), "terms")
 
 
 @query("SELECT chunk_id, term, tf FROM terms")
 def term_index(spark, d):
-    return _terms(spark, d)
+    return index.term_index(D.chunks(spark, d).select("chunk_id", "document_title", "content"))
 
 
 @query("SELECT term, df, round(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, size")
@@ -157,7 +159,7 @@ def bm25_search_in_scope(spark, d):
     docs = D.documents(spark, d).drop("content")
     seen = access.decisions(docs, D.acl(spark, d), D.users(spark, d).where("user_id = 7"), D.departments(spark, d))
     chunks = D.chunks(spark, d).join(seen, "document_id", "left_semi")
-    terms = index.term_index(chunks.select("chunk_id", "document_title", "content"))
+    terms = written(index.term_index(chunks.select("chunk_id", "document_title", "content")), "terms")
     scored = retrieval.bm25(index.query_terms(D.queries(spark, d)), terms).join(chunks.select("chunk_id", "chunk_index"), "chunk_id").withColumn("key", F.round("score", 9))
     return retrieval.top_k(scored, TOP_K, score="key").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
