@@ -2,13 +2,14 @@
 
 Which documents may link is narrowed without loss before any list is merged. Two sets with
 J(A, B) >= t differ in at most D = (|A| + |B|) (1 - t) / (1 + t) elements, so of D + 1 parts of the hash
-universe one is equal in both. Documents that share such a part form candidate clusters; each cluster
-is one small inverted index, on which the T-occurrence search runs: a document's shingle lists are
+universe one is equal in both. Of the documents that share such a part, those whose parity sketches differ
+in more bits than D are no candidates (every such bit is a differing element); the others form candidate
+clusters. Each cluster is one small inverted index, on which the T-occurrence search runs: a document's shingle lists are
 sorted by length, the short ones merged, the L longest left out and binary-probed only for documents
 that already occur often enough in the short ones to still reach the required overlap T.
 
 Cost at scale: copies collapse to one set before anything is joined; a document makes about
-2 D narrow rows; one shuffle by part; star edges (never all pairs) between the sets of a part; the
+2 D narrow rows; one shuffle by part; a spanning forest (never all pairs) between the sets of a part; the
 texts of candidate documents only are read again. Clusters over ``cluster_shingles`` are cut into
 blocks and searched block against block, so that no task holds an unbounded group.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import Scratch, with_text
+from ._shared import BROADCAST_BYTES, Scratch, with_text
 from .components import connected_components
 
 
@@ -112,6 +113,50 @@ def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return X.mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def sketches(h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each set, the parity of the number of its elements at every bit: a power of two of bits, the set's size or more.
+
+    h: the sets' hashes one after the other. Two sketches of one length differ in at most as many bits as the sets differ in
+    elements; the XOR of a sketch's halves is the sketch of half the length.
+    """
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    at = np.repeat(base, size) + (X.mix(h + np.uint64(0x51)) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return [packed[b // 8 : (b + n) // 8] for b, n in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+def _folded(sketch: bytes, length: int) -> int:
+    value, n = int.from_bytes(sketch, "little"), len(sketch)
+    while n > length:
+        n //= 2
+        value = (value >> (8 * n)) ^ (value & ((1 << (8 * n)) - 1))
+    return value
+
+
+def plausible_links(sizes: list[int], marks: list[bytes], rule: Threshold) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and sketches allow a link."""
+    n = len(sizes)
+    length = min(map(len, marks))
+    if n == 2:
+        a, b = sizes
+        apart = (_folded(marks[0], length) ^ _folded(marks[1], length)).bit_count()
+        if min(a, b) >= rule.overlap(a, b) and apart <= (a + b) * (rule.den - rule.num) // (rule.den + rule.num):
+            yield 0, 1
+        return
+    words = np.frombuffer(b"".join(_folded(m, length).to_bytes(length, "little") for m in marks), np.uint64).reshape(n, -1)
+    size = np.array(sizes)
+    union = _Union(n)
+    for i in range(n - 1):
+        total = size[i] + size[i + 1 :]
+        fit = np.minimum(size[i], size[i + 1 :]) >= rule.overlap(size[i], size[i + 1 :])
+        fit &= np.bitwise_count(words[i + 1 :] ^ words[i]).sum(1) <= total * (rule.den - rule.num) // (rule.den + rule.num)
+        for j in np.flatnonzero(fit):
+            if union.join(i, i + 1 + int(j)):
+                yield i, i + 1 + int(j)
+
+
 class _Union:
     def __init__(self, n: int):
         self.root = np.arange(n)
@@ -180,7 +225,7 @@ def t_occurrence(sets: list[np.ndarray], rule: Threshold, left: int | None = Non
                 yield i, int(j)
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, lower: bool = True, cluster_shingles: int = 4_000_000) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, lower: bool = True, cluster_shingles: int = 4_000_000, group_limit: int = 4_096) -> DataFrame:
     """Classes and components of documents(doc_id, text) whose k-word shingle sets have J >= num / den.
 
     Returns doc_id, n_shingles (set size), component_id (least doc_id reachable by links). A link is
@@ -209,10 +254,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                 off32 = np.append(0, np.cumsum(sig_by * 8)).astype(np.int32)
                 order = np.argsort(srow, kind="stable")
                 blob = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(off32), pa.py_buffer(np.ascontiguousarray(sig[order]))])
-                yield pa.RecordBatch.from_arrays([ids.slice(at, count), pa.array(size, pa.int64()), pa.array(X.signed(fp)), blob], ["doc_id", "n", "fp", "sigs"])
+                marks = np.full(count, b"", object)
+                marks[keep] = sketches(h[on], size[keep])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, count), pa.array(size, pa.int64()), pa.array(X.signed(fp)), blob, pa.array(marks, pa.binary())], ["doc_id", "n", "fp", "sigs", "sketch"])
 
-    made = scratch.save(docs.mapInArrow(sets_of, "doc_id long, n long, fp long, sigs binary"), "sets")
-    per_doc = made.select("doc_id", "n", "fp")
+    made = scratch.save(docs.mapInArrow(sets_of, "doc_id long, n long, fp long, sigs binary, sketch binary"), "sets")
+    per_doc = made.select("doc_id", "n", "fp", "sketch")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,32 +268,69 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             sig = np.frombuffer(b"".join(blob.to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(batch.column(0).to_numpy(), size))], ["sig", "fp"])
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = last_fp = None
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of signatures that more than one set has; repeated rows once. The input is sorted."""
+        sig, fp, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the row held back, and whether one before it shares its signature
+
+        def rows(keep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sig[: len(keep)][keep]), pa.array(fp[: len(keep)][keep])], ["sig", "fp"])
+
         for batch in batches:
-            sig, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sig, fp = np.append(sig, batch.column(0).to_numpy()), np.append(fp, batch.column(1).to_numpy())
             if len(sig) == 0:
                 continue
-            new = np.append(last_sig != sig[0], sig[1:] != sig[:-1])
-            head = np.where(new, np.arange(len(sig)), 0)
-            head = np.maximum.accumulate(head)
-            root = fp[head]
-            if not new[0]:
-                root[: int(np.argmax(new)) if new.any() else len(sig)] = last_fp
-            last_sig, last_fp = sig[-1], root[-1]
-            off = fp != root
-            pair = np.unique(np.stack([fp[off], root[off]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["u", "v"])
-
-    candidates = (
+            new = np.append(True, (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1]))
+            sig, fp = sig[new], fp[new]
+            same = sig[1:] == sig[:-1]
+            left = np.append(before, same)
+            yield rows(left[:-1] | same)
+            sig, fp, before = sig[-1:], fp[-1:], bool(left[-1])
+        yield rows(np.full(len(sig), before))
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        key, centre, out = None, None, []
+
+        def close() -> None:
+            if len(held) > 1:
+                out.extend((held[j][0], held[i][0]) for i, j in plausible_links([x[1] for x in held], [x[2] for x in held], rule))
+
+        for batch in batches:
+            for f, g, n, m in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if g != key:
+                    close()
+                    key, centre, held = g, None, []
+                if centre is not None:  # too many for one comparison: all of them stay candidates
+                    out.append((f, centre))
+                    continue
+                held.append((f, n, m))
+                if len(held) > group_limit:
+                    centre = held[0][0]
+                    out.extend((x[0], centre) for x in held[1:])
+                    held = []
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+            out.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    classes = per_doc.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
+    classes = scratch.save(classes.where("doc_id is not null"), "classes")
+    groups = (
         made.where("octet_length(sigs) > 0").select("fp", "sigs").mapInArrow(parts, "sig long, fp long")
-        .repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(stars, "u long, v long").distinct()
+        .repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(shared, "sig long, fp long")
     )
+    figures = classes.agg(F.count("*"), F.sum(F.octet_length("sketch"))).first()
+    marks = classes.select("fp", "n", "sketch")
+    if (figures[0] or 0) * 48 + (figures[1] or 0) <= BROADCAST_BYTES:
+        # A broadcast join leaves the rows of a signature together, in the order they came in.
+        groups = groups.join(F.broadcast(marks), "fp")
+    else:
+        groups = groups.join(marks, "fp").repartition("sig").sortWithinPartitions("sig", "fp")
+    candidates = groups.select("fp", "sig", "n", "sketch").mapInArrow(plausible, "u long, v long").distinct()
     candidates = scratch.save(candidates, "candidates")
     cluster = scratch.save(connected_components(candidates), "cluster")
     cluster = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct())
 
-    classes = per_doc.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = scratch.save(classes.join(cluster, classes.fp == cluster.node).select("doc_id", "fp", "n", F.col("root").alias("cluster")), "members")
     scratch.drop("candidates")
 

@@ -47,8 +47,8 @@ def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
 
-@pytest.mark.parametrize(("k", "num", "tile"), [(3, 90, 4_000_000), (5, 80, 4_000_000), (3, 90, 300)])
-def test_ngram_jaccard_join(docs, none, k, num, tile):
+@pytest.mark.parametrize(("k", "num", "tile", "limit"), [(3, 90, 4_000_000, 4096), (5, 80, 4_000_000, 4096), (3, 90, 300, 2)])
+def test_ngram_jaccard_join(docs, none, k, num, tile, limit):
     from siltstone.llm.divide_skip import ngram_jaccard_join
 
     sets, root = {}, {}
@@ -68,7 +68,7 @@ def test_ngram_jaccard_join(docs, none, k, num, tile):
             if i < j and both and 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs, k, num, 100, cluster_shingles=tile).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs, k, num, 100, cluster_shingles=tile, group_limit=limit).collect()}
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
     assert ngram_jaccard_join(none).count() == 0
 
@@ -82,7 +82,7 @@ def test_jaccard_nulls_and_repeats(spark):
 
 
 def test_parts_lose_no_link():
-    from siltstone.llm.divide_skip import Threshold, signatures
+    from siltstone.llm.divide_skip import Threshold, plausible_links, signatures, sketches
 
     r = random.Random(1)
     for num in (80, 90):
@@ -96,6 +96,8 @@ def test_parts_lose_no_link():
             row = np.repeat([0, 1], [len(a), len(b)])
             at, sig = signatures(row, h, np.array([0, len(a), len(a) + len(b)]), rule)
             assert set(sig[at == 0]) & set(sig[at == 1])
+            sizes = [len(a), len(b)]
+            assert list(plausible_links(sizes, sketches(h, np.array(sizes)), rule)) == [(0, 1)]
 
 
 @pytest.mark.parametrize("hot", [20_000, 1])
