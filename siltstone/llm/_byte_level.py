@@ -89,7 +89,7 @@ class ByteLevelColumns:
 
     def column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of rows: all ids, and the number of ids of each row."""
-        for at, count, data, off in X.steps(column, 2 * X.STEP_BYTES):
+        for at, count, data, off in X.steps(column, 4 * X.STEP_BYTES):
             kind = _CLASS[data]
             gap = (kind == _BLANK) | (kind == _LINE)
             odd = kind == _ODD

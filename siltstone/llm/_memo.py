@@ -23,6 +23,8 @@ class PieceMemo:
     """Two generations of piece -> ids."""
 
     dtype: type = np.uint16
+    #: Pieces in a generation.
+    limit = MEMO_PIECES
 
     def __init__(self) -> None:
         self.young: dict[str, bytes] = {}
@@ -40,7 +42,7 @@ class PieceMemo:
         seen: set[str] = set()
         for p in cut:
             seen.update(p)
-        if len(self.young) > MEMO_PIECES:
+        if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         missing = []
         for p in seen.difference(self.young):

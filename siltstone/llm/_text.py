@@ -7,7 +7,7 @@ about 2**-64 a pair. Positions are bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text that one vectorised step holds (a longer document makes a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = (1 << 20) - 4096
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,6 +53,32 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the machine: workers outlive tasks and share an executor's bound."""
+    import ctypes
+    import gc
+
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function over batches, that releases its memory when a task ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def steps(column: pa.Array | pa.ChunkedArray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row count, bytes, offsets of rows + end) of runs of rows; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):

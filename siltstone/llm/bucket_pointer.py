@@ -110,7 +110,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, q: int, hot:
                     ["doc_id", "h", "c", "lo", "n"],
                 )
 
-    buckets = shared_buckets(docs.mapInArrow(find, ANCHOR), scratch, hot)
+    buckets = shared_buckets(docs.mapInArrow(X.trimmed(find), ANCHOR), scratch, hot)
     whole = buckets.anchors.join(buckets.info.where("copies > 1"), ["h", "c"]).select("doc_id", "lo", "n")
     wanted = buckets.classes.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "copies", "lo", "n", "hot")).alias("wanted"))
     wanted = scratch.save(wanted, "wanted")
@@ -147,7 +147,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, q: int, hot:
                         [pa.array(doc[again]), pa.array(h[again]), pa.array(copies[again]), pa.array(start - off[row[again]]), pa.array(np.ones(len(again), np.int64)), pa.nulls(len(again), pa.binary()), pa.array(w)], names
                     )
 
-    pieces = texts.mapInArrow(cut, "doc_id long, h long, copies long, lo long, n long, body binary, w long")
+    pieces = texts.mapInArrow(X.trimmed(cut), "doc_id long, h long, copies long, lo long, n long, body binary, w long")
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -187,7 +187,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, q: int, hot:
 
     pieces = scratch.save(pieces, "pieces")
     sorted_pieces = pieces.where("w is null").drop("w").repartition("h").sortWithinPartitions("h")
-    refined = sorted_pieces.mapInArrow(refine, "doc_id long, lo long, n long")
+    refined = sorted_pieces.mapInArrow(X.trimmed(refine), "doc_id long, lo long, n long")
     hot_rows = pieces.where("w is not null").select("w", "doc_id", "lo", "n", "copies")
     seen = hot_rows.groupBy("w").agg(F.count("*").alias("times")).where("times > 1")
     return whole.unionByName(refined).unionByName(hot_rows.where("copies = 1").join(seen, "w").select("doc_id", "lo", "n"))
@@ -240,7 +240,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 100, hot: int = 20
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     schema += "".join(f", `{k}` {dict(docs.dtypes)[k]}" for k in keep)
-    return with_text(docs, table, size, "left").select("doc_id", "text", "marks", *keep).mapInArrow(remove, schema)
+    return with_text(docs, table, size, "left").select("doc_id", "text", "marks", *keep).mapInArrow(X.trimmed(remove), schema)
 
 
 def whole_characters(data: np.ndarray, mask: np.ndarray) -> np.ndarray:

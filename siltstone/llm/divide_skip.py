@@ -258,7 +258,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                 marks[keep] = sketches(h[on], size[keep])
                 yield pa.RecordBatch.from_arrays([ids.slice(at, count), pa.array(size, pa.int64()), pa.array(X.signed(fp)), blob, pa.array(marks, pa.binary())], ["doc_id", "n", "fp", "sigs", "sketch"])
 
-    made = scratch.save(docs.mapInArrow(sets_of, "doc_id long, n long, fp long, sigs binary, sketch binary"), "sets")
+    made = scratch.save(docs.mapInArrow(X.trimmed(sets_of), "doc_id long, n long, fp long, sigs binary, sketch binary"), "sets")
     per_doc = made.select("doc_id", "n", "fp", "sketch")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,8 +316,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = per_doc.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = scratch.save(classes.where("doc_id is not null"), "classes")
     groups = (
-        made.where("octet_length(sigs) > 0").select("fp", "sigs").mapInArrow(parts, "sig long, fp long")
-        .repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(shared, "sig long, fp long")
+        made.where("octet_length(sigs) > 0").select("fp", "sigs").mapInArrow(X.trimmed(parts), "sig long, fp long")
+        .repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(X.trimmed(shared), "sig long, fp long")
     )
     figures = classes.agg(F.count("*"), F.sum(F.octet_length("sketch"))).first()
     marks = classes.select("fp", "n", "sketch")
@@ -326,7 +326,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         groups = groups.join(F.broadcast(marks), "fp")
     else:
         groups = groups.join(marks, "fp").repartition("sig").sortWithinPartitions("sig", "fp")
-    candidates = groups.select("fp", "sig", "n", "sketch").mapInArrow(plausible, "u long, v long").distinct()
+    candidates = groups.select("fp", "sig", "n", "sketch").mapInArrow(X.trimmed(plausible), "u long, v long").distinct()
     candidates = scratch.save(candidates, "candidates")
     cluster = scratch.save(connected_components(candidates), "cluster")
     cluster = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct())
@@ -357,7 +357,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     loaded = (
         texts.select("fp", "cluster", "block", "text", "tiles")
-        .mapInArrow(load, "fp long, cluster long, block int, tiles array<struct<i:int,j:int>>, set binary")
+        .mapInArrow(X.trimmed(load), "fp long, cluster long, block int, tiles array<struct<i:int,j:int>>, set binary")
         .select("fp", "cluster", "block", F.explode("tiles").alias("tile"), "set").select("cluster", "tile.i", "tile.j", "block", "fp", "set")
         .repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "fp")
     )
@@ -385,7 +385,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         if key is not None:
             yield from flush()
 
-    links = scratch.save(loaded.mapInArrow(search, "u long, v long"), "links")
+    links = scratch.save(loaded.mapInArrow(X.trimmed(search), "u long, v long"), "links")
     joined = scratch.save(connected_components(links), "joined")
     scratch.drop("tiles", "members", "cluster")
     label = classes.join(joined, classes.fp == joined.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))

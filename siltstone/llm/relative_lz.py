@@ -88,7 +88,7 @@ def earlier_ranges(docs: DataFrame, scratch: Scratch, window: int, q: int, hot:
                     ["doc_id", "h", "c", "lo", "n"],
                 )
 
-    buckets = shared_buckets(docs.mapInArrow(find, ANCHOR), scratch, hot)
+    buckets = shared_buckets(docs.mapInArrow(X.trimmed(find), ANCHOR), scratch, hot)
     # The class's least document may still repeat an earlier block in part.
     wanted = buckets.classes.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "lo", "n", "hot")).alias("wanted"))
     wanted = scratch.save(wanted, "wanted")
@@ -126,7 +126,7 @@ def earlier_ranges(docs: DataFrame, scratch: Scratch, window: int, q: int, hot:
                     none = pa.nulls(len(again), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(h[again]), pa.array(c[again]), pa.array(start - begin[again]), pa.array(np.ones(len(again), np.int64)), none, pa.nulls(len(again), pa.binary()), pa.array(w)], names)
 
-    pieces = scratch.save(texts.mapInArrow(cut, "doc_id long, h long, c long, lo long, n long, anchor long, body binary, w long"), "pieces")
+    pieces = scratch.save(texts.mapInArrow(X.trimmed(cut), "doc_id long, h long, c long, lo long, n long, anchor long, body binary, w long"), "pieces")
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -159,7 +159,7 @@ def earlier_ranges(docs: DataFrame, scratch: Scratch, window: int, q: int, hot:
         yield emit()
 
     ordered = pieces.where("w is null").select("doc_id", "h", "c", "n", "anchor", "body").repartition("h").sortWithinPartitions("h", "doc_id", "c")
-    parsed = ordered.mapInArrow(factor, "h long, c long, lo long, n long")
+    parsed = ordered.mapInArrow(X.trimmed(factor), "h long, c long, lo long, n long")
     hot_rows = pieces.where("w is not null").select("w", "doc_id", "h", "c", "lo", "n")
     least = hot_rows.groupBy("w").agg(F.min("doc_id").alias("first"))
     parsed = parsed.unionByName(hot_rows.join(least, "w").where("doc_id > first").select("h", "c", "lo", "n"))
@@ -215,4 +215,4 @@ def rlz_dedup(docs: DataFrame, window: int = 50, q: int = 20, hot: int = 256) ->
                 n, gone = np.diff(first), np.append(0, np.cumsum(mask))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, count), pa.array(n), pa.array(gone[first[1:]] - gone[first[:-1]]), blob], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return with_text(docs, table, size, "left").select("doc_id", "text", "marks").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    return with_text(docs, table, size, "left").select("doc_id", "text", "marks").mapInArrow(X.trimmed(remove), "doc_id long, n_words long, n_removed long, kept string")

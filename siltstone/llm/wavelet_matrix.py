@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import _text as X
 from ._shared import Scratch
 
 _MAGIC = b"WMX1"
@@ -166,7 +167,7 @@ def write_shards(docs: DataFrame, folder: str, encoder: Callable, bits: int, end
         system.move(temporary, name)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(lengths)], "ids": [len(all_ids)]})
 
-    return Scratch(spark, "wavelet").save(ordered.mapInArrow(write, "shard long, docs long, ids long"), "manifest")
+    return Scratch(spark, "wavelet").save(ordered.mapInArrow(X.trimmed(write), "shard long, docs long, ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -194,7 +195,7 @@ def read_shards(manifest: DataFrame, folder: str, with_ids: bool = False) -> Dat
                     yield whole.slice(at, 10_000)
 
     schema = "shard int, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    rows = files.mapInArrow(read, schema).join(begin, "shard")
+    rows = files.mapInArrow(X.trimmed(read), schema).join(begin, "shard")
     return rows.select("doc_id", (F.col("begin") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
