@@ -25,10 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: rows here hold whole texts or sets.
+BATCH_ROWS = "2000"
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
-    """Written tables that cut lineage: a lost executor costs a re-read, not a recomputation."""
+    """Written tables that cut lineage: a lost executor costs a re-read, not a recomputation. Making one also lowers the
+    session's Arrow batch size from Spark's default, so that a batch of texts takes a few MB on either side."""
 
     def __init__(self, spark: SparkSession, name: str):
+        if spark.conf.get(_BATCH_KEY) == "10000":
+            spark.conf.set(_BATCH_KEY, BATCH_ROWS)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
