@@ -13,13 +13,19 @@ def crc_remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def label_of_each(labels: DataFrame, label: str, use) -> DataFrame:
+    """doc_id and its label y of the rows that meet use; rows with null or other labels are left out, and of
+    contradicting labels the larger counts."""
+    return labels.where(use).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use, max_docs: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of at most max_docs documents of each class and about max_bytes of text in all.
 
     use: condition on doc_id that a row must meet. Which rows are taken depends on hashes of doc_ids alone. Rows
     with null or other labels are left out; of contradicting labels of a document the larger counts.
     """
-    one = labels.where(use).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    one = label_of_each(labels, label, use)
     # A bounded top list of narrow rows for each class: limits are pushed before the shuffle.
     picked = [one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])

@@ -9,7 +9,8 @@ known ones. A text's evidence is the difference of the two log-likelihoods over
 the strong part of it are calibrated by logistic regression on held-back labelled texts.
 
 As the shared part cancels out, each unit needs one number only: its log ratio. The model is a sorted table of
-unit hashes, bounded by the sample's size, and scoring reads every word of every text.
+unit hashes that grows with the labelled vocabulary; counts are Spark aggregations over all rows, and scoring reads
+every word of every text.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._labels import crc_remainder, fit_logistic, labelled_sample, logistic
+from ._labels import crc_remainder, fit_logistic, label_of_each, labelled_sample, logistic
+from ._shared import Scratch, with_text
 
 _PREFIXES = (3, 4, 5, 6)
 _ROOT = np.uint64(0x51ED270B9F1C3A55)
+_BY_ROW = np.uint64(0xD1342543DE82EF95)
+#: Units that a task gathers before it hands them on.
+_HELD_UNITS = 1_000_000
 
 
 def _units(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -44,6 +49,78 @@ def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == h
 
 
+def unit_counts(docs: DataFrame) -> DataFrame:
+    """In how many documents each unit is: all of docs(text, y, held_back), those of each class (y is 0 or 1; null: of
+    none), and those of each class that are held back. Columns level, unit, parent, n, c0, c1, k0, k1."""
+    names = ["n", "c0", "c1", "k0", "k1"]
+
+    def merged(parts: list[np.ndarray]) -> np.ndarray:
+        level, unit, parent, *seen = np.concatenate(parts, 1)
+        _, first, of = np.unique(X.mix(unit + level), return_index=True, return_inverse=True)
+        return np.stack([level[first], unit[first], parent[first], *[np.bincount(of, c, len(first)).astype(np.uint64) for c in seen]])
+
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(X.signed(np.ascontiguousarray(x))) for x in rows], ["level", "unit", "parent", *names])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            y = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+            held_back = batch.column(2).to_numpy(zero_copy_only=False)
+            for at, _, data, off in X.steps(batch.column(0)):
+                h, start, end, first = X.words(data, off, True, X.NOT_LETTER)
+                row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+                _, one = np.unique(X.mix(h + row.astype(np.uint64) * _BY_ROW), return_index=True)
+                row = row[one]
+                u = _units(data, start[one], end[one])
+                for level in range(len(_PREFIXES) + 1):  # a document counts once for each of its units
+                    _, one = np.unique(X.mix(u[level + 1] + row.astype(np.uint64) * _BY_ROW), return_index=True)
+                    unit, where, of = np.unique(u[level + 1, one], return_index=True, return_inverse=True)
+                    of_class = [y[at + row[one]] == k for k in (0, 1)]
+                    back = held_back[at + row[one]]
+                    seen = [np.ones(len(one)), *of_class, *[c & back for c in of_class]]
+                    parts.append(np.stack([np.full(len(unit), level, np.uint64), unit, u[level, one][where], *[np.bincount(of, x, len(unit)).astype(np.uint64) for x in seen]]))
+                    size += len(unit)
+            if size > _HELD_UNITS:
+                parts = [merged(parts)]
+                size = parts[0].shape[1]
+                if size > _HELD_UNITS // 2:
+                    yield batch_of(parts[0])
+                    parts, size = [], 0
+        if parts:
+            yield batch_of(merged(parts))
+
+    made = docs.select("text", "y", "held_back").mapInArrow(X.trimmed(count), ", ".join(f"{c} long" for c in ("level", "unit", "parent", *names)))
+    return made.groupBy("level", "unit", "parent").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def unit_ratios(counts: DataFrame, discount: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Log ratios from the rows of unit_counts: (level, unit, ratio, tried) of the units of labelled documents and
+    (level, parent, rest, tried) of what is unknown below a parent. tried: the same without the documents that are
+    held back; null where these are the only ones. A unit that only one document of all has counts towards its parent
+    but gets no row: it could speak of no other document, and that one would vouch for itself."""
+    own = [F.col(c) for c in ("c0", "c1")] + [F.col(c) - F.col(k) for c, k in (("c0", "k0"), ("c1", "k1"))]
+    counts = counts.select("level", "unit", "parent", "n", *[c.alias(f"s{i}") for i, c in enumerate(own)])
+    freed = [F.sum(F.least(F.col(f"s{i}").cast("double"), F.lit(discount))).alias(f"f{i}") for i in range(4)]
+    above = counts.groupBy("level", "parent").agg(F.sum("n").alias("n_parent"), *[F.sum(f"s{i}").alias(f"t{i}") for i in range(4)], *freed).where("t0 + t1 > 0")
+    share = F.col("n") / F.col("n_parent")
+
+    def p(i: int):
+        """A class that never saw the parent backs off to the shared distribution alone."""
+        return F.when(F.col(f"t{i}") > 0, (F.greatest(F.col(f"s{i}") - discount, F.lit(0.0)) + F.col(f"f{i}") * share) / F.col(f"t{i}")).otherwise(share)
+
+    def rest(i: int):
+        return F.when(F.col(f"t{i}") > 0, F.col(f"f{i}") / F.col(f"t{i}")).otherwise(F.lit(1.0))
+
+    def ratio(of, i: int, known):
+        return F.when(known, F.log(of(i + 1) / of(i)).cast("float"))
+
+    units = counts.where((F.col("s0") + F.col("s1") > 0) & (F.col("n") > 1)).join(above, ["level", "parent"])
+    units = units.select("level", "unit", ratio(p, 0, F.lit(True)).alias("ratio"), ratio(p, 2, F.col("s2") + F.col("s3") > 0).alias("tried"))
+    return units, above.select("level", "parent", ratio(rest, 0, F.lit(True)).alias("rest"), ratio(rest, 2, F.col("t2") + F.col("t3") > 0).alias("tried"))
+
+
 @dataclass
 class KneserNey:
     """Per level: known units and their log ratios; parents and the log ratio of what is unknown below them."""
@@ -54,38 +131,17 @@ class KneserNey:
     rest: list[np.ndarray]
 
     @classmethod
-    def fit(cls, texts: list[str], y: np.ndarray, discount: float = 0.75, least: int = 2) -> KneserNey:
-        """least: documents of either class that a unit must be in to be kept as known."""
-        levels: list[list[np.ndarray]] = [[] for _ in range(len(_PREFIXES) + 1)]
-        for at, _, data, off in X.steps(pa.array(texts, pa.large_string())):
-            _, start, end, first = X.words(data, off, True, X.NOT_LETTER)
-            row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-            toxic = y[at + row] == 1
-            u = _units(data, start, end)
-            for level in range(len(levels)):  # a document counts once for each of its units
-                _, one = np.unique(X.mix(u[level + 1] + row.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True)
-                unit, where, of = np.unique(u[level + 1, one], return_index=True, return_inverse=True)
-                seen = [np.bincount(of[toxic[one] == k], minlength=len(unit)).astype(np.uint64) for k in (False, True)]
-                levels[level].append(np.stack([unit, u[level, one][where], *seen]))
+    def read(cls, units: DataFrame, above: DataFrame, tried: bool) -> KneserNey:
+        """From the written tables of unit_ratios, a level at a time."""
         out = cls([], [], [], [])
-        for level in range(len(levels)):
-            unit, parent, *seen = np.concatenate(levels[level], 1) if levels[level] else np.zeros((4, 0), np.uint64)
-            levels[level] = []
-            known, first, of = np.unique(unit, return_index=True, return_inverse=True)
-            above, up = np.unique(parent[first], return_inverse=True)
-            count = np.stack([np.bincount(of, c, len(known)) for c in seen])
-            both = count.sum(0)
-            total = np.stack([np.bincount(up, c, len(above)) for c in count])
-            freed = np.stack([np.bincount(up, np.minimum(c, discount), len(above)) for c in count])
-            shared = both / np.maximum(np.bincount(up, both, len(above)), 1)[up]
-            # A class that never saw the parent backs off to the shared distribution alone.
-            p = [np.where(t[up] > 0, (np.maximum(c - discount, 0) + f[up] * shared) / np.maximum(t[up], 1), shared) for c, t, f in zip(count, total, freed, strict=True)]
-            rest = [np.where(t > 0, f / np.maximum(t, 1), 1.0) for t, f in zip(total, freed, strict=True)]
-            keep = both >= least
-            out.units.append(known[keep])
-            out.ratios.append(np.log(p[1][keep] / p[0][keep]).astype(np.float32))
-            out.parents.append(above)
-            out.rest.append(np.log(rest[1] / rest[0]).astype(np.float32))
+        for level in range(len(_PREFIXES) + 1):
+            for df, key, value, keys, values in ((units, "unit", "ratio", out.units, out.ratios), (above, "parent", "rest", out.parents, out.rest)):
+                value = "tried" if tried else value
+                rows = df.where((F.col("level") == level) & F.col(value).isNotNull()).select(key, value).toArrow()
+                key, value = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+                order = np.argsort(key)
+                keys.append(key[order])
+                values.append(value[order])
         return out
 
     def word_ratios(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -128,20 +184,28 @@ def shape(f: np.ndarray) -> np.ndarray:
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, threshold: float = 0.5, max_docs: int = 12_000, max_bytes: int = 40 << 20) -> DataFrame:
     """Score documents(doc_id, text) for toxicity, learned from labels(doc_id, toxic).
 
-    Labels are used only from rows whose crc32(doc_id as text) modulo ``modulus`` is not ``held_out``, and of those
-    from a sample of at most max_docs documents a class and about max_bytes of text; three quarters fit the models,
-    one quarter the calibration. Returns doc_id, held_out (of a null doc_id: false), score (0 to 1) and predicted
+    Labels are used only from rows whose crc32(doc_id as text) modulo ``modulus`` is not ``held_out``. The models count
+    all of these rows, and the shared backoff counts all documents. The calibration learns from a sample of at most
+    max_docs documents a class and about max_bytes of text, out of a quarter of the doc_ids; their evidence is taken
+    from counts without that quarter. Returns doc_id, held_out (of a null doc_id: false), score (0 to 1) and predicted
     (score >= threshold). Null and empty texts, and texts without letters, get the score of no evidence. If one
-    class has no labels, every score is the calibration's base rate. Repeated rows stay rows; other columns are
-    ignored; an empty table gives no rows.
+    class has no labels, every score is the calibration's base rate. Of contradicting labels of a document the larger
+    counts. Repeated rows stay rows; other columns are ignored; an empty table gives no rows.
     """
     rest = F.coalesce(crc_remainder(modulus) == held_out, F.lit(False))
-    texts, y = labelled_sample(docs, labels, "toxic", ~rest, max_docs, max_bytes)
-    calibrate = np.arange(len(y)) % 4 == 3
-    model = KneserNey.fit([t for t, c in zip(texts, calibrate, strict=True) if not c], y[~calibrate])
-    column = pa.array([t for t, c in zip(texts, calibrate, strict=True) if c], pa.large_string())
+    back = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(10)), F.lit(4)) == 3
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    of_class = scratch.save(label_of_each(labels, "toxic", ~rest), "labels")
+    known = with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of_class, 0, "left")
+    counts = scratch.save(unit_counts(known.select("text", "y", F.coalesce(back, F.lit(False)).alias("held_back"))), "counts")
+    units, above = (scratch.save(df, name) for df, name in zip(unit_ratios(counts), ("units", "above"), strict=True))
+    texts, y = labelled_sample(docs, labels, "toxic", ~rest & back, max_docs, max_bytes)
+    column = pa.array(texts, pa.large_string())
     del texts
-    w = fit_logistic(shape(model.features(column)), y[calibrate])
+    w = fit_logistic(shape(KneserNey.read(units, above, True).features(column)), y)
+    del column
+    model = KneserNey.read(units, above, False)
+    scratch.drop("labels", "counts", "units", "above")
     shared = docs.sparkSession.sparkContext.broadcast((model, w))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

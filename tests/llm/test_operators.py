@@ -341,3 +341,24 @@ def test_connected_components(spark):
     got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: find(i) for i in root if find(i) != i}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_toxicity_counts_all_documents(spark):
+    from siltstone.llm.kneser_ney import toxicity, unit_counts, unit_ratios
+
+    rows = [("alpha beta beta", 1, False), ("alpha gamma", 0, True), ("alpha", None, False), ("gamma lonely", 1, True), (None, 0, False), ("gamma 12", None, False)]
+    counts = unit_counts(spark.createDataFrame(rows, "text string, y int, held_back boolean").repartition(3))
+    made = sorted(tuple(r)[3:] for r in counts.where("level = 4").collect())
+    assert made == sorted([(3, 1, 1, 1, 0), (1, 0, 1, 0, 0), (3, 1, 1, 1, 1), (1, 0, 1, 0, 1)])  # n, c0, c1, k0, k1 of alpha, beta, gamma, lonely
+    units, _ = unit_ratios(counts)
+    assert units.where("level = 4").count() == 2 and units.where("level = 4 and tried is not null").count() == 1
+
+    # Thirty rare expressions, each in a few labelled documents: a calibration sample of 20 documents a class shows few of them.
+    r = random.Random(3)
+    plain = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(200)]
+    rare = ["".join(r.choice("qrstuvwxyz") for _ in range(8)) for _ in range(30)]
+    docs = [(i, " ".join(r.choice(plain) for _ in range(40)) + (f" {rare[i // 2 % 30]}" * (i % 2))) for i in range(1200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    out = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels, max_docs=20).where("held_out").collect()
+    caught = [x.predicted == x.doc_id % 2 for x in out]
+    assert len(caught) > 150 and sum(caught) >= 0.98 * len(caught)
