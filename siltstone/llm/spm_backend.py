@@ -133,6 +133,7 @@ class Encoder(PieceMemo):
     def __init__(self, path: str, threads: int = 1) -> None:
         super().__init__()
         use_threads(threads)
+        self.threads = threads
         with open(path, "rb") as f:
             self.model = Model.read(f.read())
         self.full = self.model.tokenizer()
@@ -157,11 +158,13 @@ class Encoder(PieceMemo):
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         plain = [p for p in pieces if "\n" not in p]
         known = {}
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.bare.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = split_ids(ids, self.length, np.array([len(p.encode()) for p in some], np.int64))
-            known |= {p: x.tobytes() for p, x in zip(some, np.split(ids, ends[:-1]), strict=True)}
+        parts = [plain[at : at + 2000] for at in range(0, len(plain), 2000)]
+        for at in range(0, len(parts), self.threads):  # a part for each thread
+            run = parts[at : at + self.threads]
+            for some, made in zip(run, self.bare.encode_batch_fast(["\n".join(p) for p in run], add_special_tokens=False), strict=True):
+                ids = np.array(made.ids, self.dtype)
+                ends = split_ids(ids, self.length, np.array([len(p.encode()) for p in some], np.int64))
+                known |= {p: x.tobytes() for p, x in zip(some, np.split(ids, ends[:-1]), strict=True)}
         return [known[p] if p in known else self._with_newlines(p) for p in pieces]
 
     def _with_newlines(self, piece: str) -> bytes:
@@ -194,14 +197,13 @@ def parity(path: str, texts: list[str]) -> list[int]:
     return [i for i, (a, b) in enumerate(zip(Encoder(path)(texts), theirs, strict=True)) if a.tolist() != b]
 
 
-def spm_encode(docs: DataFrame, path: str | Callable[[], str], threads: int = 1, check_share: int = 64) -> DataFrame:
+def spm_encode(docs: DataFrame, path: str | Callable[[], str], threads: int = 1, check_share: int = 1) -> DataFrame:
     """Encode and decode documents(doc_id, text) with a SentencePiece model.
 
     path: of the model file, on every worker. Returns doc_id, ids (array of int), n_tokens, ids_crc32 (of the ids as
     little-endian u32), round_trip (decoding gives the text back; normalisation can change it), parity (whether
-    the sentencepiece library gives the same ids, checked on the documents whose doc_id hash is 0 modulo
-    check_share, else null). Null and empty texts have no ids. Repeated rows stay rows; a null doc_id is never
-    checked. Other columns are ignored; an empty table gives no rows. Texts are encoded whole.
+    the sentencepiece library gives the same ids; by default on every row, with a larger check_share on those whose
+    doc_id hash is 0 modulo check_share, else null). Null and empty texts have no ids. Repeated rows stay rows. Other columns are ignored; an empty table gives no rows. Texts are encoded whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.pmod(F.xxhash64("doc_id"), F.lit(check_share)) == 0).alias("check"))
 

@@ -362,3 +362,24 @@ def test_toxicity_counts_all_documents(spark):
     out = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels, max_docs=20).where("held_out").collect()
     caught = [x.predicted == x.doc_id % 2 for x in out]
     assert len(caught) > 150 and sum(caught) >= 0.98 * len(caught)
+
+
+def test_spm_parity_on_every_row(spark):
+    from siltstone.llm.queries import tokenizer_file
+    from siltstone.llm.spm_backend import Encoder, spm_encode
+
+    rows = [(i if i % 7 else None, f"row {i} of größe {'x' * (i % 5)}") for i in range(70)]
+    made = spm_encode(spark.createDataFrame(rows, "doc_id long, text string"), lambda: tokenizer_file("piece_bpe_32k.model")).collect()
+    assert len(made) == 70 and all(r.parity is True for r in made)
+
+    # Pieces reach the library as one list for each run of threads.
+    run = Encoder(tokenizer_file("piece_bpe_32k.model"), threads=3)
+    pieces, sizes, bare = [f"▁w{i}" for i in range(9000)], [], run.bare
+
+    class Spy:
+        def encode_batch_fast(self, parts, **options):
+            sizes.append(len(parts))
+            return bare.encode_batch_fast(parts, **options)
+
+    run.bare = Spy()
+    assert run.encode_pieces(pieces) == Encoder(tokenizer_file("piece_bpe_32k.model")).encode_pieces(pieces) and sizes == [3, 2]
