@@ -353,11 +353,11 @@ def test_toxicity_counts_all_documents(spark):
     units, _ = unit_ratios(counts)
     assert units.where("level = 4").count() == 2 and units.where("level = 4 and tried is not null").count() == 1
 
-    # Thirty rare expressions, each in a few labelled documents: a calibration sample of 20 documents a class shows few of them.
+    # Each document ends in one of 60 rare expressions that alone tell its class: a sample of 20 documents a class shows few of them.
     r = random.Random(3)
     plain = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(200)]
-    rare = ["".join(r.choice("qrstuvwxyz") for _ in range(8)) for _ in range(30)]
-    docs = [(i, " ".join(r.choice(plain) for _ in range(40)) + (f" {rare[i // 2 % 30]}" * (i % 2))) for i in range(1200)]
+    rare = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(60)]
+    docs = [(i, " ".join(r.choice(plain) for _ in range(40)) + f" {rare[i % 60]}") for i in range(1200)]
     labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
     out = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels, max_docs=20).where("held_out").collect()
     caught = [x.predicted == x.doc_id % 2 for x in out]
