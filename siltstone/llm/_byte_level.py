@@ -16,7 +16,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
 from . import _text as X
-from ._memo import MEMO_PIECES, split_ids
+from ._pieces import PieceColumns
 
 _LETTER, _DIGIT, _OTHER, _BLANK, _LINE, _ODD = range(6)
 
@@ -27,10 +27,12 @@ _CLASS[[*range(32), 0x27, 0x7F, *range(0xC0, 0xC3), *range(0xC9, 256)]] = _ODD
 _CLASS[0x20], _CLASS[0x0A] = _BLANK, _LINE
 
 
-class ByteLevelColumns:
+class ByteLevelColumns(PieceColumns):
     """Encodes columns of texts; strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str) -> None:
+    separator = 0x0D  # a carriage return never is in a piece: texts that hold one are encoded whole
+
+    def __init__(self, path: str, threads: int = 1) -> None:
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
         spec = json.loads(self.full.to_str())
@@ -38,97 +40,41 @@ class ByteLevelColumns:
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError("not a plain byte-level tokenizer")
         size = self.full.get_vocab_size()
-        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        super().__init__(np.uint16 if size <= 1 << 16 else np.uint32, threads)
         # The model alone, on pieces that are already mapped to printable characters.
         self.bare = Tokenizer(self.full.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        self.table, extra = {}, 0
-        for b in range(256):
-            plain = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
-            self.table[b] = chr(b if plain else 256 + extra)
-            extra += not plain
+        self.bare.pre_tokenizer = pre_tokenizers.Split("\r", "removed")
+        plain = np.array([33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)])
+        self.printable = np.where(plain, np.arange(256), 255 + np.cumsum(~plain)).astype("<u2")
+        self.printable[self.separator] = self.separator
         self.length = np.zeros(size, np.int64)
         for token, i in self.bare.get_vocab(False).items():
             self.length[i] = len(token)
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
 
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        blank, line = self.table[0x20], self.table[0x0A]
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            mapped = [p.decode().replace(" ", blank).replace("\n", line) if p.isascii() else p.decode("latin1").translate(self.table) for p in some]
-            ids = np.array(self.bare.encode_batch_fast(["\n".join(mapped)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = split_ids(ids, self.length, np.fromiter(map(len, some), np.int64, len(some))) * ids.itemsize
-            raw, begin = ids.tobytes(), 0
-            for e in ends.tolist():
-                out.append(raw[begin:e])
-                begin = e
-        return out
+    def strings(self, body: np.ndarray, ends: np.ndarray) -> list[str]:
+        mapped, begin = self.printable[body].tobytes(), np.append(0, ends[:-1])
+        return [mapped[2 * a : 2 * b].decode("utf-16-le") for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
 
-    def _look_up(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-        """Ids of each different piece, from the memo or encoded now."""
-        if len(self.young) > MEMO_PIECES:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        keys = hashes.tolist()
-        found = list(map(young.get, keys))
-        missing = []
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            ids = old.get(keys[i])
-            if ids is None:
-                missing.append(i)
-            else:
-                found[i] = young[keys[i]] = ids
-        if missing:
-            raw = data.tobytes()
-            for i, ids in zip(missing, self._encode([raw[a:b] for a, b in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]), strict=True):
-                found[i] = young[keys[i]] = ids
-        return found
+    def cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        kind = _CLASS[data]
+        gap = (kind == _BLANK) | (kind == _LINE)
+        odd = kind == _ODD
+        # Two bytes of C3 stand for signs, not letters.
+        sign = np.flatnonzero(data == 0xC3)
+        odd[sign[np.isin(data[np.minimum(sign + 1, len(data) - 1)], (0x97, 0xB7))]] = True
+        odd[1:] |= gap[1:] & gap[:-1]
+        some = off[1:] > off[:-1]
+        odd[off[:-1][some]] |= gap[off[:-1][some]]
+        odd[off[1:][some] - 1] |= gap[off[1:][some] - 1]
+        bad = np.zeros(len(off) - 1, bool)
+        bad[np.searchsorted(off, np.flatnonzero(odd), "right") - 1] = True
+        first = np.zeros(len(data), bool)
+        first[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK)
+        first[off[:-1][some]] = True
+        start = np.flatnonzero(first)
+        return start, np.append(start[1:], len(data)), np.zeros(len(start), bool), bad
 
     def column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of rows: all ids, and the number of ids of each row."""
-        for at, count, data, off in X.steps(column, 4 * X.STEP_BYTES):
-            kind = _CLASS[data]
-            gap = (kind == _BLANK) | (kind == _LINE)
-            odd = kind == _ODD
-            # Two bytes of C3 stand for signs, not letters.
-            sign = np.flatnonzero(data == 0xC3)
-            sign = sign[np.isin(data[np.minimum(sign + 1, len(data) - 1)], (0x97, 0xB7))]
-            odd[sign] = True
-            odd[1:] |= gap[1:] & gap[:-1]
-            some = off[1:] > off[:-1]
-            odd[off[:-1][some]] |= gap[off[:-1][some]]
-            odd[off[1:][some] - 1] |= gap[off[1:][some] - 1]
-            bad = np.zeros(count, bool)
-            where = np.flatnonzero(odd)
-            if len(where):
-                bad[np.searchsorted(off, where, "right") - 1] = True
-            first = np.zeros(len(data), bool)
-            first[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK)
-            first[off[:-1][some]] = True
-            start = np.flatnonzero(first)
-            end = np.append(start[1:], len(data))
-            row = np.searchsorted(off, start, "right") - 1
-            keep = ~bad[row]
-            start, end, row = start[keep], end[keep], row[keep]
-            hashes, one, of = np.unique(X.spans(X.byte_prefix(data), start, end), return_index=True, return_inverse=True)
-            parts = self._look_up(hashes, data, start[one], end[one])
-            size = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(self.dtype).itemsize
-            flat = np.frombuffer(b"".join(parts), self.dtype)
-            ids = flat[X.ranges((np.cumsum(size) - size)[of], size[of])]
-            n = np.bincount(row, size[of], count).astype(np.int64)
-            rows = np.flatnonzero(bad)
-            if len(rows):
-                ends = np.cumsum(n)
-                whole = self.full.encode_batch_fast([column[at + int(r)].as_py() for r in rows], add_special_tokens=False)
-                extra = [np.array(e.ids, self.dtype) for e in whole]
-                cut: list[np.ndarray] = []
-                begin = 0
-                for r, e in zip(rows, extra, strict=True):
-                    cut += [ids[begin : ends[r]], e]
-                    begin = int(ends[r])
-                    n[r] = len(e)
-                ids = np.concatenate([*cut, ids[begin:]])
-            yield ids, n
+        for at, _, data, off in X.steps(column, 2 * X.STEP_BYTES):
+            yield self.encode_bytes(data, off, lambda r: column[at + r].as_py())  # noqa: B023 - called at once

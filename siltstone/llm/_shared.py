@@ -15,10 +15,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, single machine), a temporary folder is set once."""
+    """spark.checkpoint.dir; where it is unset and everything runs on this machine (tests), a temporary folder, made once."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
@@ -30,14 +32,33 @@ BATCH_ROWS = "2000"
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers a session's Arrow batch size from Spark's default, so that a batch of texts takes a few MB on either side. The
+    registered queries call this; an operator never changes its session."""
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, BATCH_ROWS)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+_roots: dict[str, list[str]] = {}
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what the operators of this application have written so far. Results that were not read yet can't be after it."""
+    for root in _roots.pop(spark.sparkContext.applicationId, []):
+        delete_folder(spark, root)
+
+
 class Scratch:
-    """Written tables that cut lineage: a lost executor costs a re-read, not a recomputation. Making one also lowers the
-    session's Arrow batch size from Spark's default, so that a batch of texts takes a few MB on either side."""
+    """Written tables that cut lineage: a lost executor costs a re-read, not a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
-        if spark.conf.get(_BATCH_KEY) == "10000":
-            spark.conf.set(_BATCH_KEY, BATCH_ROWS)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -45,10 +66,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            delete_folder(self.spark, f"{self.root}/{name}")
 
 
 def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

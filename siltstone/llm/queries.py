@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import small_batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the session's Arrow batches become small, as rows hold whole texts."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,12 +23,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_byte_level: dict[str, object] = {}
+
+
 def _byte_level_encoder():
+    """The column encoder of this process: a worker keeps its piece table from task to task."""
     from ._byte_level import ByteLevelColumns
-    from ._memo import use_threads
+    from ._pieces import task_threads
 
-    use_threads(1)
-    return ByteLevelColumns(tokenizer_file("byte_bpe_50k.json")).column
+    path = tokenizer_file("byte_bpe_50k.json")
+    if path not in _byte_level:
+        _byte_level[path] = ByteLevelColumns(path, task_threads())
+    return _byte_level[path].column
 
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from . import _text as X
-from ._memo import PieceMemo, split_ids, use_threads
+from ._pieces import PieceColumns, task_threads
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -125,68 +125,73 @@ class Model:
         return self.escape_spaces and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind != CONTROL)
 
 
-class Encoder(PieceMemo):
+class Encoder(PieceColumns):
     """Ids of whole texts as the sentencepiece library gives them, without control ids."""
 
-    limit = 150_000  # a worker keeps its memory for the stages that follow
+    separator = 0  # texts that hold a NUL are encoded whole
 
     def __init__(self, path: str, threads: int = 1) -> None:
-        super().__init__()
-        use_threads(threads)
-        self.threads = threads
         with open(path, "rb") as f:
             self.model = Model.read(f.read())
+        pieces = self.model.pieces
+        super().__init__(np.uint16 if len(pieces) <= 1 << 16 else np.uint32, threads)
         self.full = self.model.tokenizer()
         self.bare = self.model.tokenizer(normalize=False)
-        self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        self.dtype = np.uint16 if len(self.model.pieces) <= 1 << 16 else np.uint32
-        byte_kinds = {p for p, _, kind in self.model.pieces if kind == BYTE}
-        self.length = np.array([1 if p in byte_kinds else len(p.encode()) for p, _, _ in self.model.pieces], np.int64)
+        self.bare.pre_tokenizer = pre_tokenizers.Split("\0", "removed")
+        # What a token stands for: the marker is a blank, a byte piece that byte.
+        spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
+        self.length = np.array([len(x) for x in spelled], np.int64)
+        self.spelled, self.spelled_at = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(self.length) - self.length
         # Byte lengths tell where a piece ends only if nothing becomes "unknown".
         self.by_piece = self.model.splits_at_marks() and self.model.byte_fallback and not self.model.charsmap and not self.model.fold_spaces
-        self.whole = self.model.tokenizer(normalize=False)
-
-    def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        text = text.replace(" ", MARK)
-        if self.model.dummy_prefix:
-            text = MARK + text
-        # Cut before the first marker of each run.
-        return text.replace(MARK, "\0" + MARK).replace(MARK + "\0" + MARK, MARK + MARK).split("\0")[1:] if MARK * 2 not in text else _runs(text)
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        plain = [p for p in pieces if "\n" not in p]
-        known = {}
-        parts = [plain[at : at + 2000] for at in range(0, len(plain), 2000)]
-        for at in range(0, len(parts), self.threads):  # a part for each thread
-            run = parts[at : at + self.threads]
-            for some, made in zip(run, self.bare.encode_batch_fast(["\n".join(p) for p in run], add_special_tokens=False), strict=True):
-                ids = np.array(made.ids, self.dtype)
-                ends = split_ids(ids, self.length, np.array([len(p.encode()) for p in some], np.int64))
-                known |= {p: x.tobytes() for p, x in zip(some, np.split(ids, ends[:-1]), strict=True)}
-        return [known[p] if p in known else self._with_newlines(p) for p in pieces]
-
-    def _with_newlines(self, piece: str) -> bytes:
-        """A line end is a byte of its own unless a piece of the vocabulary holds it; the whole model decides."""
-        return np.array(self.whole.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces begin at the first blank of a run; that of a text gets the dummy prefix."""
+        some = off[1:] > off[:-1]
+        if not self.by_piece:
+            none = np.zeros(0, np.int64)
+            return none, none, np.zeros(0, bool), some
+        gap = data == 0x20
+        first = gap.copy()
+        first[1:] &= ~gap[:-1]
+        head = np.zeros(len(data), bool)
+        head[off[:-1][some]] = True
+        start = np.flatnonzero(first | head)
+        e2 = np.flatnonzero(data[:-2] == 0xE2)
+        mark = e2[(data[e2 + 1] == 0x96) & (data[e2 + 2] == 0x81)]
+        odd = np.zeros(len(off) - 1, bool)
+        odd[np.searchsorted(off, np.append(np.flatnonzero(data == 0), mark), "right") - 1] = True
+        return start, np.append(start[1:], len(data)), head[start] & self.model.dummy_prefix, odd
+
+    def strings(self, body: np.ndarray, ends: np.ndarray) -> list[str]:
+        raw, begin = body.tobytes(), np.append(0, ends[:-1])
+        return [raw[a:b].decode().replace(" ", MARK) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if self.by_piece and not any("\0" in t for t in texts):
-            return super().__call__(texts)
-        return [np.array(e.ids, self.dtype) for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text."""
+        out = []
+        for _, _, data, off, ids, n in self.column(pa.array(texts, pa.large_string())):
+            out += np.split(ids, np.cumsum(n)[:-1])
+        return out
+
+    def column(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of rows: first row, row count, bytes, their offsets, all ids, and the number of ids of each row."""
+        for at, count, data, off in X.steps(column, 2 * X.STEP_BYTES):
+            yield at, count, data, off, *self.encode_bytes(data, off, lambda r: column[at + r].as_py())  # noqa: B023 - called at once
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.full.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
-
-def _runs(text: str) -> list[str]:
-    out, at = [], 0
-    for k in range(1, len(text)):
-        if text[k] == MARK and text[k - 1] != MARK:
-            out.append(text[at:k])
-            at = k
-    return [*out, text[at:]]
+    def decode_bytes(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The UTF-8 text of each row's ids: what their tokens stand for, without the dummy prefix."""
+        if not self.by_piece:
+            return [t.encode() for t in self.decode(np.split(ids, np.cumsum(n)[:-1]))] if len(n) else []
+        size = self.length[ids]
+        raw = self.spelled[X.ranges(self.spelled_at[ids], size)].tobytes()
+        end = np.append(0, np.cumsum(size))[np.cumsum(n)]
+        begin = np.append(0, end[:-1])
+        lead = 1 if self.model.dummy_prefix else 0
+        return [raw[a + lead if raw[a : a + 1] == b" " else a : b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
 def parity(path: str, texts: list[str]) -> list[int]:
@@ -197,37 +202,37 @@ def parity(path: str, texts: list[str]) -> list[int]:
     return [i for i, (a, b) in enumerate(zip(Encoder(path)(texts), theirs, strict=True)) if a.tolist() != b]
 
 
-def spm_encode(docs: DataFrame, path: str | Callable[[], str], threads: int = 1, check_share: int = 1) -> DataFrame:
+def spm_encode(docs: DataFrame, path: str | Callable[[], str], threads: int | None = None) -> DataFrame:
     """Encode and decode documents(doc_id, text) with a SentencePiece model.
 
-    path: of the model file, on every worker. Returns doc_id, ids (array of int), n_tokens, ids_crc32 (of the ids as
-    little-endian u32), round_trip (decoding gives the text back; normalisation can change it), parity (whether
-    the sentencepiece library gives the same ids; by default on every row, with a larger check_share on those whose
-    doc_id hash is 0 modulo check_share, else null). Null and empty texts have no ids. Repeated rows stay rows. Other columns are ignored; an empty table gives no rows. Texts are encoded whole.
+    path: of the model file, on every worker; threads: of the tokenizers library in a task, by default the task's cores
+    (spark.task.cpus). Returns doc_id, ids (array of int), n_tokens, ids_crc32 (of the ids as little-endian u32), round_trip
+    (decoding gives the text back; normalisation can change it), parity (whether the sentencepiece library gives the
+    same ids; checked on every row). Null and empty texts have no ids. Repeated rows stay rows. Other columns are ignored;
+    an empty table gives no rows. Texts are encoded whole.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.pmod(F.xxhash64("doc_id"), F.lit(check_share)) == 0).alias("check"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        file = path() if callable(path) else path
-        run, theirs = Encoder(file, threads), None
+        file, own = path() if callable(path) else path, threads or task_threads()
+        run, theirs = Encoder(file, own), sentencepiece.SentencePieceProcessor(model_file=file)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
-                texts = some.column(1).to_pylist()
-                ids = run(texts)
-                same = [None] * len(texts)
-                picked = [i for i, c in enumerate(some.column(2).to_pylist()) if c]
-                if picked:
-                    theirs = theirs or sentencepiece.SentencePieceProcessor(model_file=file)
-                    for i, x in zip(picked, theirs.encode([texts[i] for i in picked], num_threads=threads), strict=True):
-                        same[i] = x == ids[i].tolist()
-                back = [a == b for a, b in zip(run.decode(ids), texts, strict=True)]
-                size = np.array([len(x) for x in ids], np.int64)
-                flat = np.concatenate(ids).astype(np.int32) if len(ids) else np.zeros(0, np.int32)
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([some.column(0), lists, pa.array(size), pa.array(crc, pa.int64()), pa.array(back), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "ids_crc32", "round_trip", "parity"])
+            for at, count, data, off, ids, n in run.column(batch.column(1)):
+                raw = data.tobytes()
+                text = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                back = [a == b for a, b in zip(run.decode_bytes(ids, n), text, strict=True)]
+                ends = np.append(0, np.cumsum(n))
+                places = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+                same: list[bool] = []
+                for k in range(0, count, 64):  # the other library's lists of numbers are large: a few rows at a time
+                    for (a, b), x in zip(places[k : k + 64], theirs.encode([t.decode() for t in text[k : k + 64]], num_threads=own), strict=True):
+                        same.append(ids[a:b].tolist() == x)
+                wide = ids.astype("<u4")
+                body = memoryview(wide.tobytes())
+                crc = [zlib.crc32(body[4 * a : 4 * b]) for a, b in places]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(wide.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, count), lists, pa.array(n), pa.array(crc, pa.int64()), pa.array(back), pa.array(same)], ["doc_id", "ids", "n_tokens", "ids_crc32", "round_trip", "parity"])
 
     return docs.mapInArrow(X.trimmed(encode), "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean")

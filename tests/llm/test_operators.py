@@ -73,6 +73,13 @@ def test_ngram_jaccard_join(docs, none, k, num, tile, limit):
     assert ngram_jaccard_join(none).count() == 0
 
 
+def test_long_lists_follow_divideskip():
+    from siltstone.llm.divide_skip import MU, long_lists
+
+    assert long_lists(1, 9) == 0 and long_lists(10, 2) == 9
+    assert long_lists(900, 1 << 20) == int(900 / (MU * 20 + 1)) < 899
+
+
 def test_jaccard_nulls_and_repeats(spark):
     from siltstone.llm.divide_skip import ngram_jaccard_join
 
@@ -159,7 +166,7 @@ def test_wavelet_matrix(docs, none):
     from tokenizers import Tokenizer
 
     from siltstone.llm.queries import _byte_level_encoder, tokenizer_file
-    from siltstone.llm.wavelet_matrix import WaveletMatrix, dump, load, wavelet_store
+    from siltstone.llm.wavelet_matrix import BLOCK, Shard, dump, wavelet_store
 
     t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
     t.encode_special_tokens = True
@@ -169,17 +176,60 @@ def test_wavelet_matrix(docs, none):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         crc = zlib.crc32(np.array(ids, "<u4").tobytes())
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32, list(got[i].ids)) == (start, len(ids), crc, ids)
+        again = ids.index(ids[0], 1) if ids[0] in ids[1:] else None
+        assert (got[i].first_id, got[i].first_id_count, got[i].first_id_next) == (ids[0], ids.count(ids[0]), again)
         start += len(ids)
     assert wavelet_store(none, _byte_level_encoder, 16, 2).count() == 0
 
-    ids = np.random.default_rng(0).integers(0, 40, 3000).astype(np.uint16)
-    doc_ids, lengths, m = load(dump(np.array([7]), np.array([3000]), ids, 16))
-    assert (m.sequence() == ids).all() and doc_ids.tolist() == [7] and lengths.tolist() == [3000]
-    for i in (0, 1, 511, 512, 2999):
-        assert m.access(i) == ids[i] and m.rank(5, i) == int((ids[:i] == 5).sum())
-    places = np.flatnonzero(ids == 5)
-    assert [m.select(5, k) for k in (0, 3, len(places) - 1, len(places))] == [places[0], places[3], places[-1], -1]
-    assert WaveletMatrix.build(np.zeros(0, np.uint16), 16).sequence().tolist() == []
+    # More than a block, and values that are rare, absent or too large.
+    r = np.random.default_rng(0)
+    for n in (0, 1, 3000, BLOCK, 2 * BLOCK + 777):
+        ids = np.minimum(r.integers(0, 40, n), r.integers(0, 40_000, n)).astype(np.uint16)
+        body = dump(np.array([7]), np.array([n]), ids, 16)
+        m = Shard.of(body)
+        assert (m.sequence() == ids).all() and m.doc_ids.tolist() == [7] and m.lengths.tolist() == [n]
+        at = r.integers(0, max(n, 1), 50 if n else 0)
+        assert (m.access(at) == ids[at]).all()
+        ends = np.append(at, n)
+        for v in (0, 5, 39, 41, 70_000):
+            places = np.flatnonzero(ids == v)
+            assert m.rank(v, ends).tolist() == [int((ids[:e] == v).sum()) for e in ends]
+            ks = [0, 1, len(places) // 2, len(places) - 1, len(places), -1]
+            assert m.select(v, ks).tolist() == [int(places[k]) if 0 <= k < len(places) else -1 for k in ks]
+
+
+def test_wavelet_reads_one_document_alone():
+    from siltstone.llm.wavelet_matrix import BLOCK, Shard, dump
+
+    r = np.random.default_rng(1)
+    lengths = np.full(40, BLOCK // 2)
+    ids = r.integers(0, 50_000, int(lengths.sum())).astype(np.uint16)
+    body, got = dump(np.arange(40), lengths, ids, 16), []
+
+    def read(at, n):
+        got.append(n)
+        return body[at : at + n]
+
+    shard = Shard(read)
+    got.clear()
+    assert (shard.document(17) == ids[17 * BLOCK // 2 : 18 * BLOCK // 2]).all()
+    assert shard.select([int(ids[5])], [0])[0] == np.flatnonzero(ids == ids[5])[0]
+    small = Shard(read)
+    got.clear()
+    assert small.access([3 * BLOCK]).tolist() == [ids[3 * BLOCK]]
+    assert len(got) == 16 and sum(got) < len(body) / 15
+
+
+def test_wavelet_null_and_repeated_ids(spark):
+    from siltstone.llm.queries import _byte_level_encoder
+    from siltstone.llm.wavelet_matrix import wavelet_store
+
+    rows = [(None, "b"), (3, "x"), (3, "x"), (1, None), (2, ""), (9, "tail")]
+    made = wavelet_store(spark.createDataFrame(rows, "doc_id long, text string"), _byte_level_encoder, 16, 2, with_ids=True).collect()
+    made.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in made] == [None, 1, 2, 3, 3, 9]
+    assert [r.start for r in made] == np.cumsum([0] + [r.n_tokens for r in made])[:-1].tolist()
+    assert list(made[1].ids) == list(made[2].ids) == [2] and made[3].ids == made[4].ids
 
 
 def test_spm_backend(docs, none):
@@ -192,7 +242,7 @@ def test_spm_backend(docs, none):
     run = Encoder(path)
     plain = [t for t in own if "▁" not in t and "\0" not in t]
     assert run.decode(run(plain)) == plain
-    rows = spm_encode(docs, lambda: tokenizer_file("piece_bpe_32k.model"), check_share=1).collect()
+    rows = spm_encode(docs, lambda: tokenizer_file("piece_bpe_32k.model")).collect()
     assert len(rows) == len(DOCS) and all(r.parity for r in rows) and sum(not r.round_trip for r in rows) == 0
     assert spm_encode(none, path).count() == 0
 
@@ -227,6 +277,12 @@ def test_leaked_items(spark, docs, none):
                     expected.add((i, k, e))
     assert {g for g in got if len(DOCS[g[0]][1]) < 3000} == expected and expected
     assert {(x.doc_id, x.item_id, x.errors) for x in leaked_items(docs, table, 0.1, block_bytes=100).collect()} == got
+    # Two texts under one id and texts without an id: all are sought, in blocks as well.
+    twice = spark.createDataFrame([(1, source[:90]), (1, source[100:190]), (None, source[10:80]), (None, source[200:280])], "item_id long, text string")
+    one = spark.createDataFrame([(5, source[100:190]), (6, source[10:80]), (None, source[200:280]), (5, None)], "doc_id long, text string")
+    for size in (100, 1 << 20):
+        assert sorted(((x.doc_id, x.item_id, x.errors) for x in leaked_items(one, twice, 0.1, block_bytes=size).collect()), key=str) == [(5, 1, 0), (6, None, 0), (None, None, 0)]
+        assert without_leaks(one, twice, 0.1, block_bytes=size).count() == 1
     clean = without_leaks(docs, table, 0.1)
     assert {x.doc_id for x in clean.collect()} == {i for i, _ in DOCS} - {g[0] for g in got}
     assert leaked_items(none, table).count() == 0 and leaked_items(docs, table.limit(0)).count() == 0
@@ -255,6 +311,14 @@ def test_url_filter(spark):
         assert (g.host, g.path, g.rule, g.verdict) == (host, path, best[0] + best[1] if best else None, best[2] if best else usual)
     assert url_filter(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
+    # Globs with "?" and characters of several bytes, against the standard library's matching of one character each.
+    globs = ["a.b/?", "a.b/x?y", "*/é?*z", "a.?/日??"]
+    urls = [f"http://{h}/{p}" for h in ("a.b", "a.é", "c.d") for p in ("", "é", "日", "ab", "xéy", "xy", "xééy", "éaz", "éz", "q/ééé日z", "日éa", "日é", "日本語")]
+    made = url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [], globs).collect()
+    parts = lambda g: "(?s)" + "".join({"*": "[^\\0]*", "?": "[^\\0]"}.get(c, re.escape(c)) for c in g)
+    for g in made:
+        assert (g.verdict == "block") == any(re.fullmatch(parts(p), g.host + g.path) for p in globs), (g.host, g.path)
+
 
 def test_nearest(spark):
     from siltstone.llm.permutation_index import nearest
@@ -372,9 +436,9 @@ def test_spm_parity_on_every_row(spark):
     made = spm_encode(spark.createDataFrame(rows, "doc_id long, text string"), lambda: tokenizer_file("piece_bpe_32k.model")).collect()
     assert len(made) == 70 and all(r.parity is True for r in made)
 
-    # Pieces reach the library as one list for each run of threads.
-    run = Encoder(tokenizer_file("piece_bpe_32k.model"), threads=3)
-    pieces, sizes, bare = [f"▁w{i}" for i in range(9000)], [], run.bare
+    # New pieces reach the library as one list, which it may spread over threads; the ids are the same.
+    run, sizes = Encoder(tokenizer_file("piece_bpe_32k.model"), threads=3), []
+    text, bare = " ".join(f"w{i}" for i in range(9000)), run.bare
 
     class Spy:
         def encode_batch_fast(self, parts, **options):
@@ -382,4 +446,95 @@ def test_spm_parity_on_every_row(spark):
             return bare.encode_batch_fast(parts, **options)
 
     run.bare = Spy()
-    assert run.encode_pieces(pieces) == Encoder(tokenizer_file("piece_bpe_32k.model")).encode_pieces(pieces) and sizes == [3, 2]
+    one = Encoder(tokenizer_file("piece_bpe_32k.model"))([text])[0]
+    assert run([text])[0].tolist() == one.tolist() and run([text])[0].tolist() == one.tolist() and sizes == [5]
+    assert run.decode_bytes(one, np.array([len(one)])) == [run.decode([one])[0].encode()] == [text.encode()]
+
+
+def unigram_model(pieces, byte_fallback=True):
+    """The bytes of a small unigram model file: pieces (text, score, kind), as the protobuf has them."""
+    import struct
+
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    field = lambda k, body: varint(k << 3 | 2) + varint(len(body)) + body
+    number = lambda k, n: varint(k << 3) + varint(n)
+    out = b"".join(field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + number(3, kind)) for p, s, kind in pieces)
+    trainer = number(3, 1) + number(4, len(pieces)) + number(35, int(byte_fallback)) + number(40, 0) + number(41, 1) + number(42, 2) + varint(43 << 3) + varint(2**64 - 1)
+    normal = field(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1)
+    return out + field(2, trainer) + field(3, normal)
+
+
+def test_unigram_scores(tmp_path):
+    """A unigram model file made here: the best-scored segmentation, byte fallback and the marker, as the sentencepiece library has them."""
+    import sentencepiece
+
+    from siltstone.llm.spm_backend import Encoder, Model, parity
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    words = ["▁", "▁the", "▁th", "the", "th", "e", "er", "▁other", "o", "t", "h", "r", "▁größe", "gr", "öß", "s", "a", "n"]
+    pieces += [(w, -1.0 - 0.37 * i + (len(w) > 3), 1) for i, w in enumerate(words)]
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_model(pieces))
+    assert Model.read(path.read_bytes()).kind == 1
+    own = ["the other", "there  then", "größe größer 日本", "", "  the", "the\nrest", "other " * 40, "aßn"]
+    assert parity(str(path), own) == []
+    run, theirs = Encoder(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert [x.tolist() for x in run(own)] == [theirs.encode(t) for t in own]
+    ids = run(own)
+    assert run.decode_bytes(np.concatenate(ids), np.array([len(x) for x in ids])) == [t.encode() for t in own]
+
+
+def long_texts(seed=9):
+    """Texts with passages of 50 words and 400 bytes that repeat, at their lengths and one short of them."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
+    line = lambda k: " ".join(word() for _ in range(k))
+    shared, exact, short = line(90), "".join(r.choice("abcdefgh ") for _ in range(400)), "".join(r.choice("abcdefgh ") for _ in range(399))
+    fifty, fewer = line(50), line(49)
+    rows = [line(300), line(20) + " " + shared + " " + line(10), shared, shared + " " + line(200) + " " + shared, "p" + exact + "q", exact + "r", "s" + short + "t", "u" + short]
+    rows += [line(5) + " " + fifty + " " + line(5), line(3) + " " + fifty, fewer + " " + line(9), line(9) + " " + fewer, "ab" * 300, "é" * 300, "", None]
+    ids = [*range(len(rows)), None, None, 2, 12]
+    return list(zip(ids, [*rows, shared, "é" * 300, rows[2], rows[12]], strict=True))
+
+
+def test_suffix_dedup_at_production_parameters(spark):
+    from siltstone.llm.bucket_pointer import suffix_dedup
+
+    rows = long_texts()
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = Counter(t[i : i + 400] for d, x in rows if d is not None for t in [(x or "").encode()] for i in range(len(t) - 399))
+    for hot in (20_000, 1):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(table, hot=hot).collect())
+        want: Counter = Counter()
+        for d, x in rows:
+            t = (x or "").encode()
+            gone = [False] * len(t)
+            for i in range(len(t) - 399) if d is not None else ():
+                if seen[t[i : i + 400]] > 1:
+                    gone[i : i + 400] = [True] * 400
+            want[d, len(t), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), bytes(b for b, g in zip(t, gone, strict=True) if not g)] += 1
+        assert got == want
+
+
+def test_rlz_dedup_at_production_parameters(spark):
+    from siltstone.llm.relative_lz import rlz_dedup
+
+    rows = long_texts(10)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first: dict = {}
+    for d, x in rows:
+        w = words_of(x)
+        for i in range(len(w) - 49) if d is not None else ():
+            key = tuple(w[i : i + 50])
+            first[key] = min(first.get(key, d), d)
+    for hot in (256, 1):
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rlz_dedup(table, window=50, hot=hot).collect())
+        want: Counter = Counter()
+        for d, x in rows:
+            w = words_of(x)
+            gone = [False] * len(w)
+            for i in range(len(w) - 49) if d is not None else ():
+                if first[tuple(w[i : i + 50])] < d:
+                    gone[i : i + 50] = [True] * 50
+            want[d, len(w), sum(gone), " ".join(y for y, g in zip(w, gone, strict=True) if not g)] += 1
+        assert got == want
