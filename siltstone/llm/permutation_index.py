@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its ``prefix`` nearest pivots in order of nearness. The index is cut into blocks
-of vectors; each block has one inverted file for each pivot, which holds the place that the pivot has in each
-vector's list (``prefix`` where it isn't in the list). A query reads the files of its own pivots and sums up
-the footrule distance of the two lists, induced on the pivots that either holds; a stated share of each block
-with the least distances is reranked by exact cosine in double precision.
+of vectors; each block has one inverted file for each pivot, in which the vectors that have the pivot in their list
+are posted with its place there. A query reads the files of its own pivots only and sums up the footrule distance of
+the two lists, induced on the pivots that either holds; a stated share of each block with the least distances
+is reranked by exact cosine in double precision.
 
 Equal vectors are one entry that keeps its k + 1 smallest ids, so a group of copies of any size costs one
 posting and still gives every member its neighbours. Queries are taken in blocks that bound what is broadcast;
@@ -47,35 +47,37 @@ def spread_pivots(sample: np.ndarray, count: int, alike: float = 0.9) -> np.ndar
 
 
 class Block:
-    """Inverted pivot files of one block of vectors."""
+    """Inverted pivot files of one block of vectors: for each pivot, the vectors that have it in their list and the place it
+    has there, nearest first."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int):
         self.ids, self.vectors, self.prefix = ids, vectors, min(prefix, len(pivots))
         self.norms = np.linalg.norm(vectors, axis=1)
         lists = permutations(vectors, pivots, self.prefix)
-        self.files = np.full((len(pivots), len(ids)), self.prefix, np.int16)
-        for place in range(self.prefix):
-            self.files[lists[:, place], np.arange(len(ids))] = place
-
-    def footrule(self, pivots: np.ndarray) -> np.ndarray:
-        """Distance to a query's list, up to a term that is the same for all vectors (an absent pivot's place is prefix)."""
-        # |a - b| summed over both lists = const - 2 * sum over the query's pivots of (prefix - max(a, b)).
+        pivot, place = lists.ravel(), np.tile(np.arange(self.prefix, dtype=np.int16), len(ids))
+        order = np.lexsort((place, pivot))
+        self.posted, self.place = (order // max(self.prefix, 1)).astype(np.int32), place[order]
+        self.file = np.searchsorted(pivot[order], np.arange(len(pivots) + 1))
+
+    def agreement(self, pivots: np.ndarray) -> np.ndarray:
+        """For each vector, how far the footrule distance of its list to a query's falls below that of two lists without a
+        common pivot (an absent pivot's place is prefix). Only the files of the query's pivots are read."""
+        # |a - b| summed over both lists = const - 2 * sum over the common pivots of (prefix - max(a, b)).
         out = np.zeros(len(self.ids), np.int32)
-        worse = np.empty(len(self.ids), np.int16)
         for place, p in enumerate(pivots):
-            np.maximum(self.files[p], place, out=worse)
-            out += worse
+            a, b = self.file[p], self.file[p + 1]
+            out[self.posted[a:b]] += self.prefix - np.maximum(self.place[a:b], place)
         return out
 
     def search(self, query: np.ndarray, pivots: np.ndarray, share: float, least: int, close: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the k best of the share of the block with the least footrule distances, and of all
         vectors whose list is so close to the query's that the order among them says nothing."""
         many = min(len(self.ids), least + int(share * len(self.ids)))
-        distance = self.footrule(pivots)
+        common = self.agreement(pivots)
         n = len(pivots)
-        near = n * self.prefix - close * (n * self.prefix - n * (n - 1) / 2)
-        limit = max(near, np.partition(distance, many - 1)[many - 1])
-        some = np.flatnonzero(distance <= limit)
+        near = close * (n * self.prefix - n * (n - 1) / 2)
+        limit = min(near, np.partition(common, len(common) - many)[len(common) - many])
+        some = np.flatnonzero(common >= limit)
         score = (self.vectors[some] * query).sum(1) / (self.norms[some] * np.linalg.norm(query))
         best = np.lexsort((self.ids[some], -score))[:k]
         return self.ids[some[best]], score[best]
@@ -87,7 +89,7 @@ def sound(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 256, prefix: int = 128, share: float = 0.04, least: int = 64, close: float = 0.6, block_rows: int = 16_384, query_block: int = 16_384) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 256, prefix: int = 80, share: float = 0.06, least: int = 64, close: float = 0.6, block_rows: int = 16_384, query_block: int = 16_384) -> DataFrame:
     """The k nearest vectors found, by largest cosine, of each query among embeddings(vec_id, embedding).
 
     is_query: condition on vec_id; queries are searched against every row but their own id. Returns query_id, rank
