@@ -29,7 +29,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text that one vectorised step holds (a longer document makes a step of its own).
-STEP_BYTES = (1 << 20) - 4096
+STEP_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -201,7 +201,7 @@ def marked(data_len: int, marks: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 100, hot: int = 20_000, bucket_bytes: int = 1 << 20, whole_chars: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 100, hot: int = 4_000, bucket_bytes: int = 1 << 19, whole_chars: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """documents(doc_id, text) without the bytes that repeated strings of ``length`` bytes cover.
 
     Strings are those of the input, overlaps count, occurrences in the same document count, matches never
