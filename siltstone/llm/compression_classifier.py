@@ -25,11 +25,11 @@ def blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
-def train_dictionary(texts: list[str], least_blocks: int = 4000) -> bytes:
-    """A dictionary from the blocks of whole texts, taken evenly; raw content where there is too little to train on."""
+def train_dictionary(texts: list[str], most_blocks: int = 4000) -> bytes:
+    """A dictionary from at most most_blocks blocks of whole texts, taken evenly; raw content where there is too little to train on."""
     pool = [b for t in texts for b in blocks(t.encode("utf-8", "replace"))]
-    if len(pool) > least_blocks:
-        pool = [pool[i] for i in np.linspace(0, len(pool) - 1, least_blocks).astype(int)]
+    if len(pool) > most_blocks:
+        pool = [pool[i] for i in np.linspace(0, len(pool) - 1, most_blocks).astype(int)]
     try:
         return zstandard.train_dictionary(DICTIONARY, pool).as_bytes()
     except zstandard.ZstdError:
@@ -58,17 +58,18 @@ class DictionaryPair:
         return np.column_stack([d, r, d * d, r * r, d * r, size, d * size, r * size, size * size])
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, use: Column, max_docs: int = 6_000, max_bytes: int = 40 << 20) -> Callable[[str], Column]:
+def quality_model(docs: DataFrame, labels: DataFrame, use: Column, max_docs: int = 6_000, max_bytes: int = 40 << 20, most_blocks: int = 4_000) -> Callable[[str], Column]:
     """Learn quality from labels(doc_id, quality) and the texts of documents(doc_id, text).
 
     use: condition on doc_id under which a label may be used. At most max_docs documents a class, chosen by hash, and
-    about max_bytes of text are learned from: half trains the dictionaries, half the calibration. Returns a function
+    about max_bytes of text are learned from: half trains the dictionaries (each from at most most_blocks blocks of 1 KiB,
+    taken evenly), half the calibration. Returns a function
     from the name of a text column to its score: 0 to 1, higher for better text; 0 for null and empty texts. If one
     class has no labels, every other text gets the base rate.
     """
     texts, y = labelled_sample(docs, labels, "quality", use, max_docs, max_bytes)
     calibrate = np.arange(len(y)) % 2 == 1
-    good, bad = (train_dictionary([t for t, c, q in zip(texts, calibrate, y, strict=True) if not c and q == k]) for k in (1, 0))
+    good, bad = (train_dictionary([t for t, c, q in zip(texts, calibrate, y, strict=True) if not c and q == k], most_blocks) for k in (1, 0))
     w = fit_logistic(DictionaryPair(good, bad).features([t for t, c in zip(texts, calibrate, strict=True) if c]), y[calibrate], ridge=0.01)
 
     @F.arrow_udf("double")

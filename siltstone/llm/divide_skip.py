@@ -6,7 +6,9 @@ universe one is equal in both. Of the documents that share such a part, those wh
 in more bits than D are no candidates (every such bit is a differing element); the others form candidate
 clusters. Each cluster is one small inverted index, on which the T-occurrence search runs: a document's shingle lists are
 sorted by length, the short ones merged, the L longest left out and binary-probed only for documents
-that already occur often enough in the short ones to still reach the required overlap T.
+that already occur often enough in the short ones to still reach the required overlap T. L is DivideSkip's
+T / (mu log M + 1), M the longest list. Merging sorted lists by a heap and by one sort of their concatenation count the
+same occurrences; the sort runs on whole arrays and is what is done here.
 
 Cost at scale: copies collapse to one set before anything is joined; a document makes about
 2 D narrow rows; one shuffle by part; a spanning forest (never all pairs) between the sets of a part; the
@@ -157,6 +159,15 @@ def plausible_links(sizes: list[int], marks: list[bytes], rule: Threshold) -> It
                 yield i, i + 1 + int(j)
 
 
+#: DivideSkip's weight of a probe against a merge step.
+MU = 0.01
+
+
+def long_lists(least: int, longest: int) -> int:
+    """How many of the longest lists are probed and not merged, for a required overlap of ``least``."""
+    return min(least - 1, int(least / (MU * math.log2(max(longest, 2)) + 1)))
+
+
 class _Union:
     def __init__(self, n: int):
         self.root = np.arange(n)
@@ -196,9 +207,9 @@ def t_occurrence(sets: list[np.ndarray], rule: Threshold, left: int | None = Non
         mine = which[at[i] : at[i + 1]]
         mine = mine[np.argsort(length[mine], kind="stable")]
         a = int(size[i])
-        # The least overlap with any partner of a fitting size; all but T - 1 of the lists must be merged.
+        # The least overlap with any partner of a fitting size; at most T - 1 of the lists may stay unmerged.
         least = max(1, int(rule.overlap(a, -(-a * rule.num // rule.den))))
-        skipped = min(least - 1, a)
+        skipped = min(long_lists(least, int(length[mine[-1]])), a) if a else 0
         short, long = mine[: a - skipped], mine[a - skipped :]
         short = short[length[short] > 1]
         if len(short) == 0:

@@ -1,8 +1,8 @@
 """URL filter by a bit-parallel automaton for glob rules.
 
 All patterns are laid side by side in multiword bit masks, one bit for each pattern position. A step of the
-automaton reads one character of every URL of a batch at once: shift, AND with the character's mask, and let
-"*" positions loop. "?" is any one character of its part, "*" any run of them within its part: host and path
+automaton reads one byte of every URL of a batch at once: shift, AND with the byte's mask, and let "*" positions
+loop. "?" is any one character of its part (its further UTF-8 bytes loop), "*" any run of them within its part: host and path
 are kept apart by a symbol of its own, so no wildcard of a host reaches into a path.
 
 A rule (host, path) becomes two patterns over host and path: its host with nothing or any subdomain before
@@ -30,7 +30,7 @@ class GlobAutomaton:
 
     def __init__(self, patterns: Sequence[Sequence[int]]):
         self.last: list[int] = []  # bit of each pattern's final position
-        start, many, advance = [], [], []
+        start, many, advance, rest = [], [], [], []
         masks: list[list[int]] = []
         bit = 0
         for p in patterns:
@@ -42,20 +42,24 @@ class GlobAutomaton:
                 else:
                     bit += 1
                     advance.append((bit, s))
+                    if s == _ONE:
+                        rest.append(bit)
             self.last.append(bit)
             bit += 1
         self.words = max(1, -(-bit // 64))
         masks = np.zeros((258, self.words), np.uint64)
         one = lambda b: np.uint64(1 << (b % 64))
         for b, s in advance:
-            for c in range(256) if s == _ONE else (s,):
+            for c in (*range(128), *range(192, 256)) if s == _ONE else (s,):
                 masks[c, b // 64] |= one(b)
         self.masks = masks
-        self.start, self.many = np.zeros(self.words, np.uint64), np.zeros(self.words, np.uint64)
+        self.start, self.many, self.rest = (np.zeros(self.words, np.uint64) for _ in range(3))
         for b in start:
             self.start[b // 64] |= one(b)
         for b in many:
             self.many[b // 64] |= one(b)
+        for b in rest:
+            self.rest[b // 64] |= one(b)
 
     def run(self, symbols: np.ndarray) -> np.ndarray:
         """symbols: one row for each input, filled up with _END. Returns [input, pattern]: whether it matches."""
@@ -69,6 +73,7 @@ class GlobAutomaton:
             up = state << np.uint64(1)
             up[:, 1:] |= state[:, :-1] >> top
             loop = np.where((s < 256)[:, None], self.many, np.uint64(0))
+            loop |= np.where(((s >= 128) & (s < 192))[:, None], self.rest, np.uint64(0))
             new = (up & self.masks[s]) | (state & loop)
             state = np.where(live[:, None], new, state)
         bits = np.array(self.last, np.int64)

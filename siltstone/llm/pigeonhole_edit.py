@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _GAPS = re.compile(r"[\W_]+")
@@ -87,33 +86,35 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.patterns: dict[int, Pattern] = {}
+        self.ids: list[int | None] = []
+        self.patterns: list[Pattern] = []
         where: dict[str, list[tuple[int, int]]] = {}
-        for item_id, text in items:
-            item = normalise(text)
+        for item_id, item in dict.fromkeys((i, normalise(text)) for i, text in items):
             if item:
                 k = budget(len(item), rate)
-                self.patterns[item_id] = Pattern(item, k)
                 for a, piece in pieces(item, k):
-                    where.setdefault(piece, []).append((item_id, a))
+                    where.setdefault(piece, []).append((len(self.patterns), a))
+                self.patterns.append(Pattern(item, k))
+                self.ids.append(item_id)
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
         if where:
             self.automaton.make_automaton()
 
-    def __call__(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, errors, end in the normalised text) of the best match of every leaked item."""
+    def __call__(self, text: str) -> list[tuple[int | None, int, int]]:
+        """(item, errors, end in the normalised text) of the best match of every leaked item; of the texts of one item,
+        the best match of any."""
         if not self.patterns:
             return []
         text = normalise(text)
         looked: dict[int, list[tuple[int, int]]] = {}
         for end, (size, places) in self.automaton.iter(text):
-            for item_id, a in places:
-                looked.setdefault(item_id, []).append((end + 1 - size - a, end + 1 - size - a))
-        out = []
-        for item_id, starts in looked.items():
-            p = self.patterns[item_id]
+            for key, a in places:
+                looked.setdefault(key, []).append((end + 1 - size - a, end + 1 - size - a))
+        out: dict[int | None, tuple[int, int]] = {}
+        for key, starts in looked.items():
+            p = self.patterns[key]
             n, best = len(p.item), (p.k + 1, 0)
             # Windows of nearby places are one window: matches lie within k of the place on either side.
             starts.sort()
@@ -130,34 +131,31 @@ class Matcher:
                     errors, end = p.best(window)
                     best = min(best, (errors, begin + end))
             if best[0] <= p.k:
-                out.append((item_id, *best))
-        return out
+                item_id = self.ids[key]
+                out[item_id] = min(best, out.get(item_id, best))
+        return [(item_id, *best) for item_id, best in out.items()]
 
 
 def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_bytes; only one block is on the driver at a time."""
-    before = F.sum(F.octet_length("text")).over(W.orderBy("item_id").rowsBetween(W.unboundedPreceding, -1))
-    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """The items in blocks of about block_bytes, dealt by hash of item_id, so that all texts of an item are in one; only one
+    block is on the driver at a time."""
+    items = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total <= block_bytes:
-        rows = [(r.item_id, r.text) for r in items.collect()]
-        if rows:
-            yield sorted(rows)
-        return
-    cut = items.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / block_bytes))
-    for block in range(int(total // block_bytes) + 1):
+    blocks = max(1, -(-total // block_bytes))
+    cut = items.withColumn("block", F.pmod(F.xxhash64(F.coalesce("item_id", F.lit(-1))), F.lit(blocks)))
+    for block in range(blocks):
         rows = [(r.item_id, r.text) for r in cut.where(F.col("block") == block).collect()]
         if rows:
-            yield sorted(rows)
+            yield sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_bytes: int = 16 << 20) -> DataFrame:
     """Benchmark items(item_id, text) that documents(doc_id, text) hold within floor(rate * length) edits.
 
     Returns doc_id, item_id, errors (least distance of a passage) and end (where the first such passage ends in the
-    normalised text), one row for each document row and item. Null and empty texts hold nothing; null items and
-    items without a letter or digit are never found; items repeated under one id count as one, the last in text order;
-    repeated document rows stay rows; a null doc_id stays null. Other columns are ignored; an empty table gives no
+    normalised text), one row for each document row and item. Null and empty texts hold nothing; null texts of items and
+    items without a letter or digit are never found; different texts under one item_id (or under a null one, which counts
+    as an id) are all sought, and the best match of any counts; repeated document rows stay rows; a null doc_id stays null. Other columns are ignored; an empty table gives no
     rows. Every whole text is read; items over block_bytes are taken in blocks, one pass over the documents for each.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
