@@ -38,6 +38,12 @@ def squeeze(value: Column | str) -> Column:
     return F.trim(F.regexp_replace(text(value), r"(?U)\s+", " "))
 
 
+def plain(value: Column | str) -> Column:
+    """Without NUL characters and carriage returns, blanks squeezed, no more than two line ends in a row, trimmed."""
+    out = F.regexp_replace(F.regexp_replace(text(value), "\u0000", ""), "\r\n|\r", "\n")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
 def cut(value: Column | str, limit: int) -> Column:
     """Squeezed, at most limit characters, null if empty."""
     short = F.rtrim(F.substring(squeeze(value), 1, limit))

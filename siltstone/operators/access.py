@@ -14,7 +14,7 @@ def department_closure(departments: DataFrame) -> DataFrame:
 
 def principal_keys(users: DataFrame, departments: DataFrame) -> DataFrame:
     """(user_id, key, match_type): every principal that a user is. Keys meet ACL rows in one equi-join."""
-    ancestors = users.join(F.broadcast(department_closure(departments)), "department_id")
+    ancestors = users.join(department_closure(departments), "department_id")
     kind = F.when(F.col("ancestor_id") == F.col("department_id"), "direct").otherwise("ancestor")
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     return (
@@ -65,38 +65,116 @@ def decisions(documents: DataFrame, acl: DataFrame, users: DataFrame, department
     return grants(documents, acl, users, departments).groupBy("user_id", "document_id").agg(F.bool_or("can_manage").alias("can_manage"), F.min_by("match_type", order).alias("reason"))
 
 
-def visible_chunks(chunks: DataFrame, seen: DataFrame) -> DataFrame:
-    """(user_id, chunk columns) by a join on document_id; seen(user_id, document_id) comes from decisions()."""
-    return seen.select("user_id", "document_id").join(chunks, "document_id")
+def visible_chunks(chunks: DataFrame, seen: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """(user_id, chunk columns) by a join on document_id; seen(user_id, document_id) comes from decisions(). users: if given, those of them that are admins see
+    every chunk, the stated, short list of those who ask."""
+    rows = seen.select("user_id", "document_id").join(chunks, "document_id")
+    if users is not None:
+        admins = users.where("role = 'admin'").select("user_id")
+        rows = rows.unionByName(chunks.join(F.broadcast(admins)).select(*rows.columns))
+    return rows
 
 
-def scope_summary(made: DataFrame) -> DataFrame:
-    """Per user: visible and manageable documents, and documents by the first reason."""
+def scopes(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scope_id, n_users) and (scope_id, document_id): the different sets of documents that users see, named after the least user who does. made: of decisions(). Sets
+    are told apart by their size and two 64-bit sums of hashes, which are combined before the shuffle; no set is gathered."""
+    h = F.xxhash64("document_id")
+    sums = made.groupBy("user_id").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64("document_id", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    named = sums.groupBy("n", "x", "s").agg(F.min("user_id").alias("scope_id"), F.count("*").alias("n_users")).select("scope_id", "n_users")
+    own = made.join(named.select("scope_id"), made.user_id == F.col("scope_id"), "left_semi")
+    return named, own.select(F.col("user_id").alias("scope_id"), "document_id")
+
+
+def decision_trace(documents: DataFrame, acl: DataFrame, users: DataFrame, departments: DataFrame) -> DataFrame:
+    """(user_id, document_id, rule, acl_id, matched, effective, match_type) for the (user, document) pairs of one stated user table and document table: the admin and owner rules, and every
+    access entry of the document, with whether it matches and whether it grants something. Made for a debug view of few users and documents."""
+    pairs = users.select("user_id", "role").join(documents.select("document_id", "owner_user_id"))
+    rules = F.array(F.struct(F.lit("admin").alias("rule"), (F.col("role") == "admin").alias("matched")), F.struct(F.lit("owner").alias("rule"), F.coalesce(F.col("owner_user_id") == F.col("user_id"), F.lit(False)).alias("matched")))
+    none = F.lit(None).cast(dict(acl.dtypes)["acl_id"])
+    own = pairs.select("user_id", "document_id", F.explode(rules).alias("r")).select("user_id", "document_id", "r.rule", none.alias("acl_id"), "r.matched", F.lit(True).alias("effective"), F.when(F.col("r.matched"), F.col("r.rule")).alias("match_type"))
+    keys = acl_keys(acl).join(principal_keys(users, departments), "key").groupBy("user_id", "acl_id").agg(F.min("match_type").alias("match_type"))
+    rows = acl.select("document_id", "acl_id", "can_view", "can_manage").join(pairs.select("user_id", "document_id"), "document_id").join(keys, ["user_id", "acl_id"], "left")
+    entry = rows.select("user_id", "document_id", F.lit("acl").alias("rule"), "acl_id", F.col("match_type").isNotNull().alias("matched"), (F.col("can_view") | F.col("can_manage")).alias("effective"), "match_type")
+    return own.unionByName(entry)
+
+
+def access_reasons(trace: DataFrame) -> DataFrame:
+    """(user_id, document_id, visible, rule, acl_id, reason) of decision_trace: admin before owner before the first matching entry that grants something, or why not."""
+    w = W.partitionBy("user_id", "document_id").orderBy(F.when(F.col("rule") == "admin", 0).when(F.col("rule") == "owner", 1).otherwise(2), "acl_id")
+    hit = trace.where("matched and effective").withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "document_id", "rule", "acl_id", "match_type")
+    seen = trace.groupBy("user_id", "document_id").agg(F.bool_or(F.col("matched") & ~F.col("effective")).alias("idle"))
+    rows = seen.join(hit, ["user_id", "document_id"], "left")
+    reason = F.when(F.col("rule").isNotNull(), F.col("match_type")).when(F.col("idle"), "matched_without_permission").otherwise("no_matching_rule")
+    return rows.select("user_id", "document_id", F.col("rule").isNotNull().alias("visible"), "rule", "acl_id", reason.alias("reason"))
+
+
+def visible_documents(made: DataFrame, documents: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` newest documents(document_id, created_at, ...) that each user of decisions() sees."""
+    w = W.partitionBy("user_id").orderBy(F.desc("created_at"), "document_id")
+    return made.join(documents, "document_id").withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+
+
+REASONS = {"n_owner": "owner", "n_public": "public", "n_user": "user", "n_role": "role", "n_direct": "direct", "n_ancestor": "ancestor", "n_legacy": "legacy"}
+
+
+def _counts(made: DataFrame, key: str) -> DataFrame:
     count = lambda cond: F.count(F.when(cond, 1))
-    kinds = {"n_owner": "owner", "n_public": "public", "n_user": "user", "n_role": "role", "n_direct": "direct", "n_ancestor": "ancestor", "n_legacy": "legacy"}
-    return made.groupBy("user_id").agg(F.count("*").alias("n_visible"), count(F.col("can_manage")).alias("n_manageable"), *[count(F.col("reason") == v).alias(k) for k, v in kinds.items()])
+    return made.groupBy(key).agg(F.count("*").alias("n_visible"), count(F.col("can_manage")).alias("n_manageable"), *[count(F.col("reason") == v).alias(k) for k, v in REASONS.items()])
+
+
+def scope_summary(documents: DataFrame, acl: DataFrame, users: DataFrame, departments: DataFrame) -> DataFrame:
+    """Per non-admin user who sees something: visible and manageable documents, and documents by the first reason.
+
+    Users with one role, department and team see the same documents but for those that they own or are named for. Decisions are made and
+    counted for each such profile; for a user's own documents they are made again and the difference is added. No table holds every user with every
+    public document.
+    """
+    people = users.where("role <> 'admin'")
+    shape = ["role", "department_id", "team_name"]
+    profiles = people.groupBy(*shape).agg(F.min("user_id").alias("profile"))
+    member = people.join(profiles, [people[c].eqNullSafe(profiles[c]) for c in shape]).select("user_id", "profile")
+    as_user = profiles.withColumnRenamed("profile", "user_id")
+    general = acl.where("principal_type <> 'user'")
+    nobody = documents.withColumn("owner_user_id", F.lit(None).cast(dict(documents.dtypes)["owner_user_id"]))
+    base = decisions(nobody, general, as_user, departments).withColumnRenamed("user_id", "profile")
+    # The users' own documents, under the profile's rules and under all of them.
+    named = effective(acl).where("principal_type = 'user'").select("user_id", "document_id", F.lit("acl").alias("source"), F.lit("user").alias("match_type"), "acl_id", "can_manage")
+    kind = dict(acl.dtypes)["acl_id"]
+    owned = documents.select(F.col("owner_user_id").alias("user_id"), "document_id", F.lit("owner").alias("source"), F.lit("owner").alias("match_type"), F.lit(None).cast(kind).alias("acl_id"), F.lit(True).alias("can_manage"))
+    own = named.unionByName(owned).join(people.select("user_id"), "user_id", "left_semi")
+    touched = own.select("user_id", "document_id").distinct().join(member, "user_id")
+    before = touched.join(base, ["profile", "document_id"]).select("user_id", "document_id", "can_manage", "reason")
+    by_profile = effective(acl_keys(general)).join(principal_keys(as_user, departments).withColumnRenamed("user_id", "profile"), "key")
+    shared = touched.join(by_profile.drop("can_view", "key"), ["profile", "document_id"]).select("user_id", "document_id", F.lit("acl").alias("source"), "match_type", "acl_id", "can_manage")
+    order = F.struct((F.col("source") == "acl").alias("acl"), "acl_id", "match_type")
+    after = own.unionByName(shared).groupBy("user_id", "document_id").agg(F.bool_or("can_manage").alias("can_manage"), F.min_by("match_type", order).alias("reason"))
+    names = ["n_visible", "n_manageable", *REASONS]
+    all_of = member.join(_counts(base, "profile"), "profile").select("user_id", *names)
+    change = _counts(after, "user_id").unionByName(_counts(before, "user_id").select("user_id", *[(-F.col(n)).alias(n) for n in names]))
+    made = all_of.unionByName(change).groupBy("user_id").agg(*[F.sum(n).alias(n) for n in names])
+    return made.where("n_visible > 0")
 
 
 def acl_change_impact(documents: DataFrame, acl: DataFrame, users: DataFrame, departments: DataFrame, proposed: DataFrame) -> DataFrame:
     """Users whose access to a document a proposed ACL row changes: (user_id, document_id, impact). The proposed row
     replaces the one with its acl_id. Only the touched documents are evaluated, before and after."""
-    touched = F.broadcast(proposed.select("document_id").distinct())
+    touched = proposed.select("document_id").distinct()
     docs, old = documents.join(touched, "document_id", "left_semi"), acl.join(touched, "document_id", "left_semi")
     new = old.join(proposed.select("acl_id"), "acl_id", "left_anti").unionByName(proposed)
-    before = decisions(docs, old, users, departments).select("user_id", "document_id", F.lit(True).alias("v0"), F.col("can_manage").alias("m0"))
-    after = decisions(docs, new, users, departments).select("user_id", "document_id", F.lit(True).alias("v1"), F.col("can_manage").alias("m1"))
+    before = decisions(docs, old, users, departments).select("user_id", "document_id", F.lit(True).alias("v0"), F.col("can_manage").alias("m0"), F.col("reason").alias("r0"))
+    after = decisions(docs, new, users, departments).select("user_id", "document_id", F.lit(True).alias("v1"), F.col("can_manage").alias("m1"), F.col("reason").alias("r1"))
     off = lambda c: F.coalesce(F.col(c), F.lit(False))
-    both = before.join(after, ["user_id", "document_id"], "full_outer").select("user_id", "document_id", *[off(c).alias(c) for c in ("v0", "m0", "v1", "m1")])
+    both = before.join(after, ["user_id", "document_id"], "full_outer").select("user_id", "document_id", *[off(c).alias(c) for c in ("v0", "m0", "v1", "m1")], "r0", "r1")
     impact = (
         F.when(~F.col("v0") & F.col("v1"), "newly_visible").when(F.col("v0") & ~F.col("v1"), "no_longer_visible")
-        .when(~F.col("m0") & F.col("m1"), "newly_manageable").when(F.col("m0") & ~F.col("m1"), "no_longer_manageable")
+        .when(~F.col("m0") & F.col("m1"), "newly_manageable").when(F.col("m0") & ~F.col("m1"), "no_longer_manageable").when(F.col("v0") & (F.col("r0") != F.col("r1")), "changed")
     )
     return both.select("user_id", "document_id", impact.alias("impact")).where("impact is not null")
 
 
 def user_search(users: DataFrame, departments: DataFrame, pattern: str, columns: tuple[str, ...]) -> DataFrame:
     """Users of which one of the columns contains the pattern, any case; the department may be missing."""
-    joined = users.join(F.broadcast(departments), "department_id", "left")
+    joined = users.join(departments, "department_id", "left")
     hit: Column = F.lit(False)
     for c in columns:
         hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(pattern.lower())), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,59 @@ def segments(documents: DataFrame, separator: str = r"\n\s*\n+") -> DataFrame:
     return rows.select("document_id", (F.col("pos") + 1).alias("paragraph_index"), "text", start.alias("char_start"), (start + F.length("text")).alias("char_end"))
 
 
+def split_large(parts: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
+    """Segments (document_id, paragraph_index, text, char_start, ...) of at most ``limit`` characters: longer ones as runs of whole sentences, greedily packed; one sentence
+    that is longer stays whole. Pieces keep the segment's columns and get their own char_start and char_end."""
+    # Ends of sentences as places in the text; a piece ends before the sentence that would make it too long.
+    sentences = F.filter(F.split("text", r"(?<=[。！？.!?])\s+"), lambda s: F.trim(s) != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(state, s):
+        longer = F.when(state.now == "", s).otherwise(F.concat(state.now, F.lit(" "), s))
+        full = (state.now != "") & (F.length(longer) > limit)
+        return F.struct(F.when(full, F.concat(state.done, F.array(state.now))).otherwise(state.done).alias("done"), F.when(full, s).otherwise(longer).alias("now"))
+
+    packed = F.aggregate(sentences, start, step, lambda s: F.when(s.now != "", F.concat(s.done, F.array(s.now))).otherwise(s.done))
+    pieces = F.when(F.length("text") > limit, packed).otherwise(F.array("text"))
+    rest = [c for c in parts.columns if c not in ("text", "char_start", "char_end")]
+    rows = parts.select(*rest, "text", "char_start", pieces.alias("pieces")).select(*rest, F.col("char_start").alias("_start"), F.posexplode("pieces").alias("piece", "text"), "pieces")
+    before = F.aggregate(F.slice("pieces", F.lit(1), F.col("piece")), F.lit(0), lambda a, p: a + F.length(p) + 1)
+    return rows.withColumn("char_start", F.col("_start") + before).withColumn("char_end", F.col("char_start") + F.length("text")).drop("_start", "pieces")
+
+
+def dominant_section(own: Column) -> Column:
+    """Of the segments (text, section_title) of a chunk, the section with most characters, the later one of equal ones; null without any."""
+    named = F.filter(own, lambda s: F.coalesce(s.section_title, F.lit("")) != "")
+    weight = lambda t: F.aggregate(F.filter(named, lambda s: s.section_title == t), F.lit(0), lambda a, s: a + F.length(s.text))
+    titles = F.transform(named, lambda s, i: F.struct(weight(s.section_title).alias("w"), i.alias("i"), s.section_title.alias("t")))
+    return F.array_max(titles).t
+
+
+#: Metadata of segments that a chunk merges; fixed names.
+SCALARS = {"parser_backend": "parser_backends", "source_format": "source_formats", "section_kind": "section_kinds", "sheet_name": "sheet_names", "slide_title": "slide_titles", "table_caption": "table_captions"}
+RANGES, LISTS = ("slide_number", "table_row_index"), ("segment_kind",)
+
+
+def merged_metadata(metas: Column) -> Column:
+    """Citation metadata of a chunk from the maps of its segments: one value under its name, several as a JSON list under the plural; numbers as one or as _start and _end; kinds as a
+    list; the first table headers."""
+    values = lambda k: F.array_distinct(F.filter(F.transform(metas, lambda m: F.trim(F.element_at(m, k))), lambda v: v.isNotNull() & (v != "")))
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    out = []
+    for k, plural in SCALARS.items():
+        v = values(k)
+        out.append(F.when(F.size(v) == 1, entry(k, F.get(v, F.lit(0)))).when(F.size(v) > 1, entry(plural, F.to_json(v))))
+    for k in RANGES:
+        n = F.filter(F.transform(values(k), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+        low, high = F.array_min(n), F.array_max(n)
+        out += [F.when(low == high, entry(k, low)), F.when(low != high, entry(f"{k}_start", low)), F.when(low != high, entry(f"{k}_end", high))]
+    for k in LISTS:
+        out.append(F.when(F.size(values(k)) > 0, entry(f"{k}s", F.to_json(values(k)))))
+    heads = values("table_headers")
+    out.append(F.when(F.size(heads) > 0, entry("table_headers", F.get(heads, F.lit(0)))))
+    return F.map_from_entries(F.array_compact(F.array(*out)))
+
+
 def _strong_block(t):
     article = rf"^(?:#{{1,6}}\s*)?第[一二三四五六七八九十百千万零〇0-9]+条$"
     return ~t.startswith("Table row:") & (t.rlike(article) | t.startswith("条款全称：") | t.rlike(r"^#{1,6}\s+\S") | t.rlike(r"^(?:[一二三四五六七八九十]+、|[0-9]+[.、])\S{2,40}$"))
@@ -34,10 +87,10 @@ def chunk_documents(parts: DataFrame, target: int = TARGET_CHARS, limit: int = M
     also ends once ``limit`` is reached. Only the last two keep the last ``overlap`` segments for the next chunk. The
     state depends on the order, so it is one fold over a document's ordered segments, in the JVM.
     """
-    section = F.col("section_title") if "section_title" in parts.columns else F.lit(None).cast("string")
-    item = F.struct("paragraph_index", F.col("text"), section.alias("section_title"))
+    has = lambda c, kind: (F.col(c) if c in parts.columns else F.lit(None)).cast(kind).alias(c)
+    item = F.struct("paragraph_index", has("piece", "int"), F.col("text"), has("section_title", "string"), has("page_number", "int"), has("char_start", "int"), has("char_end", "int"), has("citation_metadata", "string"))
     folded = parts.groupBy("document_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    seg = "struct<paragraph_index:int,text:string,section_title:string>"
+    seg = "struct<paragraph_index:int,piece:int,text:string,section_title:string,page_number:int,char_start:int,char_end:int,citation_metadata:string>"
     zero = F.struct(F.array().cast(f"array<array<{seg}>>").alias("done"), F.array().cast(f"array<{seg}>").alias("buf"))
     size = lambda buf: F.aggregate(buf, F.lit(0), lambda a, x: a + F.length(x.text))
     row = lambda x: F.startswith(x.text, F.lit("Table row:"))
@@ -67,7 +120,14 @@ def chunk_documents(parts: DataFrame, target: int = TARGET_CHARS, limit: int = M
 
     chunks = folded.select("document_id", F.posexplode(F.aggregate(F.col("items").cast(f"array<{seg}>"), zero, step, finish)).alias("chunk_index", "own"))
     content = F.array_join(F.transform("own", lambda s: s.text), "\n\n")
-    return chunks.select("document_id", "chunk_index", content.alias("content"), T.token_estimate(content).alias("token_count"), F.array_min(F.transform("own", lambda s: s.paragraph_index)).alias("paragraph_start"), F.array_max(F.transform("own", lambda s: s.paragraph_index)).alias("paragraph_end"))
+    low = lambda c: F.array_min(F.transform("own", lambda s: s[c]))
+    high = lambda c: F.array_max(F.transform("own", lambda s: s[c]))
+    metas = F.transform("own", lambda s: F.from_json(s.citation_metadata, "map<string,string>"))
+    return chunks.select(
+        "document_id", "chunk_index", content.alias("content"), T.token_estimate(content).alias("token_count"), low("paragraph_index").alias("paragraph_start"), high("paragraph_index").alias("paragraph_end"),
+        low("page_number").alias("page_number_start"), high("page_number").alias("page_number_end"), low("char_start").alias("char_start"), high("char_end").alias("char_end"),
+        dominant_section(F.col("own")).alias("section_title"), merged_metadata(F.filter(metas, lambda m: m.isNotNull())).alias("citation_metadata"),
+    )
 
 
 def with_structure(chunks: DataFrame, section: str = "section_title") -> DataFrame:

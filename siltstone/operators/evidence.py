@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,6 +11,21 @@ from ..functions import text as T
 ALIAS_SEPARATORS = "并且|并|且|同时|然后|以及|需要|必须|应当|应|要|需|，|。|；|;|：|:|、|\\(|\\)|（|）"
 POSITION_BUCKETS = ((20, "<=20"), (80, "21-80"), (120, "81-120"), (300, "121-300"))
 SUPPORTED, PARTIAL = 0.75, 0.5
+CITATION_MARKS = (r"\[[0-9,\s]+\]", "【[^】]{1,80}】", r"\(来源[:：][^)）]{1,120}[)）]")
+ORDINALS = "第一|第二|第三|第四|第五|第六|第七|第八|其一|其二|其三|一是|二是|三是"
+LEAD_INS = (
+    "^根据当前可访问文档中的证据[，,]?", "^当前可访问文档中的证据[，,]?", "^《[^》]{1,120}》(?:里|中)?", "^[^：:]{0,160}（[^）]{1,120}）提到[:：]",
+    "^[^：:]{0,160}(?:提到|显示|说明|指出)[:：]", "^[^：:]{0,160}(?:主要有[一二三四五六七八九十两0-9]+点|主要说明|直接相关的要求是|要求是|要求为)[:：]",
+    "^(?:第一|第二|第三|第四|第五|第六|第七|第八|其一|其二|其三|一是|二是|三是)[，,:：]?",
+)
+LOW_INFORMATION = (
+    "未找到足够相关", "证据不足", "暂时无法", "请换个问法", "建议结合引用片段", "建议你继续", "建议你把问题", "我已经检索到", "进一步确认",
+    "当前可访问范围内未找到", "文档可能不存在", "没有访问权限",
+)
+FACTUAL = (
+    "为", "是", "包括", "包含", "需要", "必须", "应", "不得", "禁止", "负责", "审批", "处理", "时限", "要求", "同步", "补齐", "关闭", "回收",
+    "导出", "升级", "建立", "明确", "可以", "先",
+)
 #: Word in a change, and the hint that it gives.
 IMPACT_WORDS = ("security", "access", "deadline", "sla", "rollback", "release", "approval", "policy", "compliance", "owner")
 
@@ -64,28 +79,40 @@ def fact_coverage(specs: Column, raw: Column) -> Column:
     return F.struct(pick(lambda s: s.hit).alias("matched"), pick(lambda s: ~s.hit).alias("missing"), F.when(total > 0, T.clamp(hit / total)).otherwise(0.0).alias("coverage"))
 
 
+def is_factual(claim: Column) -> Column:
+    """Whether a cleaned piece of an answer asserts something: long enough or with a number, no phrase of refusal, and of 14
+    normalised characters or with a word of assertion."""
+    from .support import numeric_constraints
+
+    n = F.length(T.match_text(claim))
+    empty = claim.rlike("|".join(LOW_INFORMATION))
+    return (claim != "") & ~((n < 6) & (F.size(numeric_constraints(claim)) == 0)) & ~empty & ((n >= 14) | claim.rlike("|".join(FACTUAL)))
+
+
 def claims(answer: Column | str) -> Column:
-    """Sentences of an answer without citation marks, the first of equal ones, of 6 letters or digits or more."""
-    clean = F.regexp_replace(T.text(answer), r"\[[0-9,\s]+\]|【[^】]{1,80}】", "")
-    parts = F.filter(F.transform(F.split(F.regexp_replace(clean, r"\s+", " "), "[。！？!?；;]+|(?<=\\.)\\s"), lambda p: F.trim(p)), lambda p: F.length(T.match_text(p)) >= 6)
+    """The factual statements of an answer, the first of equal ones: citation marks removed, split at ends of sentences, semicolons and
+    ordinals, without lead-ins."""
+    clean = T.text(answer)
+    for pattern in CITATION_MARKS:
+        clean = F.regexp_replace(clean, pattern, "")
+    clean = F.trim(F.regexp_replace(clean, r"(?U)\s+", " "))
+    clean = F.regexp_replace(clean, rf"(?:^|[，,；;。]\s*)({ORDINALS})\s*[，,:：]", "；")
+
+    def bare(part):
+        part = F.regexp_replace(part, "^[ ，,。；;：:]+|[ ，,。；;：:]+$", "")
+        for pattern in LEAD_INS:
+            part = F.regexp_replace(part, pattern, "")
+        return F.regexp_replace(part, "^[ ，,。；;：:]+|[ ，,。；;：:]+$", "")
+
+    parts = F.filter(F.transform(F.split(clean, "[。！？!?；;]+"), bare), is_factual)
     keys = F.transform(parts, T.match_text)
-    return F.filter(parts, lambda p, i: F.array_position(keys, T.match_text(p)) == i + 1)
+    return F.filter(parts, lambda p, i: (T.match_text(p) != "") & (F.array_position(keys, T.match_text(p)) == i + 1))
 
 
 def support_status(score: Column) -> Column:
     return F.when(score >= SUPPORTED, "supported").when(score >= PARTIAL, "partial").otherwise("unsupported")
 
 
-def claim_support(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(answer_id, claim_no, claim, best, status): the best share of a claim's terms found in one of its answer's pieces
-    of evidence(answer_id, content); 1 where the evidence holds the claim."""
-    c = answers.select("answer_id", F.posexplode(claims("answer")).alias("claim_no", "claim"))
-    pairs = c.join(evidence, "answer_id", "left")
-    score = F.when(F.contains(T.match_text("content"), T.match_text("claim")), 1.0).otherwise(share_found(terms("claim"), terms("content")))
-    best = pairs.groupBy("answer_id", "claim_no", "claim").agg(F.coalesce(F.max(F.when(F.col("content").isNotNull(), score)), F.lit(0.0)).alias("best"))
-    return best.withColumn("status", support_status(F.col("best")))
-
-
 def position_bucket(index: Column | str) -> Column:
     index = F.col(index) if isinstance(index, str) else index
     out = None

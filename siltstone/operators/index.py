@@ -40,6 +40,36 @@ def lengths(terms: DataFrame, key: str = "chunk_id") -> DataFrame:
     return terms.groupBy(key).agg(F.sum("tf").alias("doc_len"))
 
 
+def with_lengths(terms: DataFrame, key: list[str]) -> DataFrame:
+    """A term index with doc_len, the sum of tf of each key."""
+    return terms.withColumn("doc_len", F.sum("tf").over(W.partitionBy(*key)))
+
+
+def chunk_sizes(terms: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(scope columns, n_chunks, avg_len) of an index with doc_len: the chunks that have a term, and their mean length."""
+    scope = scope or []
+    one = terms.groupBy(*scope, "chunk_id").agg(F.first("doc_len").alias("doc_len"))
+    return one.groupBy(*scope).agg(F.count("*").alias("n_chunks"), F.avg("doc_len").alias("avg_len"))
+
+
+def parse_terms(rows: DataFrame, key: str = "chunk_id", text: str = "lexical_search_text") -> DataFrame:
+    """(key, term, tf) of a stored search text: its words, as often as they occur."""
+    words = F.explode(F.filter(F.split(T.text(text), r"\s+"), lambda w: w != ""))
+    return rows.select(key, words.alias("term")).groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"))
+
+
+def search_text(terms: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, lexical_search_text): the stored form, each term tf times, terms in order; one row's text is bounded by the index's limits."""
+    words = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("term", "tf"))), lambda x: F.array_repeat(x.term, x.tf)))
+    return terms.groupBy(key).agg(F.array_join(words, " ").alias("lexical_search_text"))
+
+
+def backfill(chunks: DataFrame, column: str, made: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Chunks with what they lack in a column filled from made(key, column); what is there stays."""
+    rows = chunks.withColumnRenamed(column, "_old").join(made.select(key, column), key, "left")
+    return rows.withColumn(column, F.coalesce("_old", column)).drop("_old")
+
+
 def query_terms(queries: DataFrame, limit: int = 64) -> DataFrame:
     """(query_id, term, qtf, n_terms): distinct terms, without numbers of one or two digits and single CJK characters,
     the first ``limit`` by (has a digit, length, CJK characters, term), largest first."""

@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import access, conversations, corpus, evaluation, evidence, fusion, index, retrieval, sets
-from ..storage import written
+from ..operators import access, conversations, corpus, evaluation, evidence, fusion, index, rerank, retrieval, sets
+from ..storage import kept
 from ..streaming import traces as stream
 from . import tables as D
+from .registry import ORACLE_SQL, QUERIES, TOP_K, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: What a bounded answer shows; part of the queries' meaning.
-TOP_K = 10
-
-
-def query(sql: str | None = None, views: bool = True):
-    """Registers a query; its SQL is put behind the shared views."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {D.VIEWS.strip()},\n{sql.strip()}" if views and sql.strip().lower().startswith("x as") else (f"WITH {D.VIEWS.strip()}\n{sql.strip()}" if views else sql.strip())
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # Access.
 
@@ -46,7 +27,7 @@ def access_decisions(spark, d):
     count(*) FILTER (reason = 'direct') AS n_direct, count(*) FILTER (reason = 'ancestor') AS n_ancestor, count(*) FILTER (reason = 'legacy') AS n_legacy FROM decisions GROUP BY 1"""
 )
 def access_scope_summary(spark, d):
-    return access.scope_summary(access_decisions(spark, d))
+    return access.scope_summary(D.documents(spark, d).drop("content"), D.acl(spark, d), D.users(spark, d), D.departments(spark, d))
 
 
 @query("SELECT department_id, ancestor_id FROM closure")
@@ -106,8 +87,12 @@ def chunk_sizes(spark, d):
 
 
 def _terms(spark, d):
-    """The index is a table: statistics, lengths and postings are read from it, not made again."""
-    return written(index.term_index(D.chunks(spark, d).select("chunk_id", "document_title", "content")), "terms")
+    """The index is a table, with the chunks' lengths, that is written once for a folder: what searches need is read from it."""
+    return kept(spark, f"{d}/terms", lambda: index.with_lengths(index.term_index(D.chunks(spark, d).select("chunk_id", "document_title", "content")), ["chunk_id"]))
+
+
+def _sizes(spark, d):
+    return kept(spark, f"{d}/sizes", lambda: index.chunk_sizes(_terms(spark, d)))
 
 
 @query("SELECT chunk_id, term, tf FROM terms")
@@ -117,8 +102,8 @@ def term_index(spark, d):
 
 @query("SELECT term, df, round(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, size")
 def corpus_idf(spark, d):
-    df, size = retrieval.scope_statistics(_terms(spark, d))
-    return df.join(F.broadcast(size)).select("term", "df", F.round(retrieval.idf(F.col("n_chunks"), F.col("df")), 6).alias("idf"))
+    df = _terms(spark, d).groupBy("term").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(_sizes(spark, d))).select("term", "df", F.round(retrieval.idf(F.col("n_chunks"), F.col("df")), 6).alias("idf"))
 
 
 @query("SELECT query_id, term, qtf, n_terms FROM qterms")
@@ -133,7 +118,7 @@ bm_top AS (SELECT * FROM (SELECT query_id, bm.chunk_id, document_id, chunk_index
 
 def _bm25(spark, d):
     places = D.chunks(spark, d).select("chunk_id", "document_id", "chunk_index")
-    return retrieval.bm25(index.query_terms(D.queries(spark, d)), _terms(spark, d)).join(places, "chunk_id").withColumn("key", F.round("score", 9))
+    return retrieval.bm25(index.query_terms(D.queries(spark, d)), _terms(spark, d), size=_sizes(spark, d)).join(places, "chunk_id").withColumn("key", F.round("score", 9))
 
 
 def _bm25_top(spark, d, k=TOP_K):
@@ -147,21 +132,30 @@ def bm25_search(spark, d):
 
 
 @query(
-    """, seen AS (SELECT chunks.* FROM chunks JOIN decisions d USING (document_id) WHERE d.user_id = 7),
-    sterms AS (SELECT t.* FROM terms t JOIN seen USING (chunk_id)), sdf AS (SELECT term, count(*) AS df FROM sterms GROUP BY 1),
-    slen AS (SELECT chunk_id, sum(tf) AS doc_len FROM sterms GROUP BY 1), ssize AS (SELECT count(*) AS n_chunks, avg(doc_len) AS avg_len FROM slen),
-    s AS (SELECT q.query_id, t.chunk_id, sum(ln(1 + (n_chunks - sdf.df + 0.5) / (sdf.df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (greatest(slen.doc_len, 1) / greatest(avg_len, 1.0))))) + 0.18 * count(*) / max(n_terms) AS score
-      FROM qterms q JOIN sterms t USING (term) JOIN sdf USING (term) JOIN slen USING (chunk_id), ssize GROUP BY 1, 2)
-    SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT query_id, s.chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_index, s.chunk_id) AS rank FROM s JOIN chunks USING (chunk_id)) WHERE rank <= 10"""
+    """, sets AS (SELECT user_id, string_agg(document_id, ',' ORDER BY document_id) AS docs FROM decisions GROUP BY 1),
+    named AS (SELECT min(user_id) AS scope_id, count(*) AS n_users FROM sets GROUP BY docs),
+    seen AS (SELECT d.user_id AS scope_id, chunk_id, chunk_index FROM chunks JOIN decisions d USING (document_id) JOIN named n ON n.scope_id = d.user_id),
+    sterms AS (SELECT scope_id, t.* FROM terms t JOIN seen USING (chunk_id)), sdf AS (SELECT scope_id, term, count(*) AS df FROM sterms GROUP BY ALL),
+    slen AS (SELECT scope_id, chunk_id, sum(tf) AS doc_len FROM sterms GROUP BY ALL), ssize AS (SELECT scope_id, count(*) AS n_chunks, avg(doc_len) AS avg_len FROM slen GROUP BY ALL),
+    s AS (SELECT scope_id, q.query_id, t.chunk_id, sum(ln(1 + (n_chunks - sdf.df + 0.5) / (sdf.df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (greatest(slen.doc_len, 1) / greatest(avg_len, 1.0))))) + 0.18 * count(*) / max(n_terms) AS score
+      FROM qterms q JOIN sterms t USING (term) JOIN sdf USING (scope_id, term) JOIN slen USING (scope_id, chunk_id) JOIN ssize USING (scope_id) WHERE q.query_id % 50 = 0 GROUP BY ALL)
+    SELECT scope_id, n_users, query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT scope_id, query_id, s.chunk_id, score, row_number() OVER (PARTITION BY scope_id, query_id ORDER BY round(score, 9) DESC, chunk_index, s.chunk_id) AS rank FROM s JOIN seen USING (scope_id, chunk_id)) JOIN named USING (scope_id) WHERE rank <= 10"""
 )
 def bm25_search_in_scope(spark, d):
-    """BM25 over what one user may see: the filter comes first, and the statistics are the scope's own."""
-    docs = D.documents(spark, d).drop("content")
-    seen = access.decisions(docs, D.acl(spark, d), D.users(spark, d).where("user_id = 7"), D.departments(spark, d))
-    chunks = D.chunks(spark, d).join(seen, "document_id", "left_semi")
-    terms = written(index.term_index(chunks.select("chunk_id", "document_title", "content")), "terms")
-    scored = retrieval.bm25(index.query_terms(D.queries(spark, d)), terms).join(chunks.select("chunk_id", "chunk_index"), "chunk_id").withColumn("key", F.round("score", 9))
-    return retrieval.top_k(scored, TOP_K, score="key").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    """The queries whose id is divisible by 50 over what every user may see: the filter comes first, and the statistics are the scope's own. Users who see the same documents
+    are one scope, named after the least of them."""
+    seen = access.decisions(D.documents(spark, d).drop("content"), D.acl(spark, d), D.users(spark, d), D.departments(spark, d))
+    named, members = access.scopes(seen)
+    members = kept(spark, f"{d}/scopes", lambda: members)
+    places = D.chunks(spark, d).select("chunk_id", "document_id", "chunk_index")
+    own = members.join(places, "document_id").select("scope_id", "chunk_id", "chunk_index")
+    asked = index.query_terms(D.queries(spark, d).where("query_id % 50 = 0"))
+    terms = _terms(spark, d)
+    size = own.join(terms.groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len")), "chunk_id").groupBy("scope_id").agg(F.count("*").alias("n_chunks"), F.avg("doc_len").alias("avg_len"))
+    hit = terms.join(asked.select("term").distinct(), "term", "left_semi")  # few terms, before chunks multiply by scopes
+    scored = retrieval.bm25(asked, own.select("scope_id", "chunk_id").join(hit, "chunk_id"), ["scope_id"], size).join(own, ["scope_id", "chunk_id"]).withColumn("key", F.round("score", 9))
+    best = retrieval.top_k(scored, TOP_K, score="key", by=("scope_id", "query_id")).join(named, "scope_id")
+    return best.select("scope_id", "n_users", "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 WEIGHTED = """wq AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(replace(lower(query_text), 'ß', 'ss'), '[a-z0-9]+')) AS term FROM queries) GROUP BY ALL),
@@ -182,15 +176,15 @@ def weighted_search(spark, d):
 
 @query(
     """SELECT query_id, vec_id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank
-    FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0) WHERE rank <= 10""",
+    FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0) WHERE rank <= 10""",
     views=False,
 )
 def vector_search(spark, d):
+    """The nearest vectors of every vector whose id is divisible by 50, exactly."""
     e = D.table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    pairs = e.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("chunk_index"), "embedding").join(F.broadcast(q), F.lit(True))
-    scored = pairs.select("query_id", "chunk_id", "chunk_index", F.round(retrieval.cosine(F.col("query_embedding"), F.col("embedding")), 9).alias("score"))
-    return retrieval.top_k(scored, TOP_K).select("query_id", F.col("chunk_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = retrieval.vector_search(q, e.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("chunk_index"), "embedding"), TOP_K)
+    return found.select("query_id", F.col("chunk_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
 EXACT = """needles AS (SELECT query_id, regexp_replace(replace(lower(query_text), 'ß', 'ss'), '[^a-z0-9]+', '', 'g') AS needle FROM queries),
@@ -400,7 +394,8 @@ def recent_rounds(spark, d):
     return conversations.recent_rounds(D.messages(spark, d), 2)
 
 
-SENTENCES = r"""pieces AS (SELECT session_id, turn, role, string_split(regexp_replace(regexp_replace(content, '([.!?。；;])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS parts FROM messages),
+SENTENCES = r"""work AS (SELECT session_id, turn, role, content || CASE turn % 3 WHEN 0 THEN '. must update page ' || (session_id % 7) || '.' WHEN 1 THEN '. The SLA review is urgent; notify owner ' || turn || '.' ELSE '. No risk, no delay.' END AS content FROM messages),
+pieces AS (SELECT session_id, turn, role, string_split(regexp_replace(regexp_replace(content, '([.!?。；;])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS parts FROM work),
 sents AS (SELECT session_id, turn, role, trim(unnest(parts), ' -' || chr(9)) AS sentence, generate_subscripts(parts, 1) AS pos FROM pieces)"""
 _ACTION = "|".join(T.ACTION_WORDS)
 _RISK = "|".join(T.RISK_WORDS)
@@ -416,14 +411,14 @@ _HIGH, _MEDIUM = "|".join(T.HIGH_PRIORITY), "|".join(T.MEDIUM_PRIORITY)
     SELECT session_id, turn, title, priority, task_no FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, pos) AS task_no FROM firsts) WHERE task_no <= 8"""
 )
 def task_items(spark, d):
-    return conversations.tasks(D.messages(spark, d), 8).select("session_id", "turn", "title", "priority", F.col("task_no").cast("long").alias("task_no"))
+    return conversations.tasks(D.work_messages(spark, d), 8).select("session_id", "turn", "title", "priority", F.col("task_no").cast("long").alias("task_no"))
 
 
 @query(
     f""", {SENTENCES} SELECT session_id, count(*) AS n_sentences, count(*) FILTER (regexp_matches(lower(sentence), '{_RISK}')) AS n_risks FROM sents WHERE role = 'assistant' AND sentence <> '' GROUP BY 1"""
 )
 def risk_sentences(spark, d):
-    rows = conversations.answer_sentences(D.messages(spark, d))
+    rows = conversations.answer_sentences(D.work_messages(spark, d))
     return rows.groupBy("session_id").agg(F.count("*").alias("n_sentences"), F.count(F.when(T.is_risk("sentence"), 1)).alias("n_risks"))
 
 
@@ -439,7 +434,7 @@ def session_counts(spark, d):
 
 @query(
     """, v AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY document_id) AS n FROM docs),
-    pairs AS (SELECT a.document_id AS pair_id, a.content AS old_text, b.content AS new_text FROM v a JOIN v b ON a.source = b.source AND a.lang = b.lang AND b.n = a.n + 1 WHERE a.n % 2 = 1),
+    pairs AS (SELECT a.document_id AS pair_id, a.content AS old_text, b.content AS new_text FROM v a JOIN v b ON a.source = b.source AND a.lang = b.lang AND b.n = a.n + 1),
     o AS (SELECT pair_id, unnest(string_split(old_text, chr(10))) AS line FROM pairs), w AS (SELECT pair_id, unnest(string_split(new_text, chr(10))) AS line FROM pairs),
     x AS ((SELECT pair_id, line, 'insert' AS change FROM (SELECT * FROM w WHERE trim(line) <> '' EXCEPT ALL SELECT * FROM o WHERE trim(line) <> '')) UNION ALL (SELECT pair_id, line, 'delete' FROM (SELECT * FROM o WHERE trim(line) <> '' EXCEPT ALL SELECT * FROM w WHERE trim(line) <> '')))
     SELECT pair_id, change, count(*) AS n_lines FROM x GROUP BY ALL"""
@@ -450,7 +445,7 @@ def version_line_changes(spark, d):
 
     n = F.row_number().over(W.partitionBy("source", "lang").orderBy("document_id"))
     v = D.documents(spark, d).select("document_id", "content", "source", "lang", n.alias("n"), F.lead("content").over(W.partitionBy("source", "lang").orderBy("document_id")).alias("new_text"))
-    pairs = v.where("n % 2 = 1 and new_text is not null")
+    pairs = v.where("new_text is not null")
     side = lambda c: sets.lines_of(pairs.select("document_id", F.col(c).alias("content"))).withColumnRenamed("document_id", "pair_id")
     return sets.bag_difference(side("content"), side("new_text")).groupBy("pair_id", "change").agg(F.count("*").alias("n_lines"))
 
@@ -512,11 +507,16 @@ def document_segments(spark, d):
 
 
 @query(
-    """SELECT chunk_id, 'paragraph' AS chunk_type, trim(regexp_replace('paragraph ' || content, '\\s+', ' ', 'g'))[1:200] AS head FROM chunks"""
+    """, c AS (SELECT chunk_id, CASE chunk_index % 7 WHEN 1 THEN '# ' WHEN 2 THEN 'Table row: a=' ELSE '' END || content AS body, CASE WHEN chunk_index % 5 = 1 THEN 'Part ' || (chunk_index % 3) END AS section FROM chunks),
+    k AS (SELECT *, CASE WHEN starts_with(trim(body), 'Table row:') THEN 'table' WHEN section IS NOT NULL THEN 'section' WHEN regexp_matches(trim(body), '^#{1,6}\\s+\\S') THEN 'heading' ELSE 'paragraph' END AS chunk_type FROM c)
+    SELECT chunk_id, chunk_type, section AS heading_path, rtrim(trim(regexp_replace(concat_ws(' ', section, section, chunk_type, body), '\\s+', ' ', 'g'))[1:4000]) AS structural_search_text FROM k"""
 )
 def chunk_structure(spark, d):
-    made = corpus.with_structure(D.chunks(spark, d))
-    return made.select("chunk_id", "chunk_type", F.substring("structural_search_text", 1, 200).alias("head"))
+    """Structure of every chunk; by rules on the place some are headings, table rows or parts of a section."""
+    n = F.col("chunk_index")
+    body = F.concat(F.when(n % 7 == 1, "# ").when(n % 7 == 2, "Table row: a=").otherwise(""), "content")
+    rows = D.chunks(spark, d).withColumn("content", body).withColumn("section_title", F.when(n % 5 == 1, F.concat(F.lit("Part "), (n % 3).cast("string"))))
+    return corpus.with_structure(rows).select("chunk_id", "chunk_type", "heading_path", "structural_search_text")
 
 
 @query()
@@ -546,7 +546,7 @@ def trace_sessions(spark, d):
     return stream.sessions(D.table(spark, d, "events"))
 
 
-JOBS = """jobs AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS event FROM events WHERE event_id % 3 = 0)"""
+JOBS = """jobs AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS event FROM events)"""
 
 
 @query(
@@ -557,7 +557,7 @@ JOBS = """jobs AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN
 def job_states(spark, d):
     kind = F.col("event_type")
     event = F.when(kind.isin("view", "signup"), "queued").when(kind == "click", "running").when(kind == "error", "failed").otherwise("completed")
-    rows = D.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("job_id"), "ts", event.alias("event"))
+    rows = D.table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", event.alias("event"))
     return stream.job_states(rows)
 
 
@@ -628,7 +628,7 @@ def balanced_case_sample(spark, d):
 
 @query(
     """, v AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY document_id) AS n FROM docs),
-    p AS (SELECT a.document_id AS pair_id, lower(coalesce(a.content, '') || ' ' || coalesce(b.content, '')) AS t FROM v a JOIN v b ON a.source = b.source AND a.lang = b.lang AND b.n = a.n + 1 WHERE a.n % 2 = 1)
+    p AS (SELECT a.document_id AS pair_id, lower(coalesce(a.content, '') || ' ' || coalesce(b.content, '')) AS t FROM v a JOIN v b ON a.source = b.source AND a.lang = b.lang AND b.n = a.n + 1)
     SELECT pair_id, contains(t, 'sla') AS has_sla, contains(t, 'owner') AS has_owner, contains(t, 'release') AS has_release FROM p"""
 )
 def change_impact_words(spark, d):
@@ -637,7 +637,7 @@ def change_impact_words(spark, d):
     w = W.partitionBy("source", "lang").orderBy("document_id")
     v = D.documents(spark, d).select("document_id", "content", F.row_number().over(w).alias("n"), F.lead("content").over(w).alias("next"), F.lead("document_id").over(w).alias("other"))
     words = evidence.impact_words(F.concat_ws(" ", "content", "next"))
-    pairs = v.where("n % 2 = 1 and other is not null").select(F.col("document_id").alias("pair_id"), words.alias("w"))
+    pairs = v.where("other is not null").select(F.col("document_id").alias("pair_id"), words.alias("w"))
     return pairs.select("pair_id", *[F.array_contains("w", x).alias(f"has_{x}") for x in ("sla", "owner", "release")])
 
 
@@ -657,8 +657,31 @@ def document_sweep(spark, d):
     return made.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query()
+STOP = "['a','an','and','are','for','how','in','is','of','on','or','the','to','what','which']"
+#: Features of a text whose rules can only be met by sla and l4.
+FEATURES = """list_distinct(list_filter(regexp_extract_all({0}, '[a-z0-9]+'), lambda t: NOT list_contains(""" + STOP + """, t)))"""
+EXTRA = """list_concat(CASE WHEN contains({0}, 'sla') THEN ['处理时限', '时限', 'sla'] ELSE [] END, CASE WHEN contains({0}, 'l4') THEN ['l4', '高风险', '高风险供应商', '准入等级', '审批链路', '复核周期', '退出要求'] ELSE [] END)"""
+
+
+def _features(text: str, extra: bool) -> str:
+    own = FEATURES.format(text)
+    return f"list_distinct(list_concat({own}, {EXTRA.format(f"regexp_replace({text}, '\\s+', '', 'g')")}))" if extra else own
+
+
+@query(
+    f""", {HITS}, cand AS (SELECT n.query_id, n.chunk_id, chunk_index, lexical_raw, round(0.45 * lexical_norm + 0.55 * vector_norm, 9) AS fused, replace(lower(query_text), 'ß', 'ss') AS qt, replace(lower(document_title), 'ß', 'ss') AS tt, replace(lower(document_title || ' ' || content[1:1600]), 'ß', 'ss') AS wt, replace(lower(content), 'ß', 'ss') AS ct
+      FROM norm n JOIN chunks USING (chunk_id) JOIN queries USING (query_id)),
+    feats AS (SELECT *, {_features('qt', True)} AS q, {_features('tt', False)} AS t, {_features('wt', True)} AS w, {_features('ct', True)} AS c FROM cand),
+    o AS (SELECT *, CASE WHEN least(len(q), len(w)) > 0 THEN len(list_intersect(q, w)) / least(len(q), len(w)) ELSE 0 END AS a, CASE WHEN least(len(q), len(t)) > 0 THEN len(list_intersect(q, t)) / least(len(q), len(t)) ELSE 0 END AS ti,
+      CASE WHEN least(len(q), len(c)) > 0 THEN len(list_intersect(q, c)) / least(len(q), len(c)) ELSE 0 END AS b FROM feats),
+    s AS (SELECT *, round(fused + a * 0.22 + ti * 0.12 + b * 0.56 + CASE WHEN lexical_raw > 0 THEN 0.04 ELSE 0 END + CASE WHEN b >= 0.2 THEN 0.08 ELSE 0 END + CASE WHEN b >= 0.5 THEN 0.12 ELSE 0 END - CASE WHEN a < 0.08 AND lexical_raw <= 0 THEN 0.09 ELSE 0 END
+      - CASE WHEN a < 0.12 AND ti = 0 AND fused < 0.35 THEN 0.06 ELSE 0 END, 9) AS rerank FROM o)
+    SELECT query_id, chunk_id, rank, round(rerank, 6)::DOUBLE AS rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, fused DESC, round(lexical_raw, 9) DESC, chunk_index, chunk_id) AS rank FROM s) WHERE rank <= 10"""
+)
 def reranked_search(spark, d):
-    """Fused candidates reranked by feature overlap; held by a literal-row test."""
-    fused = fusion.fuse(_hits(spark, d)).join(D.queries(spark, d), "query_id").join(D.chunks(spark, d), "chunk_id").withColumn("section_title", F.lit(""))
-    return retrieval.rerank_overlap(fused, TOP_K).select("query_id", "chunk_id", "rank", "rerank")
+    """The ten best of the fused candidates by the heuristic reranker."""
+    fused = fusion.fuse(_hits(spark, d)).join(D.queries(spark, d), "query_id").join(D.chunks(spark, d), "chunk_id").withColumn("fused", F.round("fused", 9)).withColumn("lexical_raw", F.round("lexical_raw", 9))
+    return rerank.heuristic_rerank(fused, TOP_K).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("rerank", 6).alias("rerank"))
+
+
+from . import ask_queries, audit_queries, work_queries  # noqa: E402, F401 - they register their queries

@@ -68,6 +68,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
 
 
+def work_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with a sentence after each that names work, an urgent matter, or a risk, by turn."""
+    n = F.col("turn") % 3
+    more = F.when(n == 0, F.concat(F.lit(". must update page "), (F.col("session_id") % 7).cast("string"), F.lit("."))).when(n == 1, F.concat(F.lit(". The SLA review is urgent; notify owner "), F.col("turn").cast("string"), F.lit("."))).otherwise(". No risk, no delay.")
+    return messages(spark, sf_dir).withColumn("content", F.concat("content", more))
+
+
 #: The same rules for the SQL side.
 VIEWS = r"""
 users AS (SELECT c_custkey AS user_id, c_name AS full_name, CASE WHEN c_custkey % 50 = 0 THEN 'admin' WHEN c_mktsegment = 'BUILDING' THEN 'manager' ELSE 'viewer' END AS role,

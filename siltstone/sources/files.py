@@ -28,10 +28,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def strip_markdown(value):
     """Without images, link targets, emphasis, bullets and numbering."""
-    out = F.regexp_replace(value, r"!\[[^\]]*\]\([^)]*\)", "")
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"[*_`]+", "")
-    return F.trim(F.regexp_replace(out, r"^\s*(?:[-*+]\s+|\d+[.)]\s+|>\s*)", ""))
+    out = F.regexp_replace(value, r"!\[[^\]]*\]\([^)]*\)", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"\[([^\]]+)\]\([^)]*\)", "$1"), "[`*_~>#]", "")
+    return T.plain(F.regexp_replace(F.regexp_replace(out, r"^\s*[-*+]\s+", ""), r"^\s*\d+\.\s+", ""))
 
 
 def markdown_segments(documents: DataFrame) -> DataFrame:

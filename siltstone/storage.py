@@ -11,14 +11,40 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a temporary folder of this application."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; where that is unset and everything runs on this machine, a temporary folder of this application."""
+    path, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if path:
+        return path
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="siltstone-"))
+
+
+_written: dict[str, list[str]] = {}
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, name: str, make) -> DataFrame:
+    """The table that make() describes, written once for each application and name, and read from then on."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _tables:
+        _tables[key] = written(make(), name.rsplit("/", 1)[-1])
+    return _tables[key]
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written. Results that were not read yet can't be after it."""
     app = spark.sparkContext.applicationId
-    return path or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="siltstone-"))
+    for folder in _written.pop(app, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for key in [k for k in _tables if k[0] == app]:
+        del _tables[key]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read back: its lineage is cut, and later reads prune columns and push filters."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

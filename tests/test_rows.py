@@ -140,9 +140,8 @@ def test_html(spark):
     page = "<html><body><nav><p>skip this one</p></nav><h1>Title here</h1><p>First text<br>line two</p><script>x</script><div class='sidebar'><p>no no no</p></div><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table><ul><li>item one</li></ul></body></html>"
     got = html.page_segments(spark.createDataFrame([(1, page), (2, None), (3, "plain words")], "page_id long, html string")).collect()
     assert [(r.page_id, r.tag, r.text, r.section_title) for r in got] == [
-        (1, "h1", "Title here", "Title here"), (1, "p", "First text\nline two", "Title here"), (1, "table", "", "Title here"), (1, "li", "item one", "Title here"), (3, "body", "plain words", None),
+        (1, "h1", "Title here", "Title here"), (1, "p", "First text\nline two", "Title here"), (1, "table", "Table row: Title here. A=1; B=2.", "Title here"), (1, "li", "item one", "Title here"), (3, "body", "plain words", None),
     ]
-    assert got[2].cells == [["A", "B"], ["1", "2"]]
 
 
 def test_markdown(spark):
@@ -157,7 +156,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a b.txt").write_text("x")
     (tmp_path / "t.csv").write_text('k,v\n1,"a,b"\n')
     seen = {r.name: r for r in files.inspect_uploads(spark, str(tmp_path)).collect()}
-    assert seen["t.csv"].supported and len(seen["t.csv"].checksum) == 64 and "a_20b.txt" in seen or "a_b.txt" in seen
+    assert seen["t.csv"].supported and len(seen["t.csv"].checksum) == 64 and set(seen) == {"a_b.txt", "t.csv"}
     assert [r.text for r in tables.read_csv(spark, str(tmp_path / "t.csv")).collect()] == ["Table row: t. k=1; v=a,b."]
     (tmp_path / "q.tsv").write_text("query-id\tcorpus-id\tscore\nq1\td1\t1\nq1\td2\t0\nq2\t0\td3\t2\n")
     assert [(r.query_id, r.document_id, r.relevance) for r in files.read_qrels(spark, str(tmp_path / "q.tsv")).collect()] == [("q1", "d1", 1), ("q2", "d3", 2)]
@@ -194,9 +193,6 @@ def test_facts_and_claims(spark):
     row = spark.createDataFrame([("必须先提交完整申请，然后等待部门审批 ok", [("a", ["提交完整申请，等待部门审批"], 2.0), ("b", ["missing"], 1.0), ("c", ["OK"], 1.0)])], "t string, specs array<struct<label:string,aliases:array<string>,weight:double>>")
     got = row.select(evidence.fact_coverage(F.col("specs"), F.col("t")).alias("f")).first().f
     assert (got.matched, got.missing, got.coverage) == (["a", "c"], ["b"], 0.75)
-    answers = spark.createDataFrame([(1, "The limit is ten days [1, 2]. Nobody knows this thing. The limit is ten days.")], "answer_id int, answer string")
-    found = spark.createDataFrame([(1, "Note: the limit is ten days!"), (1, "nobody there")], "answer_id int, content string")
-    assert [(r.claim_no, round(r.best, 2), r.status) for r in evidence.claim_support(answers, found).orderBy("claim_no").collect()] == [(0, 1.0, "supported"), (1, 0.25, "unsupported")]
 
 
 def test_embedding(spark):
@@ -227,12 +223,6 @@ def test_structural(spark):
     assert [(r.query_id, r.chunk_id) for r in got] == [(1, "a"), (1, "b")] and got[0].score - got[1].score > 6
 
 
-def test_rerank(spark):
-    rows = [(1, "leave policy days", "a", 0, "Leave policy", "", "ten days of leave", 0.4, 1.0, ["lexical"]), (1, "leave policy days", "b", 1, "Other", "", "nothing", 0.5, 0.0, ["vector"])]
-    made = retrieval.rerank_overlap(spark.createDataFrame(rows, "query_id int, query_text string, chunk_id string, chunk_index int, document_title string, section_title string, content string, fused double, lexical_raw double, sources array<string>"), 2)
-    assert [(r.chunk_id, round(r.rerank, 4)) for r in made.orderBy("rank").collect()] == [("a", 0.78), ("b", 0.5)]
-
-
 def test_table_pairs_and_exact_text(spark):
     chunks = spark.createDataFrame([("a", 1, 0, "t", "Table row: 级别=P1; 时限=15分钟.", "table"), ("b", 1, 1, "t", "P1 级别 and more words here to find", "paragraph")], "chunk_id string, document_id int, chunk_index int, document_title string, content string, chunk_type string")
     pairs = spark.createDataFrame([(1, "级别", "P1")], "query_id int, field string, value string")
