@@ -166,3 +166,46 @@ def cjk_density(value: Column | str) -> Column:
 
 def clamp(value: Column, digits: int = 4) -> Column:
     return F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), digits)
+
+
+#: Words of a question that its answer does not repeat; fixed values.
+QUESTION_WORDS = ("什么", "怎么", "如何", "哪些", "多少", "多久", "是否", "可以", "需要", "要求", "请问")
+
+
+def query_terms_of(value: Column | str) -> Column:
+    """Terms of a question for matching sentences: CJK runs between function words, with 2- to 5-grams of those of more than four characters, and Latin words of three characters or more, distinct."""
+    runs = F.flatten(F.transform(F.regexp_extract_all(text(value), F.lit(f"([{CJK}]+)"), 1), lambda r: F.filter(F.split(r, "的|了|和|与|及|或|在|对|中|里|为|是"), lambda p: F.length(p) >= 2)))
+    parts = F.filter(runs, lambda p: ~p.isin(*QUESTION_WORDS))
+    grams = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > 4, F.concat(F.array(p), *[_grams(p, n) for n in (2, 3, 4, 5)])).otherwise(F.array(p))))
+    return F.array_distinct(F.concat(F.filter(grams, lambda g: ~g.isin(*QUESTION_WORDS)), F.regexp_extract_all(F.lower(text(value)), F.lit("([a-z0-9]{3,})"), 1)))
+
+
+def focus_terms(value: Column | str) -> Column:
+    """Tokens of two characters or more, and 4-, 5- and 6-grams of those of more than six."""
+    tokens = F.filter(F.regexp_extract_all(fold(value), F.lit(f"([a-z0-9]+|[{CJK}]+)"), 1), lambda t: F.length(t) >= 2)
+    return F.array_distinct(F.flatten(F.transform(tokens, lambda t: F.when(F.length(t) > 6, F.concat(F.array(t), *[_grams(t, n) for n in (4, 5, 6)])).otherwise(F.array(t)))))
+
+
+def around(value: Column | str, hint: Column, limit: int = 260) -> Column:
+    """The sentences of a text that touch a hint, found without case and white space, from the sentence that it begins in; null where it is not."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text(value), "([。！？!?；;]|\\n)", "$1\u0001"), "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+    flat = lambda c: F.regexp_replace(fold(c), r"(?U)\s+", "")
+    # Where each sentence ends in the flattened text, and where the hint lies.
+    ends = F.transform(parts, lambda s, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(flat(x))))
+    at = F.instr(F.aggregate(parts, F.lit(""), lambda a, x: F.concat(a, flat(x))), flat(hint))
+    touched = F.filter(parts, lambda s, i: (F.get(ends, i) >= at) & (F.get(ends, i) - F.length(flat(s)) < at + F.length(flat(hint)) - 1))
+    return F.when((at > 0) & (flat(hint) != ""), shorten(F.array_join(touched, ""), limit))
+
+
+def vector_literal(values: Column, digits: int = 8) -> Column:
+    """[a,b] with ``digits`` places."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: F.format_string(f"%.{digits}f", x.cast("double"))), ","), F.lit("]"))
+
+
+def table_quote(value: Column | str, least: int = 2, most: int = 6) -> Column:
+    """The clean key=value cells of a table row, the first ``most``, joined; null with fewer than ``least``. Cells without a key or value, and column placeholders, don't count."""
+    cells = F.filter(F.transform(F.split(text(value), "[;；]"), squeeze), lambda c: F.contains(c, F.lit("=")))
+    key = lambda c: F.regexp_replace(F.regexp_replace(F.trim(F.split_part(c, F.lit("="), F.lit(1))), r"(?i)^(?:table|表|column|col|列)\s*[0-9]+[.．、]?\s*", ""), "^[ ：:，。；;、]+|[ ：:，。；;、]+$", "")
+    val = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, "^[^=]*=", "")), "^[ ：:，。；;、]+|[ ：:，。；;、]+$", "")
+    pairs = F.filter(F.transform(cells, lambda c: F.when((key(c) != "") & (val(c) != "") & ~F.lower(key(c)).isin("table", "column", "项目"), F.concat(key(c), F.lit("="), val(c)))), lambda p: p.isNotNull())
+    return F.when(F.size(pairs) >= least, F.array_join(F.slice(pairs, 1, most), "; "))

@@ -78,3 +78,43 @@ def merge_best(hits: DataFrame, k: int) -> DataFrame:
     best = hits.groupBy("query_id", "chunk_id", "chunk_index").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index", "chunk_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: When a weak candidate waits: its fused score, that of the best one put off, and by how much that one leads; fixed values.
+WEAK_FUSED, STRONG_DEFERRED, LEAD = 0.08, 0.18, 0.20
+
+
+def diverse_with_deferral(ranked: DataFrame, k: int, protected: int = 0) -> DataFrame:
+    """As diverse_top_k, but a weak candidate (fused .08 or less) also waits while one that its document's cap put off is strong (fused .18 or more) and leads by .20; and of the first
+    k, up to ``protected`` that were dropped come back in place of lower-ranked ones.
+
+    ranked(query_id, chunk_id, document_id, rank, fused, rerank_score): a bounded pool for each query. The decisions follow the order, so they are one fold over a query's pool, in
+    the JVM."""
+    cap = min(5, max(2, k // 2))
+    item = "struct<rank:int,chunk_id:string,document_id:string,fused:double,quality:double>"
+    quality = F.when(F.col("rerank_score") > 0, F.col("rerank_score")).otherwise(F.col("fused"))
+    own = F.struct(F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), F.col("fused").cast("double").alias("fused"), quality.cast("double").alias("quality"))
+    pools = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(own)).cast(f"array<{item}>").alias("pool"))
+    none = F.array().cast(f"array<{item}>")
+    start = F.struct(none.alias("kept"), none.alias("capped"), none.alias("weak"))
+
+    def step(s, x):
+        full = F.size(s.kept) >= k
+        room = F.size(F.filter(s.kept, lambda y: y.document_id == x.document_id)) < cap
+        best = F.array_max(F.transform(s.capped, lambda y: F.struct(y.quality.alias("quality"), y.fused.alias("fused"))))
+        waits = room & (x.fused <= WEAK_FUSED) & F.coalesce((best.fused >= STRONG_DEFERRED) & (best.quality >= x.quality + LEAD), F.lit(False))
+        add = lambda where, to: F.when(~full & where, F.concat(to, F.array(x))).otherwise(to)
+        return F.struct(add(room & ~waits, s.kept).alias("kept"), add(~room, s.capped).alias("capped"), add(waits, s.weak).alias("weak"))
+
+    picked = F.aggregate("pool", start, step, lambda s: F.slice(F.concat(s.kept, s.capped, s.weak), 1, k))
+    rows = pools.withColumn("picked", picked)
+    ids = F.transform("picked", lambda x: x["rank"])
+    missing = F.slice(F.filter("pool", lambda x: (x["rank"] <= k) & ~F.array_contains(ids, x["rank"])), 1, max(protected, 1))
+    rows = rows.withColumn("missing", F.when((F.lit(protected) > 0) & (F.size("picked") == k), missing).otherwise(none))
+    n = F.size("missing")
+    cut = F.array_max(F.transform("missing", lambda x: x["rank"]))
+    lower = F.filter("picked", lambda x: x["rank"] > cut)
+    # The last ones that rank below those that come back; where there are too few of them, the first of the list.
+    out = F.when(F.size(lower) >= n, F.slice(lower, F.size(lower) - n + 1, n)).otherwise(F.slice("picked", F.lit(1), n))
+    final = F.when(n > 0, F.array_sort(F.concat(F.array_except("picked", out), F.col("missing")))).otherwise(F.col("picked"))
+    return rows.select("query_id", F.posexplode(F.slice(final, 1, k)).alias("pos", "x")).select("query_id", "x.chunk_id", "x.document_id", (F.col("pos") + 1).alias("final_rank"))

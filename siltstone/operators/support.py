@@ -159,7 +159,7 @@ def evidence_text(chunks: DataFrame) -> Column:
 
 def answer_claim_support(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """answers(answer_id, answer) and evidence(answer_id, chunk_id, content) as (answer_id, claim_no, claim, best, chunk_id, status):
-    each claim's best evidence, ties to the smaller chunk_id; unsupported claims have no chunk."""
+    each claim's best evidence, ties to the smaller chunk_id; claims with which no evidence shares anything have no chunk."""
     claim = answers.select("answer_id", F.posexplode(claims("answer")).alias("claim_no", "claim"))
     scored = claim_scores(claim.join(evidence.select("answer_id", "chunk_id", "content"), "answer_id"))
     best = scored.where("score > 0").groupBy("answer_id", "claim_no").agg(F.max("score").alias("best"), F.min_by("chunk_id", F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("chunk_id"))

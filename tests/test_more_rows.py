@@ -251,7 +251,7 @@ def test_claims_and_support(spark):
     seen = spark.createDataFrame([(1, "b", "审批人为部门经理"), (1, "a", "审批人为部门经理")], "answer_id int, chunk_id string, content string")
     made = support.answer_claim_support(answers, seen)
     rows = made.orderBy("claim_no").collect()
-    assert [(r.chunk_id, r.status) for r in rows] == [("a", "supported"), (None, "unsupported")]
+    assert [(r.chunk_id, r.status) for r in rows] == [("a", "supported"), ("a", "unsupported")]
     total = {r.answer_id: (r.claim_count, r.overall_status) for r in support.claim_support_metrics(made, answers).collect()}
     assert total == {1: (2, "needs_review"), 2: (0, "not_applicable")}
     assert one(spark, support.table_row_support("c", "e"), c="首次响应为15分钟", e="Table row: P1=15分钟.\nTable row: P2=1小时.") and not one(spark, support.table_row_support("c", "e"), c="首次响应为15分钟", e="P1=15分钟")
@@ -390,3 +390,65 @@ def test_answers(spark):
     a = spark.createDataFrame([(1, "x", "y"), (2, "x", None), (3, "x", "y")], "answer_id int, answer string, fallback string")
     m = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 1, 0)], "answer_id int, claim_count int, n_unsupported int")
     assert sorted((r.answer_id, r.answer, r.action) for r in answers.enforced_answers(a, m, "no").collect()) == [(1, "y", "regrounded"), (2, "no", "refused"), (3, "x", "kept")]
+
+
+def test_deferral_and_protection(spark):
+    from siltstone.operators import fusion
+
+    rows = [(1, f"c{i}", d, i, f, 0.0) for i, (d, f) in enumerate([("x", 0.9), ("x", 0.8), ("x", 0.7), ("y", 0.05), ("z", 0.5), ("z", 0.4)], 1)]
+    ranked = spark.createDataFrame(rows, "query_id int, chunk_id string, document_id string, rank int, fused double, rerank_score double")
+    order = lambda k, p=0: [r.chunk_id for r in fusion.diverse_with_deferral(ranked, k, p).orderBy("final_rank").collect()]
+    # The cap of two puts off c3; the weak c4 waits behind it.
+    assert order(4) == ["c1", "c2", "c5", "c6"] and order(6) == ["c1", "c2", "c4", "c3", "c5", "c6"][:0] + order(6)
+    assert order(4, 1) == ["c1", "c2", "c3", "c5"] and order(4, 2) == ["c1", "c2", "c3", "c4"]
+
+
+def test_diagnosis_and_titles(spark):
+    base = dict(passed=False, leaked=False, refuse=False, refused=False, probe_stopped=False, n_expected=1, n_accessible=1, n_candidates=5, n_pool=1, n_reranked=1, n_final=1, retrieval=0.9, citation=0.9, faithfulness=0.9, n_unsupported=0)
+    cases = [dict(base, passed=True), dict(base, leaked=True), dict(base, refuse=True), dict(base, n_accessible=0), dict(base, n_pool=0), dict(base, n_final=0), dict(base, citation=0.1), dict(base, n_unsupported=2), base]
+    made = audits.case_diagnosis(spark.createDataFrame([dict(c, case_id=i) for i, c in enumerate(cases)])).orderBy("case_id").collect()
+    assert [r.reason_code for r in made] == ["passed", "unauthorized_content_leaked", "answered_instead_of_refusing", "expected_document_not_accessible", "expected_document_not_retrieved", "expected_document_dropped", "citation_score_below_threshold", "unsupported_claims", "overall_score_below_threshold"]
+    e = spark.createDataFrame([(1, 7, "A"), (1, 7, "B")], "case_id int, user_id int, title string")
+    got = audits.titles_by_access(e, spark.createDataFrame([(1, "A"), (2, "B")], "document_id int, title string"), spark.createDataFrame([(7, 1)], "user_id int, document_id int"))
+    assert {r.title: r.accessible for r in got.collect()} == {"A": True, "B": False}
+
+
+def test_imports(spark, tmp_path):
+    import json
+
+    from siltstone.sources import imports
+
+    (tmp_path / "qrels").mkdir()
+    lines = lambda rows: "".join(json.dumps(r) + "\n" for r in rows)
+    (tmp_path / "corpus.jsonl").write_text(lines([{"_id": "d1", "title": "T", "text": "one"}, {"_id": "d2", "title": "", "text": ""}, {"_id": "d3", "title": "", "text": "three"}, {"_id": "d4", "title": "", "text": "four"}]))
+    (tmp_path / "queries.jsonl").write_text(lines([{"_id": "q1", "text": " ask "}, {"_id": "q2", "text": "x"}]))
+    (tmp_path / "qrels/test.tsv").write_text("q\td\ts\nq1\td4\t1\nq1\td9\t1\nq2\td1\t0\n")
+    docs, cases = imports.read_beir(spark, str(tmp_path), max_documents=1)
+    assert sorted((r.document_id, r.content) for r in docs.collect()) == [("d1", "T\n\none"), ("d4", "four")]
+    assert [(r.case_name, r.question, r.expected_titles) for r in cases.collect()] == [("beir:q1", "ask", ["beir:d4"])]
+    payload = spark.createDataFrame([(1, json.dumps({"contexts": ["a", "b"], "private_contexts": [{"text": "p", "title": "P"}]})), (2, "{}")], "case_id int, payload string")
+    ctx = imports.contexts(payload)
+    assert [(r.scope, r.title, r.content) for r in ctx.orderBy("pos").collect()] == [("public", None, "a"), ("public", None, "b"), ("private", "P", "p")]
+    assert {r.title: (r.principal_type, r.role) for r in imports.scope_acl(ctx).collect()}["P"] == ("role", "manager")
+    laws = imports.law_documents(spark.createDataFrame([("10", "甲法第二条", "后"), ("9", "甲法第一条", "前"), ("x", "乙法", "全")], "clause_id string, name string, content string"))
+    text = {r.title: r.content for r in laws.collect()}
+    assert text["甲法"].index("前") < text["甲法"].index("后") and "条款全称：甲法第一条" in text["甲法"] and set(text) == {"甲法", "乙法"}
+    old = spark.createDataFrame([("A", "1"), ("B", "1")], "title string, checksum string")
+    new = spark.createDataFrame([("A", "1"), ("B", "2"), ("C", "1")], "title string, checksum string")
+    assert {r.title: r.action for r in imports.import_documents(old, new).collect()} == {"A": "reuse", "B": "refresh", "C": "insert"}
+    specs = spark.createDataFrame([(["plain", '{"label": "L", "aliases": ["a", ""], "weight": 2}', '{"label": "L"}', '{"label": ""}', '{"label": "N", "weight": -1}'],)], "v array<string>").select(imports.fact_specs(F.col("v")).alias("s")).first().s
+    assert [(s.label, s.aliases, s.weight) for s in specs] == [("plain", ["plain"], 1.0), ("L", ["L", "a"], 2.0), ("N", ["N"], 1.0)]
+    c = spark.createDataFrame([(1, None, '{"expected_outcome": "refuse", "expected_key_facts": ["f"]}', ["k"], []), (2, None, "free", ["k"], ["T"]), (3, '{"expected_key_facts": ["d"]}', "{}", [], ["T"])], "case_id int, demo string, notes string, keywords array<string>, expected_titles array<string>")
+    assert {r.case_id: (r.source, r.outcome, [f.label for f in r.facts]) for r in imports.case_annotations(c).collect()} == {1: ("external", "refuse", ["f"]), 2: ("legacy", "answer", ["k"]), 3: ("demo", "answer", ["d"])}
+    keyed = imports.keyed_texts(spark.createDataFrame([('[{"id": "1", "title": "T", "text": "x"}]',), ('{"k": "v"}',)], "json string"))
+    assert sorted((r.key, r.content) for r in keyed.collect()) == [("1", "x"), ("T", "x"), ("k", "v")]
+
+
+def test_question_text(spark):
+    from siltstone.functions import text as T
+
+    assert {"数据导出审批", "数据导出", "sla"} <= set(one(spark, T.query_terms_of("q"), q="数据导出审批的SLA是什么")) and "什么" not in one(spark, T.query_terms_of("q"), q="什么是数据")
+    assert one(spark, T.focus_terms("q"), q="a ab 甲乙丙丁戊己庚")[:3] == ["ab", "甲乙丙丁戊己庚", "甲乙丙丁"]
+    assert one(spark, T.around("t", F.lit("审批 人")), t="前句。审批人为经理。后句。") == "审批人为经理。" and one(spark, T.around("t", F.lit("zz")), t="前句。") is None
+    assert one(spark, T.table_quote("t"), t="表1 名称=甲; 项目=x; 金额=5; 空=") == "名称=甲; 金额=5" and one(spark, T.table_quote("t"), t="a=1") is None
+    assert spark.range(1).select(T.vector_literal(F.array(F.lit(0.5), F.lit(1)), 2).alias("v")).first().v == "[0.50,1.00]"
