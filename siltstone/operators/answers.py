@@ -49,16 +49,18 @@ def with_relevance(results: DataFrame, rules: Rules | None = None) -> DataFrame:
     """results(query_id, query_text, position, chunk_id, document_id, document_title, section_title, content, fused, rerank, lexical_raw) with overlap, relevance
     (rerank or fused score, overlaps with text, title and section, fitting pairs, direct answers, deductions) and effective, the best of all scores."""
     rules = rules or Rules()
-    own = lambda c: expanded(c, features(c, STOP), rules)
+    own = lambda c: expanded(_flat(c), features(c, STOP), rules)
     whole = F.concat_ws(" ", *[F.nullif(T.text(c), F.lit("")) for c in ("document_title", "section_title", "content")])
-    rows = results.withColumn("_q", own("query_text")).withColumn("_w", own(whole))
+    rows = results.withColumn("_fq", _flat("query_text")).withColumn("_fc", _flat("content")).withColumn("_fw", _flat(whole))
+    rows = rows.withColumn("_q", expanded(F.col("_fq"), features("query_text", STOP), rules)).withColumn("_w", expanded(F.col("_fw"), features(whole, STOP), rules))
     rows = rows.withColumn("overlap", overlap_coefficient(F.col("_q"), F.col("_w")))
-    over = lambda c: overlap_coefficient(F.col("_q"), own(c))
-    needs, direct = _flat("query_text").rlike(REQUIREMENT), answers_requirement("content")
+    rows = rows.withColumn("_t", own("document_title")).withColumn("_s", own("section_title"))
+    over = lambda c: overlap_coefficient(F.col("_q"), F.col(c))
+    needs, direct = F.col("_fq").rlike(REQUIREMENT), answers_requirement("content")
     add = lambda when, value: F.when(when, value).otherwise(0.0)
-    score = F.coalesce("rerank", "fused") + F.col("overlap") * 0.18 + over("document_title") * 0.08 + over("section_title") * 0.04 + pair_bonus("query_text", "content", rules)
-    score = score + add(F.array_contains("_q", "p1") & F.array_contains("_w", "p1"), 0.08) + add(needs & direct, 0.36) - add(needs & _flat("content").rlike(NEGATIVE), 0.42) - add(needs & _flat("content").rlike(META) & ~direct, 0.85)
-    rows = rows.withColumn("relevance", F.round(score, 9)).drop("_q", "_w")
+    score = F.coalesce("rerank", "fused") + F.col("overlap") * 0.18 + over("_t") * 0.08 + over("_s") * 0.04 + pair_bonus(F.col("_fq"), F.col("_fc"), rules)
+    score = score + add(F.array_contains("_q", "p1") & F.array_contains("_w", "p1"), 0.08) + add(needs & direct, 0.36) - add(needs & F.col("_fc").rlike(NEGATIVE), 0.42) - add(needs & F.col("_fc").rlike(META) & ~direct, 0.85)
+    rows = rows.withColumn("relevance", F.round(score, 9)).drop("_q", "_w", "_fq", "_fc", "_fw", "_t", "_s")
     return rows.withColumn("effective", F.greatest("fused", F.coalesce("rerank", F.lit(0.0)), "relevance"))
 
 

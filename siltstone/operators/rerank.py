@@ -83,20 +83,19 @@ def features(value: Column | str, stop_words: Sequence[str] = (*STOPWORDS, *CHIN
     return F.array_except(F.array_distinct(F.concat(terms(value, (2, 3)), runs)), stop)
 
 
-def expanded(value: Column | str, own: Column, rules: Rules) -> Column:
-    """Features with the synonyms of the rules that the text meets."""
+def expanded(flat: Column, own: Column, rules: Rules) -> Column:
+    """Features with the synonyms of the rules that a text, given folded and without white space, meets."""
     if not rules.synonyms:
         return own
-    flat = _flat(value)
     more = F.flatten(F.array(*[F.when(flat.rlike(when), F.split(F.lit(words), " ")).otherwise(F.array().cast(_NONE)) for when, words in rules.synonyms]))
     return F.array_union(own, more)
 
 
-def pair_bonus(question: Column | str, value: Column | str, rules: Rules) -> Column:
-    """Sum of the bonuses of the pairs that a question and a text meet."""
-    q, v, out = _flat(question), _flat(value), F.lit(0.0)
+def pair_bonus(question: Column, value: Column, rules: Rules) -> Column:
+    """Sum of the bonuses of the pairs that a question and a text, both folded and without white space, meet."""
+    out = F.lit(0.0)
     for asked, said, bonus in rules.pairs:
-        out = out + F.when(q.rlike(asked) & v.rlike(said), bonus).otherwise(0.0)
+        out = out + F.when(question.rlike(asked) & value.rlike(said), bonus).otherwise(0.0)
     return out
 
 
@@ -109,15 +108,18 @@ def structural_blocks(value: Column | str) -> Column:
     return F.filter(F.transform(F.split(F.array_join(marked, " "), "\u0001"), lambda b: F.trim(b)), lambda b: b != "")
 
 
-def block_score(question: Column | str, content: Column | str, wanted: Column, rules: Rules) -> Column:
-    """The best block of a content: overlap, a part of its pair bonus, and .08 for a clause or an article; 1.5 at most."""
+def block_score(question: Column, content: Column | str, wanted: Column, rules: Rules) -> Column:
+    """The best block of a content: overlap, a part of its pair bonus, and .08 for a clause or an article; 1.5 at most. question: folded, without white space."""
+    # What the rules look at is made once for each block.
+    blocks = F.transform(structural_blocks(content), lambda b: F.struct(b.alias("text"), _flat(b).alias("flat"), features(b).alias("own")))
+    blocks = F.transform(blocks, lambda b: F.struct(b.text.alias("text"), b.flat.alias("flat"), expanded(b.flat, b.own, rules).alias("all")))
 
-    def one(block: Column) -> Column:
-        bonus = F.least(pair_bonus(question, block, rules), F.lit(0.9)) / 1.6
-        legal = F.when(block.rlike("条款全称|第[一二三四五六七八九十百千万零〇两0-9]+条"), 0.08).otherwise(0.0)
-        return overlap_coefficient(wanted, expanded(block, features(block), rules)) + bonus + legal
+    def one(b: Column) -> Column:
+        bonus = F.least(pair_bonus(question, b.flat, rules), F.lit(0.9)) / 1.6
+        legal = F.when(b.text.rlike("条款全称|第[一二三四五六七八九十百千万零〇两0-9]+条"), 0.08).otherwise(0.0)
+        return overlap_coefficient(wanted, b["all"]) + bonus + legal
 
-    return F.least(F.coalesce(F.array_max(F.transform(structural_blocks(content), one)), F.lit(0.0)), F.lit(1.5))
+    return F.least(F.coalesce(F.array_max(F.transform(blocks, one)), F.lit(0.0)), F.lit(1.5))
 
 
 def answers_requirement(value: Column | str) -> Column:
@@ -143,25 +145,27 @@ def heuristic_rerank(candidates: DataFrame, k: int, rules: Rules | None = None,
     structure = F.concat_ws(" ", *[F.nullif(T.text(has(c)), F.lit("")) for c in ("clause_full_name", "article_number", "heading_path")])
     whole = F.concat_ws(" ", T.text("document_title"), *[F.nullif(T.text(has(c)), F.lit("")) for c in ("section_title", "clause_full_name", "article_number", "heading_path")], F.substring(T.text("content"), 1, 1600))
     titles = F.array_join(F.regexp_extract_all(T.text("content"), F.lit("(?:条款全称|章节|小节|标题|流程节点|审批条件|例外条件)[:：]\\s*([^\\n\\r]{2,120})"), 1), " ")
-    rows = candidates.withColumn("_q", expanded("query_text", features("query_text"), rules)).withColumn("_c", expanded(whole, features(whole), rules))
-    over = lambda value: overlap_coefficient(F.col("_q"), features(value))
-    rows = rows.withColumn("_all", overlap_coefficient(F.col("_q"), F.col("_c"))).withColumn("_title", over("document_title")).withColumn("_section", over(has("section_title"))).withColumn("_structure", over(structure))
-    rows = rows.withColumn("_named", over(titles)).withColumn("_block", block_score("query_text", "content", F.col("_q"), rules))
+    rows = candidates.withColumn("_fq", _flat("query_text")).withColumn("_fw", _flat(whole)).withColumn("_fc", _flat("content"))
+    rows = rows.withColumn("_q", expanded(F.col("_fq"), features("query_text"), rules)).withColumn("_c", expanded(F.col("_fw"), features(whole), rules))
+    # Each feature set is a column of its own: overlaps read it several times.
+    sets = {"_title": "document_title", "_section": has("section_title"), "_structure": structure, "_named": titles}
+    rows = rows.withColumns({f"{k}_f": features(v) for k, v in sets.items()}).withColumn("_all", overlap_coefficient(F.col("_q"), F.col("_c")))
+    rows = rows.withColumns({k: overlap_coefficient(F.col("_q"), F.col(f"{k}_f")) for k in sets}).drop(*[f"{k}_f" for k in sets]).withColumn("_block", block_score(F.col("_fq"), "content", F.col("_q"), rules))
     c = F.col
     lexical = c("lexical_raw") > 0
     add = lambda when, bonus: F.when(when, bonus).otherwise(0.0)
-    needs, lists = _flat("query_text").rlike(REQUIREMENT), _flat("query_text").rlike(LISTING)
-    direct, flat = answers_requirement("content"), _flat("content")
+    needs, lists = c("_fq").rlike(REQUIREMENT), c("_fq").rlike(LISTING)
+    direct, flat = answers_requirement("content"), c("_fc")
     placed = (c("_title") >= 0.22) | (c("_section") >= 0.22) | (c("_structure") >= 0.22) | (c("_named") >= 0.22)
     score = (
         c("fused") + c("_all") * 0.22 + c("_title") * 0.12 + c("_section") * 0.06 + c("_structure") * 0.18 + c("_named") * 0.14 + c("_block") * 0.56
         + add(lexical, 0.04) + add((c("_section") >= 0.2) | (c("_structure") >= 0.2) | (c("_named") >= 0.2) | (c("_block") >= 0.2), 0.08)
         + add(F.array_contains("sources", "structural"), 0.08) + add(c("_block") >= 0.5, 0.12) + add(F.contains("content", F.lit("Table row:")) & (c("_all") >= 0.16), 0.22)
-        + (add(c(target), 0.08) if target else F.lit(0.0)) + pair_bonus("query_text", "content", rules) + add(F.array_contains("_q", "p1") & F.array_contains("_c", "p1"), 0.08)
+        + (add(c(target), 0.08) if target else F.lit(0.0)) + pair_bonus(c("_fq"), c("_fc"), rules) + add(F.array_contains("_q", "p1") & F.array_contains("_c", "p1"), 0.08)
         + add(needs & direct, 0.36) + add(lists & placed & answers_list("query_text", "content"), 0.65) - add(needs & flat.rlike(NEGATIVE), 0.42) - add(needs & flat.rlike(META) & ~direct, 0.85)
         - add((c("_all") < 0.08) & ~lexical, 0.09) - add((c("_all") < 0.12) & (c("_title") == 0) & (c("_section") == 0) & (c("fused") < 0.35), 0.06)
     )
-    rows = rows.withColumn("rerank", F.round(score, 9)).drop("_q", "_c", "_all", "_title", "_section", "_structure", "_named", "_block")
+    rows = rows.withColumn("rerank", F.round(score, 9)).drop("_fq", "_fw", "_fc", "_q", "_c", "_all", "_title", "_section", "_structure", "_named", "_block")
     return top_k(rows, k, score="rerank", ties=(F.desc("fused"), F.desc("lexical_raw"), "chunk_index", "chunk_id"))
 
 
@@ -196,11 +200,12 @@ def table_rows(value: Column | str) -> Column:
 def relevant_rows(question: Column | str, rows: Column, rules: Rules | None = None) -> Column:
     """The two to four rows that fit a question best (10 x overlap, .3 for each of its features that the row spells, pairs), in their order."""
     rules = rules or Rules()
-    wanted = expanded(question, features(question), rules)
+    asked = _flat(question)
+    wanted = expanded(asked, features(question), rules)
 
     def scored(row: Column, i: Column) -> Column:
-        hits = F.size(F.filter(wanted, lambda t: (F.length(t) >= 2) & F.contains(_flat(question), t) & F.contains(_flat(row), t)))
-        score = overlap_coefficient(wanted, expanded(row, features(row), rules)) * 10 + hits * 0.3 + pair_bonus(question, row, rules)
+        hits = F.size(F.filter(wanted, lambda t: (F.length(t) >= 2) & F.contains(asked, t) & F.contains(_flat(row), t)))
+        score = overlap_coefficient(wanted, expanded(_flat(row), features(row), rules)) * 10 + hits * 0.3 + pair_bonus(asked, _flat(row), rules)
         return F.struct((-F.round(score, 9)).alias("s"), i.alias("i"), row.alias("row"))
 
     ranked = F.array_sort(F.transform(rows, scored))
