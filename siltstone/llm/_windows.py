@@ -36,9 +36,10 @@ class Buckets:
 
 
 def shared_buckets(anchors: DataFrame, scratch: Scratch, hot: int) -> Buckets:
-    """Buckets of anchors (columns ANCHOR). hot: classes beyond which a bucket is marked so."""
+    """Buckets of anchors (columns ANCHOR, and w if a row stands for several). hot: classes beyond which a bucket is marked so."""
     anchors = scratch.save(anchors, "anchors")
-    classes = anchors.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "lo", "n")).alias("rep"))
+    copies = F.sum("w") if "w" in anchors.columns else F.count("*")
+    classes = anchors.groupBy("h", "c").agg(copies.alias("copies"), F.min(F.struct("doc_id", "lo", "n")).alias("rep"))
     classes = scratch.save(classes, "classes")
     sizes = classes.groupBy("h").agg(F.count("*").alias("width"), F.sum("copies").alias("total")).where("total > 1")
     classes = classes.join(sizes, "h").select("h", "c", "copies", "rep.doc_id", "rep.lo", "rep.n", "width")

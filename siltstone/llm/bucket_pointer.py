@@ -6,7 +6,8 @@ into buckets of their first q bytes, and buckets are refined by the bucket ident
 q further on; the new identifiers are at once the sort keys of the next, twice as deep refinement.
 Positions alone in their bucket leave the sort.
 
-The sort never holds the corpus. Minimiser anchors (see _windows) hand each task whole buckets of the
+The sort never holds the corpus. Runs of neighbourhoods that are equal as a whole, as in copies of documents and
+passages, are one row to begin with (cut by content, so that equal passages are cut alike). Of the rest, minimiser anchors (see _windows) hand each task whole buckets of the
 corpus-wide suffix order: all positions whose windows can be equal meet in one task, and no other.
 Equal neighbourhoods are compared by hash and never shipped. Buckets of over ``hot`` different
 neighbourhoods are counted by window instead, as rows that Spark combines and spreads.
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from ._shared import Scratch, with_text
-from ._windows import ANCHOR, per_document, shared_buckets
+from ._windows import per_document, shared_buckets
 
 _Q = 8  # bytes of the initial buckets: one 64-bit word
+_RUN = np.uint64(8)  # neighbourhoods in a run, on average
 
 
 def _identifiers(*keys: np.ndarray) -> np.ndarray:
@@ -105,13 +107,26 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, q: int, hot:
                 gram = X.grams(sums, q)
                 row, pos, lo, n = X.anchors(gram, off[:-1], np.diff(off), length, q)
                 c = X.spans(sums, lo, lo + n - 1 + length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at + row]), pa.array(X.signed(gram[pos])), pa.array(X.signed(c)), pa.array(lo - off[row]), pa.array(n)],
-                    ["doc_id", "h", "c", "lo", "n"],
-                )
-
-    buckets = shared_buckets(docs.mapInArrow(X.trimmed(find), ANCHOR), scratch, hot)
-    whole = buckets.anchors.join(buckets.info.where("copies > 1"), ["h", "c"]).select("doc_id", "lo", "n")
+                if not len(row):
+                    continue
+                # A document's neighbourhoods follow each other; a run begins with the document, and where the hash says so.
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]) | (c % _RUN == 0))
+                size = np.diff(np.append(first, len(row)))
+                many = np.add.reduceat(n, first)
+                g = X.spans(sums, lo[first], lo[first] + many - 1 + length)
+                inside = lo - np.repeat(lo[first], size)
+                parts = pa.StructArray.from_arrays([pa.array(X.signed(gram[pos])), pa.array(X.signed(c)), pa.array(inside), pa.array(n)], ["h", "c", "lo", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), parts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[first]]), pa.array(X.signed(g)), pa.array(lo[first] - off[row[first]]), pa.array(many), lists], ["doc_id", "g", "lo", "n", "parts"])
+
+    runs = scratch.save(docs.mapInArrow(X.trimmed(find), "doc_id long, g long, lo long, n long, parts array<struct<h:long,c:long,lo:long,n:long>>"), "runs")
+    kinds = runs.groupBy("g").agg(F.count("*").alias("w"), F.min(F.struct("doc_id", "lo", "parts")).alias("rep"))
+    kinds = scratch.save(kinds.select("g", "w", "rep.doc_id", "rep.lo", "rep.parts"), "kinds")
+    copied = runs.select("doc_id", "g", "lo", "n").join(kinds.where("w > 1").select("g"), "g", "left_semi").select("doc_id", "lo", "n")
+    one = kinds.select("doc_id", "w", F.col("lo").alias("begin"), F.explode("parts").alias("p"))
+    one = one.select("doc_id", "p.h", "p.c", (F.col("begin") + F.col("p.lo")).alias("lo"), "p.n", "w")
+    buckets = shared_buckets(one, scratch, hot)
+    whole = buckets.anchors.join(buckets.info.where("copies > 1"), ["h", "c"]).select("doc_id", "lo", "n").unionByName(copied)
     wanted = buckets.classes.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "copies", "lo", "n", "hot")).alias("wanted"))
     wanted = scratch.save(wanted, "wanted")
     held = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
@@ -217,7 +232,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 100, hot: int = 4_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     some = docs.select("doc_id", "text").where("doc_id is not null")
     table, size = per_document(repeated_ranges(some, scratch, length, q, hot, bucket_bytes), scratch, "marks")
-    scratch.drop("anchors", "shared", "wanted", "pieces")
+    scratch.drop("runs", "kinds", "anchors", "shared", "wanted", "pieces")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
