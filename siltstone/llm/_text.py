@@ -16,6 +16,9 @@ _RNG = np.random.Generator(np.random.PCG64(20240611))
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _TABLE_LOWER = _TABLE.copy()
 _TABLE_LOWER[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
+#: A-Z become a-z, other bytes stay.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
