@@ -277,3 +277,50 @@ def append_at_end(selected: DataFrame, extra: DataFrame, k: int, slots: int) ->
     old = selected.join(count, "query_id", "left").where(F.col("final_rank") <= k - F.coalesce("n_new", F.lit(0)))
     rows = old.select("query_id", "chunk_id", F.lit(0).alias("part"), F.col("final_rank").alias("n")).unionByName(new.select("query_id", "chunk_id", F.lit(1).alias("part"), F.col("slot").alias("n")))
     return rows.select("query_id", "chunk_id", F.row_number().over(W.partitionBy("query_id").orderBy("part", "n")).alias("final_rank"))
+
+
+#: Candidates from these sources are never replaced.
+REPLACEMENT_PROTECTED = ("document_first_evidence", "document_sweep", "subquery_document_evidence", "subquery_neighbor_context")
+
+
+def replace_slots(selected: DataFrame, extra: DataFrame, candidates: DataFrame, slots: int, protected: int = 3, always: int = 1, guarded: DataFrame | None = None) -> DataFrame:
+    """selected(query_id, chunk_id, final_rank) with up to ``slots`` of extra(query_id, chunk_id, slot), in turn, each in the place of the weakest chunk of its own document: (query_id, chunk_id, final_rank).
+
+    The first ``protected`` places (of a list that short, all but the last; at least ``always``) stay; where they are the whole list, only the first ``always``. So do chunks of guarded(query_id, chunk_id) and
+    those from REPLACEMENT_PROTECTED sources. Weakest: least rerank (without one, fused), then fused, then lexical score, then the earliest place. An extra chunk that is in the list, or whose document has no
+    place to give, is passed over; one that was replaced may come back. candidates(query_id, chunk_id, document_id, fused, lexical_raw, rerank_score, sources) has a row for every chunk named. A list is
+    bounded by its length, and the turns by the extras; they depend on one another, so they are one fold for each query, in the JVM."""
+    kind = "struct<pos:int,chunk_id:string,document_id:string,quality:double,fused:double,lexical:double,locked:boolean>"
+    own = candidates.select(
+        "query_id", "chunk_id", F.col("document_id").cast("string").alias("document_id"), F.when(F.col("rerank_score") > 0, F.col("rerank_score")).otherwise(F.col("fused")).cast("double").alias("quality"),
+        F.col("fused").cast("double").alias("fused"), F.col("lexical_raw").cast("double").alias("lexical"), F.arrays_overlap("sources", F.array(*[F.lit(s) for s in REPLACEMENT_PROTECTED])).alias("locked"),
+    )
+    if guarded is not None:
+        own = own.join(guarded.select("query_id", "chunk_id", F.lit(True).alias("_g")).distinct(), ["query_id", "chunk_id"], "left").withColumn("locked", F.col("locked") | F.coalesce("_g", F.lit(False)))
+
+    def packed(rows: DataFrame, place: str, name: str) -> DataFrame:
+        item = F.struct(F.col(place).cast("int").alias("pos"), F.col("chunk_id").cast("string").alias("chunk_id"), "document_id", "quality", "fused", "lexical", F.coalesce("locked", F.lit(False)).alias("locked")).cast(kind)
+        return rows.join(own, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias(name))
+
+    lists = packed(selected.select("query_id", "chunk_id", "final_rank"), "final_rank", "picked").join(packed(extra.select("query_id", "chunk_id", "slot"), "slot", "more"), "query_id", "left")
+    size = F.size("picked")
+    start = F.least(F.greatest(F.lit(always), F.least(F.lit(protected), F.greatest(size - 1, F.lit(0)))), size)
+
+    def weakest(now: Column, x: Column, first: Column) -> Column:
+        """(quality, fused, lexical, place) of the chunk that gives way to x, or null."""
+        keyed = F.transform(now, lambda y, i: F.when((i >= first) & (y.document_id == x.document_id) & ~y.locked, F.struct(y.quality.alias("quality"), y.fused.alias("fused"), y.lexical.alias("lexical"), i.alias("at"))))
+        return F.array_min(F.array_compact(keyed))
+
+    def step(s: Column, x: Column) -> Column:
+        full = s.n >= slots
+        there = F.exists(s.now, lambda y: y.chunk_id == x.chunk_id)
+        at = weakest(s.now, x, start).getField("at")
+        at = F.coalesce(at, F.when(F.lit(protected) >= size, weakest(s.now, x, F.least(F.lit(always), size)).getField("at")))
+        goes = ~full & ~there & at.isNotNull()
+        new = F.transform(s.now, lambda y, i: F.when(i == at, x).otherwise(y))
+        return F.struct(F.when(goes, new).otherwise(s.now).alias("now"), (s.n + goes.cast("int")).alias("n"))
+
+    begin = F.struct(F.col("picked").alias("now"), F.lit(0).alias("n"))
+    final = F.aggregate(F.coalesce("more", F.array().cast(f"array<{kind}>")), begin, step, lambda s: s.now)
+    rows = lists.select("query_id", F.posexplode(final).alias("pos", "x"))
+    return rows.select("query_id", F.col("x.chunk_id").alias("chunk_id"), (F.col("pos") + 1).alias("final_rank"))

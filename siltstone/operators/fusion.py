@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 # Fixed values.
 LEXICAL_WEIGHT, VECTOR_WEIGHT = 0.45, 0.55
 #: Share of a source's score that counts as lexical evidence.
-SOURCE_WEIGHTS = {"lexical": 1.0, "structural": 1.0, "indexed_sparse": 0.48, "document_expansion": 0.42, "document_sweep": 0.36, "subquery_document": 0.42, "subquery_neighbor": 0.55, "document_first": 0.34, "document_neighbor": 0.28}
-RRF_WEIGHTS = {"structural": 1.35, "lexical": 1.0, "indexed_sparse": 0.92, "vector": 0.85, "document_expansion": 0.65, "document_sweep": 0.58, "subquery_document": 0.58, "subquery_neighbor": 0.65, "document_first": 0.58, "document_neighbor": 0.65}
+SOURCE_WEIGHTS = {"lexical": 1.0, "structural": 1.0, "indexed_sparse": 0.48, "document_expansion": 0.42, "document_sweep": 0.36, "subquery_document": 0.42, "subquery_neighbor": 0.55, "document_first": 0.34, "document_neighbor": 0.28,
+                  "subquery_document_evidence": 0.42, "subquery_neighbor_context": 0.55, "document_first_evidence": 0.34, "document_neighbor_context": 0.28}
+RRF_WEIGHTS = {"structural": 1.35, "lexical": 1.0, "indexed_sparse": 0.92, "vector": 0.85, "document_expansion": 0.65, "document_sweep": 0.58, "subquery_document": 0.58, "subquery_neighbor": 0.65, "document_first": 0.58, "document_neighbor": 0.65,
+               "subquery_document_evidence": 0.58, "subquery_neighbor_context": 0.65, "document_first_evidence": 0.58, "document_neighbor_context": 0.65}
 RRF_K = 60
 
 

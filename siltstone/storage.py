@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -21,14 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _written: dict[str, list[str]] = {}
-_tables: dict[tuple[str, str], DataFrame] = {}
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def files_state(spark: SparkSession, folder: str) -> str:
+    """A folder's Parquet files by name, size and time of change, hashed: another state is another input."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found, listed = [], system.listFiles(path, True)
+    while listed.hasNext():
+        f = listed.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:16]
 
 
 def kept(spark: SparkSession, name: str, make) -> DataFrame:
-    """The table that make() describes, written once for each application and name, and read from then on."""
-    key = (spark.sparkContext.applicationId, name)
+    """The table that make() describes, written once for each application, name (folder/table) and state of the folder's files, and read from then on."""
+    folder, table = name.rsplit("/", 1)
+    key = (spark.sparkContext.applicationId, name, files_state(spark, folder))
     if key not in _tables:
-        _tables[key] = written(make(), name.rsplit("/", 1)[-1])
+        _tables[key] = written(make(), table)
     return _tables[key]
 
 
@@ -42,9 +55,9 @@ def drop_written(spark: SparkSession) -> None:
         del _tables[key]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read back: its lineage is cut, and later reads prune columns and push filters."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df, computed once and read back: its lineage is cut, and later reads prune columns and push filters. by: columns that get a folder for each value, which reads can skip."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
