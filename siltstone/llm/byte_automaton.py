@@ -93,23 +93,34 @@ def features(data: np.ndarray, off: np.ndarray, longest: int = 3) -> tuple[np.nd
     return np.diff(first), out
 
 
+#: Tasks that add up what all tasks have counted; as many arrays come to the driver.
+SUM_TASKS = 32
+
+
 def bucket_counts(texts: DataFrame, buckets: int, longest: int) -> np.ndarray:
-    """How many features of the texts (column text) fall in each bucket: each task sends one row for a bucket."""
+    """How many features of the texts (column text) fall in each bucket. Each task passes on one array of counts; SUM_TASKS tasks add them up, and the driver adds their sums."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total_of(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for _, _, data, off in X.steps(batch.column(0)):
-                for _, crc in features(data, off, longest)[1]:
-                    total += np.bincount(crc % np.uint32(buckets), minlength=buckets)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
-
-    rows = texts.select(F.col("text").cast("string")).mapInArrow(X.trimmed(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(buckets, np.int64)
-    for r in rows:
-        out[r.bucket] = r.n
-    return out
+        for counts in arrays:
+            total += counts
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for _, _, data, off in X.steps(batch.column(0)):
+                    for _, crc in features(data, off, longest)[1]:
+                        yield np.bincount(crc % np.uint32(buckets), minlength=buckets)
+
+        return total_of(each())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return total_of(np.frombuffer(x.as_buffer(), np.int64) for batch in batches for x in batch.column(0))
+
+    counted = texts.select(F.col("text").cast("string")).mapInArrow(X.trimmed(count), "counts binary").repartition(SUM_TASKS)
+    rows = counted.mapInArrow(X.trimmed(add), "counts binary").collect()
+    return sum((np.frombuffer(r.counts, np.int64) for r in rows), np.zeros(buckets, np.int64))
 
 
 def gains_of(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
