@@ -248,14 +248,14 @@ def test_tables_take_the_place_of_chunks(spark):
 
 
 def test_chunk_summaries(spark):
-    long = "goblin " * 70 + "ends"
+    long = "goblin " * 60 + "ends"
     cases = {
         "one two three four five；goblin walks over the hill；short；and another thing is said about goblin；": "goblin walks over the hill。 and another thing is said about goblin。",
         "nothing fits in this first sentence；neither in this other one；": "nothing fits in this first sentence。",
         f"{long}；{long} again；goblin again in a few words；": None,
         "": "", "tiny": "", "A sentence that goes on without any mark at all": "A sentence that goes on without any mark at all。",
     }
-    df = spark.createDataFrame([(k, "find a goblin", f"c{k}", t) for k, t in enumerate(cases)] + [(9, "审批", "c9", "\n".join(ROWS)), (10, "x", "c10", None)], "query_id long, query_text string, chunk_id string, content string")
+    df = spark.createDataFrame([(k, "find a goblin", f"c{k}", t) for k, t in enumerate(cases)] + [(9, "审批链路", "c9", "\n".join(ROWS)), (10, "x", "c10", None)], "query_id long, query_text string, chunk_id string, content string")
     got = {r.query_id: r.summary for r in focus.chunk_summaries(df).collect()}
     for k, wanted in enumerate(cases.values()):
         assert wanted is None or got[k] == wanted, k
