@@ -684,4 +684,4 @@ def reranked_search(spark, d):
     return rerank.heuristic_rerank(fused, TOP_K).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("rerank", 6).alias("rerank"))
 
 
-from . import ask_queries, audit_queries, case_queries, diagnosis_queries, focus_queries, search_queries, work_queries  # noqa: E402, F401 - they register their queries
+from . import ask_queries, audit_queries, case_queries, diagnosis_queries, focus_queries, job_queries, search_queries, work_queries  # noqa: E402, F401 - they register their queries
