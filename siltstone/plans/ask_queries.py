@@ -9,24 +9,11 @@ from ..operators import coverage, fusion, rerank, retrieval, support, variants
 from . import queries as Q
 from . import tables as D
 from .registry import query
-
-
-
-def low(sql: str) -> str:
-    return f"replace(lower({sql}), 'ß', 'ss')"
-
-
-def flat(sql: str) -> str:
-    return f"regexp_replace({low(sql)}, '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')"
-
+from .sqltext import flat, low, normal
 
 
 # Forms of a question. The tables' questions get brackets, a filler phrase and, for some, a title.
 _ASKED = "CASE query_id % 3 WHEN 0 THEN 'What is ' || query_text WHEN 1 THEN '[' || query_text || ']' ELSE query_text END"
-def normal(sql: str) -> str:
-    return "trim(regexp_replace(regexp_replace(regexp_replace(trim(" + sql + "), '[“”\"''`]+', ' ', 'g'), '[《》〈〉【】\\[\\]（）()]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
 FORMS = f"""a AS (SELECT query_id, {_ASKED} AS o, CASE WHEN query_id % 4 = 0 THEN 'Doc ' || query_id END AS title FROM queries), n AS (SELECT *, {normal('o')} AS n FROM a),
 f AS (SELECT *, trim(regexp_replace(regexp_replace(trim(regexp_replace(replace({low('n')}, 'what is', ' '), '[，。！？、,:;；]+', ' ', 'g')), '\\s+', ' ', 'g'), '\\s+', ' ', 'g')) AS f FROM n)"""
 
@@ -43,8 +30,6 @@ def question_forms(spark, d):
     return _asked(spark, d).select("query_id", variants.normalized("query_text").alias("normalized"), f.alias("focused"), variants.normalized(f).alias("refocused"), variants.is_precise_lookup("query_text").alias("precise"))
 
 
-
-
 def _signature(sql: str) -> str:
     return f"regexp_replace({low(sql)}, '\\s+', '', 'g')"
 
@@ -220,7 +205,8 @@ dg AS (SELECT session_id, turn, claim_no, chunk_id, i, j - i AS diag, i - row_nu
 lc AS (SELECT session_id, turn, claim_no, chunk_id, max(n) AS n FROM (SELECT session_id, turn, claim_no, chunk_id, diag, island, count(*) AS n FROM dg GROUP BY ALL) GROUP BY ALL),
 tk AS (SELECT *, list_distinct(regexp_extract_all({low('claim')}, '[a-z0-9]{{2,}}')) AS ct, list_distinct(regexp_extract_all({low('e')}, '[a-z0-9]{{2,}}')) AS et,
   list_filter(list_transform(string_split_regex({low('claim')}, '，|。|；|;|：|:|、|\\(|\\)|（|）'), lambda p: regexp_replace(p, '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')), lambda p: length(p) >= 4) AS parts FROM pr),
-sc AS (SELECT t.*, CASE WHEN len(ct) > 0 THEN len(list_intersect(ct, et)) / len(ct) ELSE 0 END AS rec, coalesce(n, 0) / length(c) AS lng, CASE WHEN len(parts) = 1 AND contains(en, parts[1]) THEN 1.0 ELSE 0 END AS ord FROM tk t LEFT JOIN lc USING (session_id, turn, claim_no, chunk_id)),
+sc AS (SELECT t.*, CASE WHEN len(ct) > 0 THEN len(list_intersect(ct, et)) / len(ct) ELSE 0 END AS rec, coalesce(n, 0) / length(c) AS lng, CASE WHEN len(parts) > 0 THEN list_reduce(list_prepend({{'at': 1::BIGINT, 'hits': 0::BIGINT, 'p': ''}}, list_transform(parts, lambda p: {{'at': 0::BIGINT, 'hits': 0::BIGINT, 'p': p}})),
+    lambda a, x: {{'at': CASE WHEN instr(substr(en, a.at), x.p) > 0 THEN a.at + instr(substr(en, a.at), x.p) - 1 + length(x.p) ELSE a.at END, 'hits': a.hits + (instr(substr(en, a.at), x.p) > 0)::BIGINT, 'p': ''}}).hits / len(parts) ELSE 0 END AS ord FROM tk t LEFT JOIN lc USING (session_id, turn, claim_no, chunk_id)),
 fs AS (SELECT *, CASE WHEN en = '' THEN 0 WHEN contains(en, c) THEN 1 ELSE round(CASE WHEN rec < 0.28 AND ord < 0.34 THEN least(0.55 * rec + 0.25 * ord + 0.2 * lng, 0.35) ELSE 0.55 * rec + 0.25 * ord + 0.2 * lng END, 4) END AS score FROM sc)"""
 
 
@@ -232,15 +218,10 @@ def _support(spark, d):
     return answers, support.answer_claim_support(answers, answers.select("answer_id", "session_id").join(seen, "session_id"))
 
 
-#: Claims without figures, colons and several clauses, which the SQL side does not score.
-_PLAIN = "NOT regexp_matches(claim, '[0-9:：=(),]')"
-
-
-@query(f", {CLAIMS}, b AS (SELECT session_id, turn, claim_no, max(score) AS best FROM fs GROUP BY ALL) SELECT session_id || '-' || turn AS answer_id, claim_no::INT AS claim_no, coalesce(best, 0)::DOUBLE AS best, CASE WHEN best >= 0.75 THEN 'supported' WHEN best >= 0.5 THEN 'partial' ELSE 'unsupported' END AS status FROM claims LEFT JOIN b USING (session_id, turn, claim_no) WHERE {_PLAIN}")
+@query(f", {CLAIMS}, b AS (SELECT session_id, turn, claim_no, max(score) AS best FROM fs GROUP BY ALL) SELECT session_id || '-' || turn AS answer_id, claim_no::INT AS claim_no, coalesce(best, 0)::DOUBLE AS best, CASE WHEN best >= 0.75 THEN 'supported' WHEN best >= 0.5 THEN 'partial' ELSE 'unsupported' END AS status FROM claims LEFT JOIN b USING (session_id, turn, claim_no)")
 def claim_support(spark, d):
-    """Support of every plain claim of every answer by what the user said in the session."""
-    made = _support(spark, d)[1]
-    return made.where(~F.col("claim").rlike("[0-9:：=(),]")).select("answer_id", "claim_no", "best", "status")
+    """Support of every claim of every answer by what the user said in the session."""
+    return _support(spark, d)[1].select("answer_id", "claim_no", "best", "status")
 
 
 @query(f", {CLAIMS} SELECT session_id || '-' || turn AS answer_id, count(c.claim) AS claim_count FROM an LEFT JOIN claims c USING (session_id, turn) GROUP BY session_id, turn")
@@ -265,11 +246,11 @@ def fact_support(spark, d):
     return support.fact_support(rows).select("case_id", "support_precision", "support_recall", "support_f1", "answer_fact_recall", "evidence_fact_recall")
 
 
-@query(f", {CLAIMS}, u AS (SELECT k.session_id, k.turn, k.claim_no, v.turn AS et, unnest(string_split_regex(content, '[。！？!?；;\\n]+')) AS unit, generate_subscripts(string_split_regex(content, '[。！？!?；;\\n]+'), 1) AS pos, k.claim FROM claims k JOIN messages v ON v.session_id = k.session_id AND v.role = 'user' AND v.turn = k.turn - 1 WHERE {_PLAIN}), s AS (SELECT *, list_distinct(regexp_extract_all({low('claim')}, '[a-z0-9]{{2,}}')) AS ct, list_distinct(regexp_extract_all({low('unit')}, '[a-z0-9]{{2,}}')) AS ut FROM u WHERE trim(unit) <> ''), r AS (SELECT *, CASE WHEN len(ct) > 0 THEN round(len(list_intersect(ct, ut)) / len(ct), 9) ELSE 0 END AS share FROM s) SELECT session_id || '-' || turn || '-' || claim_no AS claim_id, round(max(share), 6)::DOUBLE AS share FROM r WHERE share > 0 GROUP BY session_id, turn, claim_no")
+@query(f", {CLAIMS}, u AS (SELECT k.session_id, k.turn, k.claim_no, v.turn AS et, unnest(string_split_regex(content, '[。！？!?；;\\n]+')) AS unit, generate_subscripts(string_split_regex(content, '[。！？!?；;\\n]+'), 1) AS pos, k.claim FROM claims k JOIN messages v ON v.session_id = k.session_id AND v.role = 'user' AND v.turn = k.turn - 1), s AS (SELECT *, list_distinct(regexp_extract_all({low('claim')}, '[a-z0-9]{{2,}}')) AS ct, list_distinct(regexp_extract_all({low('unit')}, '[a-z0-9]{{2,}}')) AS ut FROM u WHERE trim(unit) <> ''), r AS (SELECT *, CASE WHEN len(ct) > 0 THEN round(len(list_intersect(ct, ut)) / len(ct), 9) ELSE 0 END AS share FROM s) SELECT session_id || '-' || turn || '-' || claim_no AS claim_id, round(max(share), 6)::DOUBLE AS share FROM r WHERE share > 0 GROUP BY session_id, turn, claim_no")
 def excerpt_shares(spark, d):
     """How much of a claim its best excerpt of the user's last turn holds."""
     m = D.messages(spark, d)
-    made = _support(spark, d)[1].where(~F.col("claim").rlike("[0-9:：=(),]"))
+    made = _support(spark, d)[1]
     part = lambda i: F.split_part("answer_id", F.lit("-"), F.lit(i)).cast("long")
     claims = made.select(F.concat_ws("-", "answer_id", F.col("claim_no").cast("string")).alias("claim_id"), part(1).alias("session_id"), (part(2) - 1).alias("turn"), "claim")
     before = m.where("role = 'user'").select("session_id", "turn", "content")

@@ -9,6 +9,7 @@ from ..operators import focus, retrieval
 from . import search_queries as S
 from . import tables as D
 from .registry import query
+from .sqltext import low
 
 
 def _terms(sql: str) -> str:
@@ -18,7 +19,7 @@ def _terms(sql: str) -> str:
 
 
 def _flat(sql: str) -> str:
-    return f"regexp_replace({S.low(sql)}, '\\s+', '', 'g')"
+    return f"regexp_replace({low(sql)}, '\\s+', '', 'g')"
 
 
 def _results(spark, d):
@@ -75,7 +76,7 @@ su AS (SELECT query_id, chunk_id, final.document_id, final_rank, document_title,
 s1 AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(flat, '([。！？!?；;])\s*', '\1' || chr(1), 'g'), chr(1)), lambda p: regexp_replace(regexp_replace(p, '^[ ，；;。]+', ''), '[ ，；;。]+$', '')), lambda p: p <> '') AS parts FROM su),
 s2 AS (SELECT *, list_filter(CASE WHEN len(parts) > 1 AND NOT regexp_matches(flat, '[。！？!?；;]$') THEN parts[:-2] ELSE parts END, lambda p: NOT (length(p) < 12 OR regexp_matches(p, '(例如|比如|另外|还有|只有这|以及|并|和)$') OR (regexp_matches(p, '[A-Za-z0-9一-鿿]$') AND length(p) <= 16))) AS whole FROM s1),
 s3 AS (SELECT query_id, chunk_id, terms, unnest(whole) AS p, generate_subscripts(whole, 1) AS i FROM s2),
-s4 AS (SELECT query_id, chunk_id, i, list_sum(list_transform(terms, lambda t: CASE WHEN contains({S.low('p')}, t) THEN CASE WHEN length(t) >= 4 THEN 2 ELSE 1 END ELSE 0 END)) AS s, regexp_replace(regexp_replace(p, '^[ ：:；;，,]+', ''), '[ ：:；;，,]+$', '') AS c FROM s3),
+s4 AS (SELECT query_id, chunk_id, i, list_sum(list_transform(terms, lambda t: CASE WHEN contains({low('p')}, t) THEN CASE WHEN length(t) >= 4 THEN 2 ELSE 1 END ELSE 0 END)) AS s, regexp_replace(regexp_replace(p, '^[ ：:；;，,]+', ''), '[ ：:；;，,]+$', '') AS c FROM s3),
 s5 AS (SELECT query_id, chunk_id, i, coalesce(s, 0) AS s, CASE WHEN length(c) <= 520 THEN c ELSE rtrim(c[1:517]) || '...' END AS x FROM s4), s6 AS (SELECT *, {_ENDED} AS t FROM s5 WHERE x <> ''),
 s7 AS (SELECT *, row_number() OVER w AS k, first(t) OVER w AS top FROM s6 WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY s DESC, i)),
 s8 AS (SELECT query_id, chunk_id, max(t) FILTER (k = 1) AS one, arg_min(t, k) FILTER (k > 1 AND s > 0 AND t <> top AND length(top) + length(t) <= 520) AS two FROM s7 GROUP BY ALL),

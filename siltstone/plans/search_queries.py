@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import access, audits, coverage, evaluation_run, fusion, search, variants
 from ..storage import files_state, kept, written
-from . import ask_queries
 from . import queries as Q
 from . import tables as D
 from .registry import query
+from .sqltext import flat, low, normal
 
 
 def _questions(spark, d):
@@ -74,10 +74,6 @@ def the_evaluation(spark, d) -> evaluation_run.Evaluation:
 # The SQL side, stage by stage.
 
 
-def low(sql: str) -> str:
-    return f"replace(lower({sql}), 'ß', 'ss')"
-
-
 def compact(sql: str) -> str:
     return f"regexp_replace({low(sql)}, '[^a-z0-9一-鿿]+', '', 'g')"
 
@@ -127,7 +123,7 @@ t1 AS (SELECT *, CASE WHEN query_id // 4 % 2 = 0 THEN 0 ELSE query_id * 31 % 140
 qs AS (SELECT *, CASE query_id % 4 WHEN 0 THEN '请比较' || o1 || '和' || o2 || '两份报告，它们分别关注“' || a || '”和“' || b || '”' WHEN 1 THEN '同时核对' || o1 || '这份年报中的两个事项：“' || a || '”和“' || b || '”' WHEN 2 THEN '核对' || o1 || '文件中的表格或清单信息“' || p || '”' ELSE query_text END AS asked FROM t1),
 sb AS (SELECT query_id, 0 AS sub_id, o1 AS org, trim(a) AS wanted, {CROSS} AS shape FROM t1 WHERE query_id % 4 = 0 UNION ALL SELECT query_id, 1, o2, trim(b), {CROSS} FROM t1 WHERE query_id % 4 = 0
   UNION ALL SELECT query_id, 0, o1, trim(a), {SAME} FROM t1 WHERE query_id % 4 = 1 UNION ALL SELECT query_id, 1, o1, trim(b), {SAME} FROM t1 WHERE query_id % 4 = 1 UNION ALL SELECT query_id, 0, o1, trim(p), {TABLE} FROM t1 WHERE query_id % 4 = 2),
-ak AS (SELECT query_id, 0 AS sub_id, s AS source, {ask_queries.normal('query_text')} AS txt, '' AS wanted, '' AS org, '' AS shape, 80 AS most FROM t1, (VALUES ('lexical'), ('indexed_sparse')) v(s) WHERE query_id % 4 = 3
+ak AS (SELECT query_id, 0 AS sub_id, s AS source, {normal('query_text')} AS txt, '' AS wanted, '' AS org, '' AS shape, 80 AS most FROM t1, (VALUES ('lexical'), ('indexed_sparse')) v(s) WHERE query_id % 4 = 3
   UNION ALL SELECT query_id, sub_id, 'indexed_sparse', CASE WHEN shape = {CROSS} THEN {STRONGEST} ELSE wanted END, wanted, org, shape, CASE WHEN shape = {SAME} THEN 40 ELSE 24 END FROM sb
   UNION ALL SELECT query_id, sub_id, 'lexical', wanted, wanted, org, shape, 80 FROM sb WHERE shape = {TABLE}),
 mem AS (SELECT user_id AS scope_id, document_id FROM decisions WHERE user_id IN (SELECT scope_id FROM t1) UNION ALL SELECT 0, document_id FROM docs),
@@ -168,7 +164,7 @@ def search_source_hits(spark, d):
 
 
 CANDIDATES = f"""{MERGED}, {fuse('h1', 'f1')},
-rt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens(ask_queries.normal('asked'))}) AS term FROM qs) GROUP BY ALL), rl AS (SELECT query_id, sum(qtf) AS q_len, count(*) AS nt FROM rt GROUP BY 1),
+rt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens(normal('asked'))}) AS term FROM qs) GROUP BY ALL), rl AS (SELECT query_id, sum(qtf) AS q_len, count(*) AS nt FROM rt GROUP BY 1),
 sd AS (SELECT query_id, document_id, list(chunk_index) AS around FROM f1 WHERE position <= 10 GROUP BY ALL),
 xw AS (SELECT query_id, chunk_id, round(sum(least(qtf, tf)) / any_value(q_len) + 0.35 * count(*) / any_value(nt), 9) AS lex FROM sd JOIN pl USING (document_id) JOIN rt USING (query_id, term) JOIN rl USING (query_id) GROUP BY 1, 2),
 xc AS (SELECT query_id, c.document_id, c.chunk_id, c.chunk_index, list_min(list_transform(around, lambda a: abs(a - c.chunk_index))) AS d, coalesce(lex, 0) AS lex FROM sd JOIN chunks c USING (document_id) LEFT JOIN xw USING (query_id, chunk_id) WHERE NOT list_contains(around, c.chunk_index)),
@@ -202,10 +198,6 @@ def search_candidates(spark, d):
     return the_run(spark, d).candidates.select("query_id", "chunk_id", F.col("position").cast("long").alias("position"), F.array_join("sources", " ").alias("sources"), F.round("fused", 6).alias("fused"))
 
 
-def cut_in(sql: str) -> str:
-    return ask_queries.flat(sql)
-
-
 # The final list: an ordered fold for diversity; then, one by one, chunks in the place of weaker ones of their document; then chunks for unanswered sub-queries at the end.
 FINAL = rf"""{CANDIDATES},
 fold AS (WITH RECURSIVE z(query_id, i, kept, capped, best, weak) AS (
@@ -217,14 +209,14 @@ back AS (SELECT *, CASE WHEN len(picked) = 10 THEN list_min(list_filter(range(1,
 gone AS (SELECT *, CASE WHEN lost IS NOT NULL THEN coalesce(list_filter(picked, lambda r: r > lost)[-1], picked[1]) END AS gives FROM back),
 ls AS (SELECT query_id, CASE WHEN lost IS NULL THEN picked ELSE list_sort(list_append(list_filter(picked, lambda r: r <> gives), lost)) END AS list FROM gone),
 base AS (SELECT query_id, unnest(list) AS position, generate_subscripts(list, 1) AS final_rank FROM ls),
-tx AS (SELECT cd.*, coalesce(document_title || ' ', '') || content[1:1800] AS txt FROM cd), tt AS (SELECT tx.*, {cover_terms('txt')} AS ct, {cut_in('txt')} AS fl, b.final_rank FROM tx LEFT JOIN base b USING (query_id, position)),
+tx AS (SELECT cd.*, coalesce(document_title || ' ', '') || content[1:1800] AS txt FROM cd), tt AS (SELECT tx.*, {cover_terms('txt')} AS ct, {flat('txt')} AS fl, b.final_rank FROM tx LEFT JOIN base b USING (query_id, position)),
 bq AS (SELECT query_id, {cover_terms('asked')} AS q FROM qs WHERE query_id % 4 = 2 OR regexp_matches(asked, '{coverage.LIST_HINTS}')),
 w0 AS (SELECT tt.*, q, list_intersect(q, ct) AS hit, {share('q', 'ct')} AS mine FROM tt JOIN bq USING (query_id)),
 w1 AS (SELECT query_id, document_id, list_distinct(flatten(list(ct))) AS has, max(mine) AS had FROM w0 WHERE final_rank IS NOT NULL GROUP BY ALL),
 w2 AS (SELECT *, round(len(hit) / greatest(len(q), 1) * 0.45 + len(list_filter(hit, lambda x: NOT list_contains(has, x))) / greatest(len(q), 1) * 0.75 + greatest(mine - had, 0) * 1.25 + least(fused, 1) * 0.22 + 0.08, 9) AS score FROM w0 JOIN w1 USING (query_id, document_id)
   WHERE final_rank IS NULL AND fused >= 0.02 AND list_has_any(sources, ['document_expansion', 'document_sweep', 'document_neighbor_context', 'subquery_document_evidence', 'subquery_neighbor_context'])),
 wide AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused DESC, position) AS slot FROM w2 QUALIFY slot <= 2),
-m0 AS (SELECT tt.*, sub_id, wanted, shape, {cut_in('wanted')} AS hint, {cover_terms('wanted')} AS wt, list_filter(list_distinct(list_transform(regexp_extract_all(wanted, '[A-Za-z]*[0-9][A-Za-z0-9_.\-]*'), lambda x: {compact('x')})), lambda x: length(x) >= 2) AS must FROM tt JOIN sb USING (query_id) WHERE shape <> {TABLE} AND contains({compact('document_title')}, org)),
+m0 AS (SELECT tt.*, sub_id, wanted, shape, {flat('wanted')} AS hint, {cover_terms('wanted')} AS wt, list_filter(list_distinct(list_transform(regexp_extract_all(wanted, '[A-Za-z]*[0-9][A-Za-z0-9_.\-]*'), lambda x: {compact('x')})), lambda x: length(x) >= 2) AS must FROM tt JOIN sb USING (query_id) WHERE shape <> {TABLE} AND contains({compact('document_title')}, org)),
 m1 AS (SELECT *, len(list_intersect(wt, ct)) AS n_both, {share('wt', 'ct')} AS ov, contains(fl, hint) AS exact, length(fl) - instr(fl, hint) + 1 - length(hint) AS after, len(list_filter(must, lambda m: NOT contains({compact('txt')}, m))) = 0 AS held,
   instr(txt, wanted) > 0 AND regexp_matches(substr(txt, instr(txt, wanted) + length(wanted), 80), '[。；;.!！？?》）)]') AS ended FROM m0),
 m2 AS (SELECT *, length(hint) < 20 OR after >= least(48, greatest(24, length(hint) // 4)) OR ended AS enough, round(ov + CASE WHEN list_contains(sources, 'subquery_neighbor_context') THEN 0.28 WHEN list_contains(sources, 'subquery_document_evidence') THEN 0.18 ELSE 0 END + least(fused, 1) * 0.18, 9) AS cs,
