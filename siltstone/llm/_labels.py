@@ -19,11 +19,12 @@ def label_of_each(labels: DataFrame, label: str, use) -> DataFrame:
     return labels.where(use).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use, max_docs: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use, max_docs: int, max_bytes: int, fold=None) -> tuple[list[str], np.ndarray] | tuple[list[str], np.ndarray, np.ndarray]:
     """Texts and 0/1 labels of at most max_docs documents of each class and about max_bytes of text in all.
 
     use: condition on doc_id that a row must meet. Which rows are taken depends on hashes of doc_ids alone. Rows
-    with null or other labels are left out; of contradicting labels of a document the larger counts.
+    with null or other labels are left out; of contradicting labels of a document the larger counts. fold: a number on
+    doc_id, returned for each text as a third value.
     """
     one = label_of_each(labels, label, use)
     # A bounded top list of narrow rows for each class: limits are pushed before the shuffle.
@@ -31,9 +32,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use, max_doc
     picked = picked[0].unionByName(picked[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     running = F.sum(F.octet_length("text")).over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(W.unboundedPreceding, -1))
-    rows = texts.withColumn("before", running).where(F.coalesce("before", F.lit(0)) < max_bytes // 2).select("doc_id", "text", "y").collect()
+    part = F.lit(0) if fold is None else fold
+    rows = texts.withColumn("before", running).where(F.coalesce("before", F.lit(0)) < max_bytes // 2).select("doc_id", "text", "y", part.alias("fold")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in rows], np.array([r.y for r in rows], np.int64)
+    made = [r.text for r in rows], np.array([r.y for r in rows], np.int64)
+    return made if fold is None else (*made, np.array([r.fold for r in rows], np.int64))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> np.ndarray:

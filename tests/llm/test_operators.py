@@ -410,12 +410,22 @@ def test_connected_components(spark):
 def test_toxicity_counts_all_documents(spark):
     from siltstone.llm.kneser_ney import toxicity, unit_counts, unit_ratios
 
-    rows = [("alpha beta beta", 1, False), ("alpha gamma", 0, True), ("alpha", None, False), ("gamma lonely", 1, True), (None, 0, False), ("gamma 12", None, False)]
-    counts = unit_counts(spark.createDataFrame(rows, "text string, y int, held_back boolean").repartition(3))
-    made = sorted(tuple(r)[3:] for r in counts.where("level = 4").collect())
-    assert made == sorted([(3, 1, 1, 1, 0), (1, 0, 1, 0, 0), (3, 1, 1, 1, 1), (1, 0, 1, 0, 1)])  # n, c0, c1, k0, k1 of alpha, beta, gamma, lonely
-    units, _ = unit_ratios(counts)
-    assert units.where("level = 4").count() == 2 and units.where("level = 4 and tried is not null").count() == 1
+    rows = [("alpha beta beta", 1, 1), ("alpha gamma", 0, 0), ("alpha", None, 1), ("gamma lonely", 1, 0), (None, 0, 1), ("gamma 12", None, 1), ("gamma", 1, 2)]
+    counts = unit_counts(spark.createDataFrame(rows, "text string, y int, fold int").repartition(3))
+    made = sorted(tuple(r)[3:10] for r in counts.where("level = 4").collect())
+    # n, c0, c1, k00, k01, k10, k11 of alpha, beta, gamma, lonely
+    assert made == sorted([(3, 1, 1, 1, 0, 0, 1), (1, 0, 1, 0, 0, 0, 1), (4, 1, 2, 1, 1, 0, 0), (1, 0, 1, 0, 1, 0, 0)])
+    units, above = unit_ratios(counts)
+    # A short word is its own beginning at every level: its counts must not run together.
+    short = unit_counts(spark.createDataFrame([(w, 1, 0) for w in "abcdefghijklmnopqrstuvwxyz"] + [("ab cd ef gh ij kl mn op", 0, 1)], "text string, y int, fold int").coalesce(1))
+    assert sorted((r["level"], r["count"]) for r in short.groupBy("level").count().collect()) == [(k, 34) for k in range(5)]
+    # Only gamma has two documents of a class; without fold 0 one is left, and without fold 1 all are.
+    assert units.where("level = 4").count() == 1
+    gamma = units.where("level = 4").first()
+    rest = {r.parent: r for r in above.where("level = 4").collect()}
+    parent = counts.where("level = 4 and n = 4").first().parent
+    # A unit with one document of each class has the ratio of what is unknown below its parent, so it needs no row.
+    assert gamma.tried0 == rest[parent].tried0 and gamma.ratio != rest[parent].ratio
 
     # Each document ends in one of 60 rare expressions that alone tell its class: a sample of 20 documents a class shows few of them.
     r = random.Random(3)
@@ -428,6 +438,19 @@ def test_toxicity_counts_all_documents(spark):
     assert len(caught) > 150 and sum(caught) >= 0.98 * len(caught)
 
 
+def test_toxicity_of_a_model_that_stays_a_table(spark, docs, none):
+    from siltstone.llm.kneser_ney import toxicity
+
+    r = random.Random(7)
+    plain = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(120)]
+    rows = [(i, " ".join(r.choice(plain) for _ in range(r.choice([0, 5, 40]))) + (" badword" if i % 3 == 0 else " fine")) for i in range(300)] + [(900, None), (901, ""), (None, "badword"), (5, "again badword badword")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).repartition(3)
+    seen = lambda out: sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 9), r.held_out, r.predicted) for r in out.collect())
+    assert seen(toxicity(df, labels)) == seen(toxicity(df, labels, model_bytes=0))
+    assert toxicity(none, labels, model_bytes=0).count() == 0 and toxicity(docs, labels.limit(0), model_bytes=0).count() == len(DOCS)
+
+
 def test_spm_parity_on_every_row(spark):
     from siltstone.llm.queries import tokenizer_file
     from siltstone.llm.spm_backend import Encoder, spm_encode
