@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add as plus
+from operator import and_, or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -54,6 +58,56 @@ ENTERPRISE_PAIRS: tuple[tuple[str, str, float], ...] = (
     ("(?=.*(?:出境|境外|跨境)).*重要数据", "(?=.*重要数据)(?=.*(?:向境外提供|境外提供|数据出境)).*安全评估", 0.46),
     ("(?=.*(?:出境|境外|跨境)).*个人信息", "(?=.*个人信息).*(?:向境外提供|境外提供|出境标准合同|个人信息保护认证)", 0.22),
 )
+
+
+class Rule(NamedTuple):
+    """A bonus (or deduction) for a text that fits a question. asked, said: groups of words, of each of which one has to be there; pattern: what the text has to meet besides; unless: a word that it must not have;
+    parent: the name of a rule that has to hold as well."""
+
+    name: str
+    asked: tuple[tuple[str, ...], ...]
+    said: tuple[tuple[str, ...], ...]
+    bonus: float
+    parent: str = ""
+    pattern: str = ""
+    unless: str = ""
+
+
+#: The rules of an enterprise's tables, a parent before its children.
+ENTERPRISE_ALIGNMENT: tuple[Rule, ...] = (
+    Rule("phone", (("客户手机号", "手机号"),), (("数据范围=包含客户手机号",),), 0.42),
+    Rule("phone_limit", (), (("处理时限=",),), 0.12, "phone"),
+    Rule("phone_masking", (), (("脱敏要求=",),), 0.12, "phone"),
+    Rule("export", (("客户数据导出",),), (("事项=客户数据导出",),), 0.44),
+    Rule("export_proof", (("证据",),), (("证据要求=",),), 0.18, "export"),
+    Rule("export_approver", (("审批",),), (("审批人=",),), 0.12, "export"),
+    Rule("export_limit", (("时限",),), (("时限=",),), 0.12, "export"),
+    Rule("approval", (("审批",), ("谁", "审批人", "由谁", "负责人")), (), 0.0),
+    Rule("approval_named", (), (), 0.3, "approval", "审批人=|共同审批|由[一-鿿a-z0-9=；;、,，和及与]{1,48}审批"),
+    Rule("approval_archive", (), (("审批记录",), ("归档",)), -0.12, "approval", unless="共同审批"),
+    Rule("access", (("临时高权限访问",),), (("事项=临时高权限访问",),), 0.44),
+    Rule("access_approver", (("审批",),), (("审批人=",),), 0.12, "access"),
+    Rule("access_limit", (("时限",),), (("时限=",),), 0.12, "access"),
+    Rule("access_proof", (("证据",),), (("证据要求=",),), 0.12, "access"),
+    Rule("scan", (("扫描a", "scana"),), (("编号=扫描a", "编号=scana"),), 0.48),
+    Rule("scan_action", (("动作",),), (("动作=",),), 0.18, "scan"),
+    Rule("checks", (("检查项", "哪些检查"),), (("版本更新检查清单",),), 0.42),
+    Rule("checks_required", (), (("是否必须=必须",),), 0.12, "checks"),
+    Rule("changed_version", (("制度版本发生变化",),), (("知识库维护动作",),), -0.12, unless="版本更新检查清单"),
+    Rule("supplier", (("l4", "高风险供应商"),), (("准入等级=l4高风险",),), 0.52),
+    Rule("supplier_approval", (), (("审批链路=",),), 0.14, "supplier"),
+    Rule("supplier_review", (), (("复核周期=",),), 0.14, "supplier"),
+    Rule("supplier_exit", (), (("退出要求=",),), 0.14, "supplier"),
+    Rule("production", (("生产环境",),), (("访问对象=生产环境",),), 0.52),
+    Rule("production_way", (), (("允许方式=",),), 0.1, "production"),
+    Rule("production_term", (), (("有效期=",),), 0.1, "production"),
+    Rule("production_owner", (), (("回收责任人=",),), 0.1, "production"),
+    Rule("production_logs", (), (("日志要求=",),), 0.1, "production"),
+    Rule("processing", (("数据处理服务",),), (("交付类型=数据处理服务",),), 0.52),
+    Rule("processing_material", (), (("验收材料=",),), 0.14, "processing"),
+    Rule("processing_acceptor", (), (("验收人=",),), 0.14, "processing"),
+    Rule("processing_retention", (), (("保留期限=",),), 0.14, "processing"),
+)
 NEGATIVE = "没有定义|未定义|未提及|未涉及|不涉及|不包含|无法确认|无法判断"
 META = "本文档用于演示|为了方便测试|为了方便上传后立即测试|你可以尝试以下问题|faq入库前需要检查|文档目的"
 REQUIREMENT = "多少|多久|多长时间|时间要求|响应时间|响应时限|首次响应|要求|规定"
@@ -66,10 +120,11 @@ _NONE = "array<string>"
 
 @dataclass
 class Rules:
-    """Synonyms and pairs of a domain."""
+    """Synonyms, pairs and alignment rules of a domain."""
 
     synonyms: Sequence[tuple[str, str]] = field(default=ENTERPRISE_SYNONYMS)
     pairs: Sequence[tuple[str, str, float]] = field(default=ENTERPRISE_PAIRS)
+    alignment: Sequence[Rule] = field(default=ENTERPRISE_ALIGNMENT)
 
 
 def _flat(value: Column | str) -> Column:
@@ -91,12 +146,35 @@ def expanded(flat: Column, own: Column, rules: Rules) -> Column:
     return F.array_union(own, more)
 
 
+def holding(question: Column, value: Column, alignment: Sequence[Rule]) -> dict[str, Column]:
+    """For each alignment rule whether a question and a text, both folded and without white space, meet it and its parents."""
+    groups = lambda text, words: reduce(and_, [reduce(or_, [F.contains(text, F.lit(w)) for w in one]) for one in words], F.lit(True))
+    made: dict[str, Column] = {}
+    for r in alignment:
+        holds = groups(question, r.asked) & groups(value, r.said)
+        holds = holds & value.rlike(r.pattern) if r.pattern else holds
+        holds = holds & ~F.contains(value, F.lit(r.unless)) if r.unless else holds
+        made[r.name] = made[r.parent] & holds if r.parent else holds
+    return made
+
+
+def alignment_bonus(question: Column, value: Column, alignment: Sequence[Rule]) -> Column:
+    """Sum of the bonuses of the alignment rules that hold."""
+    holds = holding(question, value, alignment)
+    return reduce(plus, [F.when(holds[r.name], r.bonus).otherwise(0.0) for r in alignment if r.bonus], F.lit(0.0))
+
+
 def pair_bonus(question: Column, value: Column, rules: Rules) -> Column:
-    """Sum of the bonuses of the pairs that a question and a text, both folded and without white space, meet."""
+    """Sum of the bonuses of the pairs and alignment rules that a question and a text, both folded and without white space, meet."""
     out = F.lit(0.0)
     for asked, said, bonus in rules.pairs:
         out = out + F.when(question.rlike(asked) & value.rlike(said), bonus).otherwise(0.0)
-    return out
+    # Every rule needs one of its words in the question: most questions have none, and then no rule is looked at.
+    words = sorted({w for r in rules.alignment if not r.parent for one in r.asked[:1] for w in one})
+    if not words:
+        return out
+    some = reduce(or_, [F.contains(question, F.lit(w)) for w in words])
+    return out + F.when(some, alignment_bonus(question, value, rules.alignment)).otherwise(0.0)
 
 
 def structural_blocks(value: Column | str) -> Column:
