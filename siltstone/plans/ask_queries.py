@@ -310,13 +310,11 @@ def answer_decisions(spark, d):
 
 
 @query(
-    """, f AS (SELECT document_id % 50 AS query_id, document_id % 7 AS doc, list_distinct([chunk_index % 5, chunk_index % 3 + 1]) AS facets, (length(content) % 40) / 40 AS score FROM chunks WHERE chunk_index < 3),
-    b AS (SELECT query_id, doc, (SELECT count(DISTINCT x) FROM (SELECT unnest(g.facets) AS x FROM f g WHERE g.query_id = f.query_id AND g.doc = f.doc)) AS n, max(score) AS score, count(*) AS size FROM f GROUP BY query_id, doc),
+    """, f AS (SELECT document_id % 150 AS query_id, document_id AS doc, chunk_index % 6 AS facet, (length(content) % 40) / 40 AS score FROM chunks), b AS (SELECT query_id, doc, count(DISTINCT facet) AS n, max(score) AS score, count(*) AS size FROM f GROUP BY query_id, doc),
     r AS (SELECT *, row_number() OVER w AS r, lead(n) OVER w AS n2, lead(score) OVER w AS s2 FROM b WINDOW w AS (PARTITION BY query_id ORDER BY n DESC, score DESC, size DESC, doc)) SELECT query_id, doc AS document_id FROM r WHERE r = 1 AND n2 IS NOT NULL AND ((n >= 4 AND n >= n2 + 2) OR (n >= 4 AND n > n2 AND score >= s2 + 0.03))"""
 )
 def dominant_documents(spark, d):
     from ..operators import answers
 
-    n = F.col("chunk_index")
-    rows = D.chunks(spark, d).where("chunk_index < 3").select((F.col("document_id") % 50).alias("query_id"), (F.col("document_id") % 7).alias("document_id"), F.array_distinct(F.array(n % 5, n % 3 + 1)).alias("facets"), (F.length("content") % 40 / 40).alias("score"), F.lit(4).alias("n_asked"))
+    rows = D.chunks(spark, d).select((F.col("document_id") % 150).alias("query_id"), "document_id", F.array(F.col("chunk_index") % 6).alias("facets"), (F.length("content") % 40 / 40).alias("score"), F.lit(4).alias("n_asked"))
     return answers.dominant_documents(rows)
