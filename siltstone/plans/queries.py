@@ -489,11 +489,27 @@ def format_coverage(spark, d):
 # Ingest.
 
 
-@query()
+#: The fold of chunk_documents step by step: a segment may close the chunk before it (c1) and the one that it ends (c2).
+CHUNKED = rf""", s AS (SELECT document_id, trim(content) AS text, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS i FROM lines WHERE trim(content) <> ''),
+g AS (SELECT *, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  NOT starts_with(text, 'Table row:') AND (starts_with(text, '条款全称：') OR regexp_matches(text, '^#{{1,6}}\s+\S') OR regexp_matches(text, '^([一二三四五六七八九十]+、|[0-9]+[.、])\S{{2,40}}$')) AS strong FROM s),
+z AS (WITH RECURSIVE w(document_id, i, buf, c1, c2) AS (SELECT DISTINCT document_id, 0::BIGINT, []::STRUCT(i BIGINT, n BIGINT)[], []::STRUCT(i BIGINT, n BIGINT)[], []::STRUCT(i BIGINT, n BIGINT)[] FROM g
+  UNION ALL SELECT document_id, i, CASE WHEN full_ THEN grown[greatest(1, len(grown) - {corpus.OVERLAP - 1}):] ELSE grown END, c1, CASE WHEN full_ THEN grown ELSE [] END
+  FROM (SELECT *, list_sum(list_transform(grown, lambda x: x.n)) >= {corpus.MAX_CHARS} AS full_ FROM (SELECT *, list_append(CASE WHEN hard THEN [] WHEN soft THEN buf[greatest(1, len(buf) - {corpus.OVERLAP - 1}):] ELSE buf END, {{'i': i, 'n': n}}) AS grown, CASE WHEN hard OR soft THEN buf ELSE [] END AS c1
+    FROM (SELECT w.document_id, g.i, g.n, buf, len(buf) > 0 AND strong AS hard, NOT (len(buf) > 0 AND strong) AND len(buf) > 0 AND coalesce(list_sum(list_transform(buf, lambda x: x.n)), 0) + g.n > {corpus.TARGET_CHARS} AS soft FROM w JOIN g ON g.document_id = w.document_id AND g.i = w.i + 1))))
+  SELECT * FROM w),
+k AS (SELECT document_id, i, 0 AS part, c1 AS own FROM z WHERE len(c1) > 0 UNION ALL SELECT document_id, i, 1, c2 FROM z WHERE len(c2) > 0 UNION ALL SELECT document_id, i, 2, buf FROM z WHERE len(buf) > 0 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY i DESC) = 1),
+m AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i, part) - 1 AS chunk_index, own[1].i AS low, own[len(own)].i AS high FROM k)"""
+
+
+@query(
+    f"""{CHUNKED} SELECT document_id, chunk_index, string_agg(text, chr(10) || chr(10) ORDER BY g.i) AS content, greatest(1, ceil(length(string_agg(text, chr(10) || chr(10) ORDER BY g.i)) / 4.0))::INT AS token_count, min(g.i)::INT AS paragraph_start, max(g.i)::INT AS paragraph_end,
+      min(start)::INT AS char_start, max(start + n)::INT AS char_end FROM m JOIN g USING (document_id) WHERE g.i BETWEEN low AND high GROUP BY document_id, chunk_index"""
+)
 def chunk_documents(spark, d):
-    """Documents folded into chunks of about 900 characters; the fold has no SQL form and is tested on literal rows."""
-    parts = corpus.segments(D.documents(spark, d).select("document_id", "content"), "\n")
-    return corpus.chunk_documents(parts)
+    """Documents folded into chunks of about 900 characters."""
+    made = corpus.chunk_documents(corpus.segments(D.documents(spark, d).select("document_id", "content"), "\n"))
+    return made.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content", "token_count", "paragraph_start", "paragraph_end", "char_start", "char_end")
 
 
 @query(
