@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import access, audits, coverage, evaluation_run, fusion, search, variants
-from ..storage import files_state, kept, written
+from ..storage import kept, state_key, written
 from . import queries as Q
 from . import tables as D
 from .registry import query
@@ -37,7 +37,7 @@ def _index(spark, d):
     return postings, kept(spark, f"{d}/doc_sizes", lambda: one.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum("doc_len").alias("sum_len")))
 
 
-_runs: dict[tuple[str, str, str], tuple[search.Run, evaluation_run.Evaluation | None]] = {}
+_runs: dict[tuple, tuple[search.Run, evaluation_run.Evaluation | None]] = {}
 
 
 def _scopes(spark, d, asked):
@@ -49,7 +49,7 @@ def _scopes(spark, d, asked):
 
 def the_run(spark, d) -> search.Run:
     """The search of all questions, made once for a folder's files and application: its stages are written tables."""
-    key = (spark.sparkContext.applicationId, d, files_state(spark, d))
+    key = state_key(spark, d)
     if key not in _runs:
         asked = _questions(spark, d)
         _runs[key] = search.search(asked.select("query_id", "query_text"), _scopes(spark, d, asked), asked.select("query_id", "scope_id"), D.chunks(spark, d), *_index(spark, d)), None
@@ -59,7 +59,7 @@ def the_run(spark, d) -> search.Run:
 def the_evaluation(spark, d) -> evaluation_run.Evaluation:
     """The evaluation of that search: a case for each question, two passages of its text as markers, and the documents that hold the whole text as truth."""
     run = the_run(spark, d)
-    key = (spark.sparkContext.applicationId, d, files_state(spark, d))
+    key = state_key(spark, d)
     if not _runs[key][1]:
         asked, chunks = _questions(spark, d), D.chunks(spark, d)
         text = T.squeeze(F.regexp_replace("query_text", "[^A-Za-z0-9 ]", ""))

@@ -26,13 +26,15 @@ _tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def files_state(spark: SparkSession, folder: str) -> str:
-    """A folder's Parquet files by name, size and time of change, hashed: another state is another input."""
+    """A folder's files by name, size and time of change, hashed: another state is another input. A folder that isn't there has none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found, listed = [], system.listFiles(path, True)
-    while listed.hasNext():
-        f = listed.next()
-        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    found = []
+    if system.exists(path):
+        listed = system.listFiles(path, True)
+        while listed.hasNext():
+            f = listed.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:16]
 
 
@@ -45,9 +47,19 @@ def kept(spark: SparkSession, name: str, make) -> DataFrame:
     return _tables[key]
 
 
+_drops: dict[str, int] = {}
+
+
+def state_key(spark: SparkSession, folder: str) -> tuple[str, int, str, str]:
+    """What results that an application keeps about a folder depend on: the application, how often it has dropped its tables, and the folder's files."""
+    app = spark.sparkContext.applicationId
+    return app, _drops.get(app, 0), folder, files_state(spark, folder)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Deletes the tables that this application has written. Results that were not read yet can't be after it."""
     app = spark.sparkContext.applicationId
+    _drops[app] = _drops.get(app, 0) + 1
     for folder in _written.pop(app, []):
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
