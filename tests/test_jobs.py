@@ -78,3 +78,15 @@ def test_attempts(spark, attempts):
     rows = [("j", at(m), e) for m, e in [(0, "running"), (1, "failed"), (2, "running"), (3, "failed")]]
     got = jobs.last_states(jobs.job_runs(spark.createDataFrame(rows, "job_id string, ts timestamp, event string"), rules=jobs.JobRules(attempts=attempts))).first()
     assert (got.status, got["at"], got.attempt) == ("failed", at(1 if attempts == 1 else 3), attempts)
+
+
+def test_a_task_reads_through_its_jobs_without_a_call_for_each(spark):
+    from pyspark.sql import functions as F
+
+    i = F.col("id")
+    kind = F.element_at(F.array(F.lit("queued"), F.lit("running"), F.lit("failed"), F.lit("completed")), (i % 4 + 1).cast("int"))
+    events = spark.range(400).select(F.concat(F.lit("j"), (i / 4).cast("int")).alias("job_id"), F.timestamp_seconds(i % 4 * 60).alias("ts"), kind.alias("event"))
+    made = jobs.job_runs(events.unionByName(events))
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    counts = {(r.status, r.reason): r["count"] for r in made.groupBy("status", "reason").count().collect()}
+    assert counts == {("queued", "queued"): 100, ("running", "running"): 100, ("queued", "retry"): 100, ("completed", "completed"): 100}
