@@ -74,7 +74,7 @@ def newest_visible_documents(spark, d):
     """, sets AS (SELECT user_id, string_agg(document_id, ',' ORDER BY document_id) AS docs FROM decisions GROUP BY 1) SELECT min(user_id) AS scope_id, count(*) AS n_users FROM sets GROUP BY docs"""
 )
 def visible_scopes(spark, d):
-    return access.scopes(access.decisions(D.documents(spark, d).drop("content"), D.acl(spark, d), D.users(spark, d), D.departments(spark, d)))[0]
+    return access.user_scopes(D.documents(spark, d).drop("content"), D.acl(spark, d), D.users(spark, d), D.departments(spark, d))[0]
 
 
 @query("SELECT user_id FROM users WHERE role = 'admin' AND user_id BETWEEN 60 AND 140 AND (SELECT count(*) FROM users WHERE role = 'admin' AND user_id BETWEEN 60 AND 140) = 1")
