@@ -452,3 +452,25 @@ def test_question_text(spark):
     assert one(spark, T.around("t", F.lit("审批 人")), t="前句。审批人为经理。后句。") == "审批人为经理。" and one(spark, T.around("t", F.lit("zz")), t="前句。") is None
     assert one(spark, T.table_quote("t"), t="表1 名称=甲; 项目=x; 金额=5; 空=") == "名称=甲; 金额=5" and one(spark, T.table_quote("t"), t="a=1") is None
     assert spark.range(1).select(T.vector_literal(F.array(F.lit(0.5), F.lit(1)), 2).alias("v")).first().v == "[0.50,1.00]"
+
+
+def test_longest_common_part_is_that_of_all_substrings():
+    from siltstone.operators.support import _common
+
+    texts = ["", "a", "abcabcd", "xxabcdxx", "bcdbcdbcda", "中文内容abc", "内容abcd", "aaaaaaa", "baaaab"]
+    for a in texts:
+        for b in texts:
+            assert _common(a, b) == max((j - i for i in range(len(a)) for j in range(i, len(a) + 1) if a[i:j] in b), default=0)
+
+
+def test_texts_are_taken_apart_once_before_claims_meet_evidence(spark):
+    from siltstone.operators import support
+
+    answers = spark.createDataFrame([(1, "The retention period is ninety days for every log; alpha beta gamma delta epsilon")], "answer_id long, answer string")
+    seen = spark.createDataFrame([(1, k, f"period=ninety days; alpha beta {k}") for k in range(3)], "answer_id long, chunk_id long, content string")
+    made = support.answer_claim_support(answers, seen)
+    assert made.count() == 2
+    plan = made._jdf.queryExecution().optimizedPlan()
+    above = plan.toString().split("Join Inner")[0]
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString() or "RepartitionByExpression" in plan.toString()
+    assert "a-z0-9" not in above  # no text is split into tokens for a pair
