@@ -13,6 +13,7 @@ from ..functions import anchors as A
 from ..functions import text as T
 from .evidence import overlap_coefficient
 from .rerank import META, NEGATIVE, REQUIREMENT, Rules, answers_requirement, expanded, features, pair_bonus, table_rows
+from .retrieval import tie
 
 # Fixed values.
 STOP = (
@@ -60,7 +61,7 @@ def with_relevance(results: DataFrame, rules: Rules | None = None) -> DataFrame:
     add = lambda when, value: F.when(when, value).otherwise(0.0)
     score = F.coalesce("rerank", "fused") + F.col("overlap") * 0.18 + over("_t") * 0.08 + over("_s") * 0.04 + pair_bonus(F.col("_fq"), F.col("_fc"), rules)
     score = score + add(F.array_contains("_q", "p1") & F.array_contains("_w", "p1"), 0.08) + add(needs & direct, 0.36) - add(needs & F.col("_fc").rlike(NEGATIVE), 0.42) - add(needs & F.col("_fc").rlike(META) & ~direct, 0.85)
-    rows = rows.withColumn("relevance", F.round(score, 9)).drop("_q", "_w", "_fq", "_fc", "_fw", "_t", "_s")
+    rows = rows.withColumn("relevance", tie(score)).drop("_q", "_w", "_fq", "_fc", "_fw", "_t", "_s")
     return rows.withColumn("effective", F.greatest("fused", F.coalesce("rerank", F.lit(0.0)), "relevance"))
 
 

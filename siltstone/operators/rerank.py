@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .evidence import overlap_coefficient, terms
-from .retrieval import top_k
+from .retrieval import tie, top_k
 
 # Fixed values.
 STOPWORDS = ("a", "an", "and", "are", "for", "how", "in", "is", "of", "on", "or", "the", "to", "what", "which")
@@ -243,7 +243,7 @@ def heuristic_rerank(candidates: DataFrame, k: int, rules: Rules | None = None,
         + add(needs & direct, 0.36) + add(lists & placed & answers_list("query_text", "content"), 0.65) - add(needs & flat.rlike(NEGATIVE), 0.42) - add(needs & flat.rlike(META) & ~direct, 0.85)
         - add((c("_all") < 0.08) & ~lexical, 0.09) - add((c("_all") < 0.12) & (c("_title") == 0) & (c("_section") == 0) & (c("fused") < 0.35), 0.06)
     )
-    rows = rows.withColumn("rerank", F.round(score, 9)).drop("_fq", "_fw", "_fc", "_q", "_c", "_all", "_title", "_section", "_structure", "_named", "_block")
+    rows = rows.withColumn("rerank", tie(score)).drop("_fq", "_fw", "_fc", "_q", "_c", "_all", "_title", "_section", "_structure", "_named", "_block")
     return top_k(rows, k, score="rerank", ties=(F.desc("fused"), F.desc("lexical_raw"), "chunk_index", "chunk_id"))
 
 
