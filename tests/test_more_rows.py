@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as T
 from siltstone.operators import access, audits, corpus, coverage, evidence, rerank, retrieval, support, variants, workflow
 from siltstone.sources import html, office, tables
 
@@ -483,3 +484,16 @@ def test_tokens_of_case_overlaps_are_made_before_questions_meet_markers(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join Inner", 1)
     assert "regexp_extract_all" not in above and "regexp_extract_all" in below and "strategy=broadcast" in below
+
+
+def test_compact_takes_out_every_mark(spark):
+    raw = "".join(map(chr, range(128))) + "Éß中文Ａ۱ x"
+    assert one(spark, T.compact("q"), q=raw) == "0123456789" + "abcdefghijklmnopqrstuvwxyz" * 2 + "ss中文x"
+    plan = spark.createDataFrame([("a",)], "q string").select(T.compact("q").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" in plan
+
+
+def test_hits_bring_their_texts_along(spark):
+    q = spark.createDataFrame([(1, "alpha beta gamma")], "query_id int, query_text string")
+    c = spark.createDataFrame([("1-0", 0, 1, "t", "x Alpha  beta, GAMMA y"), ("2-0", 0, 2, "t", "nothing")], "chunk_id string, chunk_index int, document_id int, document_title string, content string")
+    assert [(r.query_id, r.chunk_id, r.content) for r in retrieval.exact_hits(q, c, keep=("content",)).collect()] == [(1, "1-0", "x Alpha  beta, GAMMA y")]
