@@ -11,9 +11,12 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import row_texts
 
@@ -55,6 +58,9 @@ PAGE = (
     "blocks array<struct<tag:string,first:int,last:int,shut:boolean,caption:string,cells:array<array<string>>>>, "
     "roots array<struct<pick:int,first:int,last:int,low:int,high:int>>"
 )
+PARTS = ("lines", "blocks", "roots")
+#: Pages, and bytes of pages, whose lists a task holds at once.
+PAGES, STRETCH = 256, 1 << 20
 
 
 class _Lister(HTMLParser):
@@ -147,14 +153,22 @@ def listed(html: str) -> tuple[list, list, list]:
 
 
 def page_parts(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """pages(key, html) with the columns PAGE; null pages are left out, nothing is shuffled."""
+    """pages(key, html) with the columns PAGE; null pages are left out, nothing is shuffled. A task holds the lists of one stretch of at most PAGES pages, or of one page over STRETCH bytes, at a time."""
+    made = pages.select(key, F.col(html).alias("_html")).where("_html <> ''")
+    kinds = [to_arrow_type(made.sparkSession.createDataFrame([], PAGE).schema[c].dataType) for c in PARTS]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, *listed(h)) for k, h in zip(frame[key], frame[html], strict=True) if h]
-            yield pd.DataFrame(rows, columns=[key, "lines", "blocks", "roots"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch["_html"]).to_numpy())
+            low = 0
+            while low < len(batch):
+                high = min(low + PAGES, max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + STRETCH, "right"))))
+                part = batch.slice(low, high - low)
+                columns = list(zip(*(listed(h.as_py()) for h in part["_html"]), strict=True))
+                yield pa.RecordBatch.from_arrays([part[key], *[pa.array([[tuple(x) for x in rows] for rows in c], t) for c, t in zip(columns, kinds, strict=True)]], [key, *PARTS])
+                low = high
 
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {dict(pages.dtypes)[key]}, {PAGE}")
+    return made.mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, {PAGE}")
 
 
 def is_noise(key: Column) -> Column:
@@ -187,7 +201,7 @@ def page_segments(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     """pages(key, html) as (key, paragraph_index, tag, text, section_title): the blocks of the content root that are not
     boilerplate; a table gives one row text for each data row, captioned by its caption or section. A page without a block gives its text."""
     rows = page_parts(pages, key, html)
-    count = lambda text, pattern: F.length(F.regexp_replace(text, f"[^{pattern}]", ""))
+    count = lambda text, pattern: F.length(F.regexp_replace(text, f"[^{pattern}]+", ""))
     hits = lambda text: sum(((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t) for t in NOISE_TERMS[1:]), (F.length(text) - F.length(F.replace(text, F.lit(NOISE_TERMS[0]), F.lit("")))) / len(NOISE_TERMS[0])).cast("int")
     marked = F.transform("lines", lambda x: F.struct(
         x.text.alias("text"), x.prev.alias("prev"), is_noise(x.key).alias("noise"), count(x.text, "一-鿿").alias("cjk"), (F.length(x.text) >= LONG_LINE).cast("int").alias("long"),

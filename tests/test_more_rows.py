@@ -506,3 +506,11 @@ def test_texts_do_not_go_through_the_join_of_document_quality(spark):
     r = made.first()
     assert (r.strict_noise_count, r.noisy_chunk_count, r.chunk_count, "text" in made.columns) == (3, 1, 2, False)
     assert "strict_noise_count" in made._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]  # it comes from below the join
+
+
+def test_pages_are_listed_in_stretches(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"<body><h1>t{i}</h1><p>one {i}</p><table><tr><th>a</th></tr><tr><td>{i}</td></tr></table></body>") for i in range(20)] + [(20, None), (21, "")], "page_id int, html string").coalesce(1)
+    whole = sorted(map(tuple, html.page_segments(pages).collect()), key=str)
+    monkeypatch.setattr(html, "PAGES", 3)
+    monkeypatch.setattr(html, "STRETCH", 200)
+    assert sorted(map(tuple, html.page_segments(pages).collect()), key=str) == whole and len(whole) == 60
