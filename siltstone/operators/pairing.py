@@ -2,12 +2,16 @@
 
 The builder takes the first unused candidate and the first unused one of another document, again and again. What is passed over meanwhile always belongs to one document, so it works like a queue of that document's
 candidates: equal documents join the queue, others leave with its head. Between two moments with an empty queue lies a stretch whose queue document is that of its first candidate. Where a stretch that begins at a
-candidate would end follows from its own document's places alone (a next-greater search among them); which candidates begin one follows by pointer doubling; and in a stretch the n-th candidate of the queue's
-document goes with the n-th of the others.
+candidate would end follows from its own document's places alone (a next-greater search among them); which candidates begin one follows inside blocks of places, and by pointer doubling over the few places where
+a block can be entered; and in a stretch the n-th candidate of the queue's document goes with the n-th of the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,7 +56,7 @@ def stretches(places: DataFrame) -> DataFrame:
 
 
 def beginnings(ends: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(domain, place): where stretches really begin: place 1, and after each stretch. ends(domain, place, till). Reach doubles each round, so the rounds are about the logarithm of the longest domain; each is a written table."""
+    """(domain, place): where stretches really begin: place 1, and after each stretch. ends(domain, place, till); a next place that has no row ends the way. Reach doubles each round, so the rounds are about the logarithm of the longest domain; each is a written table."""
     jump = written(ends.where("till is not null").select("domain", "place", (F.col("till") + 1).alias("next")).join(ends.select("domain", F.col("place").alias("next")), ["domain", "next"]), "jumps")
     reached = written(ends.where("place = 1").select("domain", "place"), "starts")
     for _ in range(max_rounds):
@@ -66,6 +70,59 @@ def beginnings(ends: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
+#: Places of a block.
+BLOCK = 1 << 16
+
+
+def _in_blocks(rows: DataFrame, block: int, made: Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]], name: str) -> DataFrame:
+    """(domain, place, name): what made(places, nexts, doors, end) gives for each block of rows(domain, place, next, door); next is 0 where there is none. A block is a bounded group."""
+    kind = dict(rows.dtypes)["domain"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        places = table["place"].to_numpy()
+        at, out = made(places, table["next"].to_numpy(), table["door"].to_numpy(), (int(places[0]) // block + 1) * block)
+        return pa.table({"domain": table["domain"].take(pa.array(np.zeros(len(at), np.int64))), "place": pa.array(at), name: pa.array(out)})
+
+    by = rows.withColumn("_block", F.expr(f"place div {block}"))
+    return by.groupBy("domain", "_block").applyInArrow(lambda t: run(t.drop_columns(["_block"])), f"domain {kind}, place long, {name} long")
+
+
+def _exits(places: np.ndarray, nexts: np.ndarray, doors: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each place's first place past its block on the way of its nexts, 0 if the way ends before."""
+    n = len(places)
+    to = np.append(np.where((nexts > 0) & (nexts < end), nexts - places[0], n), n)  # places of a block follow on each other
+    last = np.where(to[:n] < n, 0, nexts)
+    out = np.append(last, 0)
+    while (to[:n] < n).any():  # each round doubles the steps
+        out = np.where(to < n, out[to], out)
+        to = to[to]
+    return places, out[:n]
+
+
+def _passed(places: np.ndarray, nexts: np.ndarray, doors: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that the way from the block's door passes."""
+    found, at = [], int(places[np.argmax(doors)]) if doors.any() else 0
+    while at and at < end:
+        found.append(at)
+        at = int(nexts[at - places[0]])
+    return np.array(found, np.int64), np.ones(len(found), np.int64)
+
+
+def starts_of(ends: DataFrame, block: int = BLOCK) -> DataFrame:
+    """As beginnings. Each block of places finds for itself where a way that comes in goes out. The ways meet fast, so doors, the places where one can come in, are few, and only these are followed by doubling;
+    from the one door of a block that is really passed the block finds its own beginnings."""
+    last = ends.groupBy("domain").agg(F.max("place").alias("last"))
+    there = ends.join(F.broadcast(last), "domain")  # a row a domain
+    rows = there.select("domain", "place", F.when(F.col("till") < F.col("last"), F.col("till") + 1).otherwise(0).alias("next"), F.lit(False).alias("door"))
+    out = written(_in_blocks(rows, block, _exits, "out"), "exits")
+    doors = out.where("out > 0").select("domain", F.col("out").alias("place")).unionByName(out.where("place = 1").select("domain", "place")).distinct()
+    ways = written(out.join(doors, ["domain", "place"]).select("domain", "place", F.when(F.col("out") > 0, F.col("out") - 1).alias("till")), "doors")
+    passed = beginnings(ways)  # at most one a block
+    rows = rows.drop("door").join(F.broadcast(passed.withColumn("door", F.lit(True))), ["domain", "place"], "left").withColumn("door", F.coalesce("door", F.lit(False)))
+    return _in_blocks(rows, block, _passed, "there").select("domain", "place")
+
+
 def cross_document_pairs(candidates: DataFrame) -> DataFrame:
     """(domain, first_key, second_key, pair_no): candidates(domain, doc_id, key) of different documents, paired within their domain as by the builder, in key order; pair_no counts from 1 by the first's place.
 
@@ -73,7 +130,7 @@ def cross_document_pairs(candidates: DataFrame) -> DataFrame:
     rows = candidates.select("domain", "doc_id", "key").where("domain is not null and doc_id is not null and key is not null")
     places = written(numbered(rows, ["domain"], ["key"], "place"), "places")
     ends = written(stretches(places), "stretches")
-    starts = beginnings(ends).join(ends, ["domain", "place"]).select("domain", F.col("place").alias("begin"), F.col("doc_id").alias("queue"))
+    starts = written(starts_of(ends), "starts").join(ends, ["domain", "place"]).select("domain", F.col("place").alias("begin"), F.col("doc_id").alias("queue"))
     # The stretch of a candidate is the last one that begins at or before it: each stretch names its places up to the next beginning.
     w = W.partitionBy("domain").orderBy("begin")
     starts = starts.withColumn("next", F.lead("begin").over(w)).join(places.groupBy("domain").agg(F.max("place").alias("last")), "domain")

@@ -36,3 +36,22 @@ def test_cross_document_pairs(spark, seed):
 
 def test_no_candidates(spark):
     assert cross_document_pairs(spark.createDataFrame([], "domain string, doc_id long, key long")).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_blocks_find_the_beginnings_of_doubling(spark, block):
+    from siltstone.operators import pairing
+
+    r = random.Random(block)
+    rows = [(d, p, None if r.random() < 0.05 else p + r.choice([0, 1, 1, 3, 9])) for d in ("a", "b") for p in range(1, 150)]
+    ends = spark.createDataFrame(rows, "domain string, place long, till long").repartition(3)
+    assert sorted(map(tuple, pairing.starts_of(ends, block).collect())) == sorted(map(tuple, pairing.beginnings(ends).collect()))
+
+
+def test_doubling_follows_doors_only(spark, monkeypatch):
+    from siltstone.operators import pairing
+
+    seen, whole = [], pairing.beginnings
+    monkeypatch.setattr(pairing, "beginnings", lambda ends, *a: (seen.append(ends.count()), whole(ends, *a))[1])
+    df = spark.createDataFrame([("a", k // 3, k) for k in range(600)], "domain string, doc_id long, key long")
+    assert cross_document_pairs(df).count() > 200 and seen[0] < 10
