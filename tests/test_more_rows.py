@@ -509,7 +509,7 @@ def test_texts_do_not_go_through_the_join_of_document_quality(spark):
 
 
 def test_pages_are_listed_in_stretches(spark, monkeypatch):
-    pages = spark.createDataFrame([(i, f"<body><h1>t{i}</h1><p>one {i}</p><table><tr><th>a</th></tr><tr><td>{i}</td></tr></table></body>") for i in range(20)] + [(20, None), (21, "")], "page_id int, html string").coalesce(1)
+    pages = spark.createDataFrame([(i, f"<body><h1>title {i}</h1><p>one {i}</p><table><tr><th>a</th></tr><tr><td>{i}</td></tr></table></body>") for i in range(20)] + [(20, None), (21, "")], "page_id int, html string").coalesce(1)
     whole = sorted(map(tuple, html.page_segments(pages).collect()), key=str)
     monkeypatch.setattr(html, "PAGES", 3)
     monkeypatch.setattr(html, "STRETCH", 200)
